@@ -113,7 +113,7 @@ class ForcedBoundaryBPE:
     def _shown(self, text: str) -> list[str]:
         """Pre-tokens of normalized text, in byte symbols."""
         if not self.unusual(text):
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols) for w in self.pieces(text)]
+            return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.symbols) for w in self.pieces(text)]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def normalize(self, text: str) -> str:
