@@ -1 +1,4 @@
-"""See the package README."""
+"""Registered queries over the standard tables, each with the SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
