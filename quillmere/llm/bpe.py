@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from .shared import text_chunks
 
 #: Entries a worker keeps for pieces of text and for fragments; when full, it starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 
 def _byte_symbols() -> list[str]:
@@ -58,11 +58,21 @@ class ForcedBoundaryBPE:
             self.inside.update(zip(parts, parts[1:], strict=False))
         self.fragment_cache: dict[str, list[int]] = {}
 
-        def ids_of_chunk(chunk: str) -> list[int]:
-            return [i for word in self._shown(chunk) for i in self.word_ids(word)]
-
-        self.ids_of = _Remembered(lambda chunk: " ".join(map(str, ids_of_chunk(chunk))))
-        self.tokens_of = _Remembered(lambda chunk: " ".join([self.token_of[int(i)] for i in self.ids_of[chunk].split()]))
+        shown_id = {i: str(i) for i in self.token_of}
+        token_of = self.token_of
+
+        def ids_of_chunk(chunk: str) -> str:
+            """The chunk's ids as text; its tokens are wanted right after, so they are kept as well."""
+            ids: list[int] = []
+            for word in self._shown(chunk):
+                ids += self.word_ids(word)
+            if len(tokens_of) >= CACHE_ENTRIES:
+                tokens_of.clear()
+            tokens_of[chunk] = " ".join([token_of[i] for i in ids])
+            return " ".join([shown_id[i] for i in ids])
+
+        self.ids_of = _Remembered(ids_of_chunk)
+        self.tokens_of = tokens_of = _Remembered(lambda chunk: " ".join([token_of[int(i)] for i in self.ids_of[chunk].split()]))
 
     def _symbols_of_token(self, token: str) -> list[str]:
         if token.endswith(self.end) and token != self.end:
