@@ -71,7 +71,8 @@ def features(texts: list[str], buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     if not texts:
         return
     codes, starts = _letters(texts)
-    a, b, c = codes, np.append(codes[1:], [0]), np.append(codes[2:], [0, 0])
+    none = np.zeros(2, np.uint32)
+    a, b, c = codes, np.append(codes[1:], none[:1]), np.append(codes[2:], none)[: len(codes)]
     shift = np.uint32(32 - buckets.bit_length() + 1)
     mixed = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)
     triple = ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift
