@@ -3,13 +3,45 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .embedding_dups import op7_embeddings
+from .langid import op2_language
+from .ngram_join import op1_ngram_join
+from .quality import op3_quality
 from .secrets import RULES, op5_secrets
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op7_embeddings": op7_embeddings,
+    "op9_toxicity": op9_toxicity,
 }
 
+#: Every pair by plain set arithmetic, so it also shows what banding finds of it. DuckDB holds all shared n-grams for this: for small tables.
+_NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, both = nx.n AND both = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE CAST(both AS DOUBLE) / (nx.n + ny.n - both) >= 0.8),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x),
+k AS (SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS twins FROM l GROUP BY x)
+SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(twins, 0) + 1 AS copies, c.doc_id = class_id AS kept FROM c LEFT JOIN k ON k.doc_id = c.doc_id
+"""
+
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON k.vec_id = c.vec_id
+"""
+
 
 def _secret_sql() -> str:
     """Every rule by its regex over every text: no index, so it also checks that the index loses nothing."""
@@ -34,5 +66,7 @@ def _secret_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op1_ngram_join": _NGRAM_SQL,
+    "op7_embeddings": _VECTOR_SQL,
     "op5_secrets": _secret_sql(),
 }
