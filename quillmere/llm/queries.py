@@ -8,6 +8,7 @@ from .langid import op2_language
 from .ngram_join import op1_ngram_join
 from .quality import op3_quality
 from .secrets import RULES, op5_secrets
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
     "op7_embeddings": op7_embeddings,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
@@ -25,8 +27,8 @@ _NGRAM_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-l AS (SELECT x, y, both = nx.n AND both = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE CAST(both AS DOUBLE) / (nx.n + ny.n - both) >= 0.8),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, shared = nx.n AND shared = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE CAST(shared AS DOUBLE) / (nx.n + ny.n - shared) >= 0.8),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x),
 k AS (SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS twins FROM l GROUP BY x)
