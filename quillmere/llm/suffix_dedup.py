@@ -144,8 +144,10 @@ def marks_of_bucket(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.n
         seen: dict[bytes, int] = {}
         own = []
         for k in order[start : start + size].tolist():
-            if texts[k] in seen:  # an equal piece stands earlier: all its suffixes do
-                out.append((k, 0, int(count[k])))
+            if texts[k] in seen:  # an equal piece stands earlier: all its suffixes do, but for a repeated row's
+                first = seen[texts[k]]
+                if doc[first] != doc[k] or pos[first] != pos[k]:
+                    out.append((k, 0, int(count[k])))
             else:
                 seen[texts[k]] = k
                 own.append(k)

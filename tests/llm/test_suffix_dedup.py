@@ -83,7 +83,8 @@ def test_against_brute_force(spark, seed):
 
 
 def test_repeated_rows_nulls_and_long(spark):
-    long = "".join(random.Random(9).choice("abcdefgh") for _ in range(60_000))
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh") for _ in range(60_000)) + "h" * 500
     rows = [(1, long), (1, long), (2, long[500:900]), (None, long[:300]), (None, long[100:400]), (3, "x" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
