@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontaminate import op10_decontaminate
 from .embedding_dups import op7_embeddings
 from .langid import op2_language
+from .licenses import op6_licenses
 from .ngram_join import op1_ngram_join
 from .quality import op3_quality
 from .secrets import RULES, op5_secrets
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_secrets": op5_secrets,
+    "op6_licenses": op6_licenses,
     "op7_embeddings": op7_embeddings,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: Every pair by plain set arithmetic, so it also shows what banding finds of it. DuckDB holds all shared n-grams for this: for small tables.
