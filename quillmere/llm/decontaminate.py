@@ -5,12 +5,14 @@ become few differing coordinates: it copies the word it stands on and moves on o
 step. Keys of a few sampled coordinates then meet by chance for near strings; with enough repetitions a near window
 is found with the target recall, and every meeting is verified by its exact edit distance.
 
-Windows have their item's length and start at every word of every text. A window that could match holds nearly all its words
-from the benchmark's vocabulary; one prefix sum drops the others without loss, and only the rest is embedded.
+Windows have their item's length and start at every word of every text. An edit spoils at most three triples of neighbouring
+words, so a window that could match still holds many triples of the benchmark; prefix sums of known words and triples drop the
+others without loss, and only the rest is embedded.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -62,14 +64,19 @@ def embed(words: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.n
     return out
 
 
-def keys(embedded: np.ndarray, length: int, walk: int, repeats: int) -> Iterator[np.ndarray]:
-    """One key for each window and repetition: a hash of the same sampled coordinates."""
+@functools.lru_cache(maxsize=1024)
+def _sampled(length: int, walk: int, repeats: int) -> np.ndarray:
+    """The coordinates of each repetition's key."""
     rng = np.random.default_rng([length, walk])
-    for r in range(repeats):
-        h = np.full(embedded.shape[1], (length << 32) + (walk << 16) + r, np.uint64)
-        for c in np.sort(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False)).tolist():
-            h = _mix(h ^ embedded[c], 0xC2B2AE3D)
-        yield h
+    return np.array([np.sort(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False)) for _ in range(repeats)])
+
+
+def keys(embedded: np.ndarray, length: int, walk: int, repeats: int) -> np.ndarray:
+    """A key for each repetition (rows) and window: a hash of the repetition's sampled coordinates."""
+    h = ((length << 32) + (walk << 16) + np.arange(repeats, dtype=np.uint64))[:, None]
+    for c in _sampled(length, walk, repeats).T:
+        h = _mix(h ^ embedded[c], 0xC2B2AE3D)
+    return h
 
 
 def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
@@ -94,6 +101,20 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
     return (edits, start) if edits <= most else None
 
 
+class _Codes(dict):
+    """Numbers of the tokens seen of late; 0 for tokens of signs alone."""
+
+    def __init__(self, finder: Finder) -> None:
+        self.finder = finder
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        w = token.strip(_EDGES)
+        value = self[token] = self.finder.code(w) if w else 0
+        return value
+
+
 class Finder:
     """The tables of one bounded slice of the benchmark."""
 
@@ -112,25 +133,29 @@ class Finder:
             starts = np.arange(len(which)) * length
             walks = []
             for walk in range(WALKS):
-                found = [(h, np.array(which)) for h in keys(embed(stacked, starts, length, walk), length, walk, repeats)]
-                all_keys = np.concatenate([h for h, _ in found])
-                owner = np.concatenate([o for _, o in found])
+                all_keys = keys(embed(stacked, starts, length, walk), length, walk, repeats).ravel()
+                owner = np.tile(np.array(which), repeats)
                 order = np.argsort(all_keys, kind="stable")
                 walks.append((all_keys[order], owner[order]))
             self.tables.append((length, int(max_edit * length), walks))
         self.repeats = repeats
-        self.codes: dict[str, int] = {}
+        #: by the hash of a triple of neighbouring words, bits of the lengths of the items that hold it; other triples may
+        #: share a hash and other lengths a bit, none is missed
+        self.triples = np.zeros(1 << 20, np.uint64)
+        for _, ws in self.items:
+            if len(ws) > 2:
+                self.triples[self._triples(np.array(ws, np.uint64))] |= np.uint64(1 << len(ws) % 64)
+        self.codes = _Codes(self)
 
     def code(self, word: str) -> int:
         """A word's number: its hash, odd where the benchmark knows the word, never 0."""
         return (xxhash.xxh64_intdigest(word) | 3) - (word not in self.vocabulary)
 
-    def _token(self, token: str) -> int:
-        if len(self.codes) >= CACHE_ENTRIES:
-            self.codes.clear()
-        w = token.strip(_EDGES)
-        value = self.codes[token] = self.code(w) if w else 0
-        return value
+    @staticmethod
+    def _triples(words: np.ndarray) -> np.ndarray:
+        """The mark of the triple that starts at each word but the last two."""
+        h = (words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1]) * np.uint64(0xD6E8FEB86659FD93) + words[2:]
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text its ``(place of the item, edits, first word)``, each item once, where it fits best."""
@@ -139,29 +164,44 @@ class Finder:
             return out
         gap = np.zeros(self.longest, np.uint64)
         parts, firsts, at = [], [], 0
-        get, make = self.codes.get, self._token
+        code = self.codes.__getitem__
         for t in texts:
-            w = np.array([v if (v := get(x)) is not None else make(x) for x in t.lower().split()] if t else [], np.uint64)
+            tokens = t.lower().split() if t else []
+            w = np.fromiter(map(code, tokens), np.uint64, len(tokens))
             w = w[w != 0]
             firsts.append(at)
             parts += [w, gap]  # no window reaches from one text into the next
             at += len(w) + len(gap)
-        words = np.concatenate(parts)
+        words = np.concatenate([*parts, np.zeros(2, np.uint64)])
         known = np.concatenate([[0], np.cumsum((words & np.uint64(1)).astype(np.int32))])
+        marks = self.triples[self._triples(words)]
+        places = np.flatnonzero(marks)
+        marks = marks[places]
         pairs = set()
         for length, edits, walks in self.tables:
-            starts = np.flatnonzero((known[length:] - known[:-length] >= length - edits) & (words[: len(words) - length + 1] != 0))
-            for k in range(0, len(starts), 20_000):
-                some = starts[k : k + 20_000]
+            whole = length - 2 - 3 * edits  # triples that survive the most edits (an insertion spoils two and pushes one out)
+            if whole > 0:
+                own = places[(marks >> np.uint64(length % 64)) & np.uint64(1) > 0]
+                # any so many triples in a row that fit a window give its possible starts; both ends never fall
+                low, high = own[whole - 1 :] - (length - 3), own[: max(0, len(own) - whole + 1)]
+                low = np.maximum(np.maximum(low, 0), np.append(-1, high[:-1]) + 1 if len(high) else low)
+                many = np.maximum(0, high - low + 1)
+                starts = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                starts = starts[starts + length <= len(words)]
+                starts = starts[known[starts + length] - known[starts] >= length - edits]
+            else:
+                starts = np.flatnonzero(known[length:] - known[:-length] >= length - edits)
+            starts = starts[words[starts] != 0]
+            for k in range(0, len(starts), 4_000):
+                some = starts[k : k + 4_000]
                 for walk, (table, owner) in enumerate(walks):
-                    for h in keys(embed(words, some, length, walk), length, walk, self.repeats):
-                        low = np.searchsorted(table, h)
-                        hit = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == h)
-                        for x in hit.tolist():
-                            p = int(low[x])
-                            while p < len(table) and table[p] == h[x]:
-                                pairs.add((int(owner[p]), int(some[x])))
-                                p += 1
+                    h = keys(embed(words, some, length, walk), length, walk, self.repeats)
+                    low = np.searchsorted(table, h)
+                    for r, x in np.argwhere(table[np.minimum(low, len(table) - 1)] == h).tolist():
+                        p = int(low[r, x])
+                        while p < len(table) and table[p] == h[r, x]:
+                            pairs.add((int(owner[p]), int(some[x])))
+                            p += 1
         first = np.array(firsts)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
@@ -206,7 +246,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = P
     for finder in slices(benchmark, pass_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches, 2 << 20):
+            for batch in text_chunks(batches, 8 << 20):
                 found = finder.search(batch.column("text").to_pylist())
                 rows = [(d, *m) for d, of in zip(batch.column("doc_id").to_pylist(), found, strict=True) for m in of]
                 cols = [
@@ -228,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
     for finder in slices(benchmark, pass_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches, 2 << 20):
+            for batch in text_chunks(batches, 8 << 20):
                 clean = [not m for m in finder.search(batch.column("text").to_pylist())]
                 yield batch.filter(pa.array(clean))
 
