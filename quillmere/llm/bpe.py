@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from .shared import text_chunks
 
-#: Entries a worker keeps for pieces of text and for fragments; when full, it starts afresh.
-CACHE_ENTRIES = 600_000
+#: Entries a worker keeps for pieces of text and for fragments; when full, it starts afresh, and after each task.
+CACHE_ENTRIES = 400_000
 
 
 def _byte_symbols() -> list[str]:
@@ -193,6 +193,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
             if with_ids:
                 made += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
+        for cache in (bpe.ids_of, bpe.tokens_of, bpe.fragment_cache):
+            cache.clear()
 
     kept = docs.select(*keep)
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())]

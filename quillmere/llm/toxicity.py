@@ -187,15 +187,23 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Deobfuscator(model)
-        toxic, clean, docs_seen = Counter(), Counter(), [0, 0]
+        toxic, clean = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            words = [*toxic.keys() | clean.keys()]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
+            toxic.clear()
+            clean.clear()
+            return out
+
         for batch in text_chunks(batches, 4 << 20):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (toxic if label else clean).update(reader.words(text))
-                docs_seen[bool(label)] += 1
-        words = [*toxic.keys() | clean.keys()]
-        # "\0" stands for the documents themselves; a word that one clean document alone has teaches nothing
-        words = [w for w in words if toxic[w] or clean[w] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(["\0", *words], pa.string()), pa.array([docs_seen[1], *(toxic[w] for w in words)], pa.int64()), pa.array([docs_seen[0], *(clean[w] for w in words)], pa.int64())], names=["word", "toxic", "clean"])
+                own = toxic if label else clean
+                own.update(reader.words(text))
+                own["\0"] += 1  # stands for the documents themselves
+                if len(toxic) + len(clean) > 200_000:
+                    yield counted()
+        yield counted()
 
     counts = materialize(rows.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
     whole = counts.where(F.col("word") == "\0").first()
@@ -270,8 +278,11 @@ def toxicity_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc
 
 def learn_from_tables(spark, docs: DataFrame, sf_dir: str) -> dict:
     """Train on the labelled documents outside the held-out third."""
-    labels = read_table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
-    taught = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id")
+    labels = read_table(spark, sf_dir, "labels").where("toxic is not null").where(~held_out()).select("doc_id", "toxic")
+    # the bounded share is drawn by id on both sides before they meet, so that other texts are never shuffled
+    share = min(1.0, MAX_TRAIN_DOCS / max(1, labels.count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
+    taught = docs.where(~held_out() & drawn).select("doc_id", "text").join(labels.where(drawn), "doc_id")
     return train(docs, taught)
 
 
