@@ -1 +1,224 @@
-"""See the package README."""
+"""Operators on DataFrames: ranking and selection, geometry, joins, summaries, audits, clustering."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+
+# ---- ranking and selection -----------------------------------------------------------------------
+
+
+def average_tie_percentile(value: str, *by: str) -> Column:
+    """Mean 0-based rank of the tie block over n - 1 (at least 1)."""
+    w = Window.partitionBy(*by)
+    ties = F.count("*").over(Window.partitionBy(*by, value))
+    rank = F.rank().over(w.orderBy(value)) - 1
+    return (rank + (ties - 1) / F.lit(2.0)) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
+
+
+def ordinal_percentile(value: str, tie: str, *by: str) -> Column:
+    w = Window.partitionBy(*by)
+    return (F.row_number().over(w.orderBy(value, tie)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)).cast("double")
+
+
+def average_rank(value: str, *by: str) -> Column:
+    """1-based rank, ties share their mean."""
+    ties = F.count("*").over(Window.partitionBy(*by, value))
+    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / F.lit(2.0)
+
+
+def top_per_group(df: DataFrame, k: int, by: str, *order: Column, slot: str = "slot") -> DataFrame:
+    """The first ``k`` rows of each group in a total order, with their 0-based slot."""
+    ranked = df.withColumn(slot, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    return ranked.where(F.col(slot) < k)
+
+
+def hash_fold(by: str, seed: int, identity: str, folds: int) -> Column:
+    """Round-robin folds in hash order within each group."""
+    order = fn.sampling_key(F.lit(seed), F.col(identity))
+    return (F.row_number().over(Window.partitionBy(by).orderBy(order, identity)) - 1) % folds
+
+
+# ---- geometry ------------------------------------------------------------------------------------
+
+
+def prototypes(unit: DataFrame, label: str = "label", vector: str = "unit") -> DataFrame:
+    """Per label the normalised sum of its unit vectors, element by element with map-side combination."""
+    parts = unit.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.sum("x").alias("x"))
+    lists = parts.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"))
+    return lists.select(label, fn.normalised(F.transform("s", lambda e: e["x"])).alias("proto"))
+
+
+def margins(unit: DataFrame, protos: DataFrame, identity: str = "vec_id", label: str = "label") -> DataFrame:
+    """Similarity to the own prototype, to the nearest other one (smallest label of equals), and their difference. There
+    is one prototype a label, so the other side of this join is as small as the label set."""
+    other = protos.select(F.col(label).alias("p_label"), "proto")
+    sims = unit.join(other).select(identity, label, "p_label", fn.dot(F.col("unit"), F.col("proto")).alias("sim"))
+    own = F.max(F.when(F.col("p_label") == F.col(label), F.col("sim"))).alias("own")
+    rival = F.min(F.when(F.col("p_label") != F.col(label), F.struct((-F.col("sim")).alias("s"), F.col("p_label").alias("l")))).alias("r")
+    found = sims.groupBy(identity, label).agg(own, rival)
+    return found.select(identity, label, "own", (-F.col("r.s")).alias("rival"), F.col("r.l").alias("rival_label"), (F.col("own") + F.col("r.s")).alias("margin"))
+
+
+def blocked_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, block: int = 1024, within: str | None = None) -> DataFrame:
+    """Exact ``k`` nearest by cosine, self excluded: blocks of queries meet blocks of rows (in the same group if ``within``), each
+    tile is one matrix product that leaves ``k`` rows a query, and a rank merges them. ``vectors``: vec_id, unit and ``within``."""
+    queries = vectors if queries is None else queries
+    group = F.col(within).cast("long") if within else F.lit(0).cast("long")
+    n = max(1, -(-vectors.count() // block))
+    m = max(1, -(-queries.count() // block))
+    cut = lambda d, c: d.select(group.alias("g"), "vec_id", "unit", F.pmod(F.xxhash64("vec_id"), F.lit(c)).cast("int").alias("mine"))
+    left = cut(queries, m).select("g", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(True).alias("asks"), "vec_id", "unit")
+    right = cut(vectors, n).select("g", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), "vec_id", "unit")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy()
+        q, r = pdf[asks], pdf[~asks]
+        if not len(q) or not len(r):
+            return pd.DataFrame({"vec_id": [], "neighbour": [], "sim": []})
+        ids = r["vec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        sim = np.vstack(q["unit"].to_numpy()) @ np.vstack(r["unit"].to_numpy()[order]).T
+        ids = ids[order]
+        sim[q["vec_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        at = np.arange(len(q))[:, None]
+        out = pd.DataFrame({"vec_id": np.repeat(q["vec_id"].to_numpy(), best.shape[1]), "neighbour": ids[best].ravel(), "sim": sim[at, best].ravel()})
+        return out[np.isfinite(out["sim"])]
+
+    near = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(tile, "vec_id long, neighbour long, sim double")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 9)), "neighbour"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+# ---- summaries -----------------------------------------------------------------------------------
+
+
+def sample_stats(value: str, zero_sd: bool = False) -> list[Column]:
+    """Count, mean, sample deviation (null, or 0, below two), least and largest."""
+    sd = F.stddev_samp(value)
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), (F.coalesce(sd, F.lit(0.0)) if zero_sd else sd).alias("sd"), F.min(value).alias("least"), F.max(value).alias("largest")]
+
+
+def distribution(value: str, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> list[Column]:
+    return [*sample_stats(value), *(F.percentile(value, q).alias(f"p{round(q * 100):02d}") for q in quantiles)]
+
+
+def two_level(df: DataFrame, value: str, outer: str, inner: str) -> DataFrame:
+    """Grand mean, pooled deviation within levels of ``outer`` (root of the mean variance), deviation of their means."""
+    cells = df.groupBy(outer, inner).agg(F.avg(value).alias("cell"))
+    levels = cells.groupBy(outer).agg(F.avg("cell").alias("mean"), F.var_samp("cell").alias("var"))
+    return levels.agg(F.avg("mean").alias("grand_mean"), F.sqrt(F.avg("var")).alias("sd_within"), F.stddev_samp("mean").alias("sd_between"), F.count("*").alias("levels"))
+
+
+# ---- joins and audits ----------------------------------------------------------------------------
+
+
+def missing_keys(expected: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
+    return expected.select(*keys).distinct().join(observed.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def bijection_faults(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys on one side only, or more than once on a side."""
+    a = left.groupBy(key).agg(F.count("*").alias("n_left"))
+    b = right.groupBy(key).agg(F.count("*").alias("n_right"))
+    both = a.join(b, key, "full_outer").select(key, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+    return both.where("n_left <> 1 or n_right <> 1")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """For each left row the value of the last right row of its key at or before ``at``: one sort of the union, no range join."""
+    both = left.select(key, at, F.lit(1).alias("asks"), F.struct(*left.columns).alias("row"), F.lit(None).alias("v")).unionByName(right.select(key, at, F.lit(0).alias("asks"), F.lit(None).alias("row"), F.col(value).alias("v")))
+    w = Window.partitionBy(key).orderBy(at, "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("found", F.last("v", ignorenulls=True).over(w)).where("asks = 1").select("row.*", F.col("found").alias(value))
+
+
+def hamming_pairs(df: DataFrame, identity: str, code: str, most: int) -> DataFrame:
+    """Pairs of rows whose 64-bit codes differ in at most ``most`` bits: cut into ``most + 1`` bands, one must agree (pigeonhole),
+    so an equi-join finds all. Equal codes meet once, as one class with its smallest id."""
+    n = most + 1
+    edges = [64 * k // n for k in range(n + 1)]
+    classes = df.groupBy(code).agg(F.min(identity).alias(identity))
+    bands = F.array(*(F.shiftrightunsigned(F.shiftleft(F.col(code), 64 - edges[k + 1]), 64 - edges[k + 1] + edges[k]) for k in range(n)))
+    cut = classes.select(identity, code, F.posexplode(bands).alias("band", "bits"))
+    other = cut.select(F.col(identity).alias("other"), F.col(code).alias("c2"), F.col("band").alias("b2"), F.col("bits").alias("t2"))
+    near = cut.join(other, (F.col("band") == F.col("b2")) & (F.col("bits") == F.col("t2")) & (F.col(identity) < F.col("other")))
+    return near.withColumn("bits_apart", F.bit_count(F.col(code).bitwiseXOR(F.col("c2")))).where(F.col("bits_apart") <= most).select(identity, "other", "bits_apart").distinct()
+
+
+def problems(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One row for each failed check: its name, how many rows fail it, and how many there are. All in one pass."""
+    counted = df.agg(F.count("*").alias("rows"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()))
+    pairs = F.array(*(F.struct(F.lit(name).alias("problem"), F.col(name).alias("failed")) for name in checks))
+    return counted.select("rows", F.explode(pairs).alias("p")).where("p.failed > 0").select("p.problem", "p.failed", "rows")
+
+
+# ---- clustering (per group, iterative) -----------------------------------------------------------
+
+
+def _kmeans(x: np.ndarray, k: int, seed: int, iterations: int = 30, restarts: int = 4) -> np.ndarray:
+    best, top = None, -np.inf
+    for r in range(restarts):
+        rng = np.random.default_rng([seed, r])
+        c = x[rng.permutation(len(x))[:k]]
+        for _ in range(iterations):
+            s = x @ c.T
+            own = s.argmax(axis=1)
+            new = np.stack([x[own == j].sum(axis=0) if (own == j).any() else x[s.max(axis=1).argmin()] for j in range(len(c))])
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+            if np.allclose(new, c):
+                break
+            c = new
+        score = (x @ c.T).max(axis=1).mean()
+        if score > top:
+            best, top = (x @ c.T).argmax(axis=1), score
+    return best
+
+
+def spherical_kmeans(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000) -> DataFrame:
+    """Clusters within each label: ``vec_id, label, cluster``. A label's centres come from at most ``most`` of its vectors, those with
+    the smallest hash; every vector is then assigned, in its own partition, so no group meets in one task."""
+    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = vectors.where("label is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        x = np.vstack(pdf["unit"].to_numpy())
+        own = _kmeans(x, min(k, len(x)), seed)
+        c = [x[own == j].sum(axis=0) for j in np.unique(own)]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "cluster": range(len(c)), "centre": [v / max(np.linalg.norm(v), 1e-12) for v in c]})
+
+    found = sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(centres, "label int, cluster int, centre array<double>")
+    sims = vectors.join(found, "label").withColumn("sim", fn.dot(F.col("unit"), F.col("centre")))
+    best = sims.groupBy("vec_id", "label").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("cluster"))).alias("b"))
+    return best.select("vec_id", "label", F.col("b.cluster").alias("cluster"))
+
+
+def greedy_facility(vectors: DataFrame, k: int, most: int = 5_000) -> DataFrame:
+    """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one, over at most
+    ``most`` vectors a label (smallest hash first): ``label, slot, vec_id, utility``."""
+    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
+    sample = vectors.where("label is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        x, ids = np.vstack(pdf["unit"].to_numpy()), pdf["vec_id"].to_numpy()
+        sim, near, out = x @ x.T, np.full(len(x), -1.0), []
+        for slot in range(min(k, len(x))):
+            gain = np.maximum(near[:, None], sim).mean(axis=0)
+            gain[[o[2] for o in out]] = -np.inf
+            at = int(np.round(gain, 12).argmax())
+            near = np.maximum(near, sim[:, at])
+            out.append((slot, ids[at], at, near.mean()))
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "slot": [o[0] for o in out], "vec_id": [o[1] for o in out], "utility": [o[3] for o in out]})
+
+    return sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(choose, "label int, slot int, vec_id long, utility double")
+
+
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "np", "pd", "Column", "DataFrame", "Window", "F", "annotations")]

@@ -1,4 +1,6 @@
 """Registered queries over the standard tables, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import geometry, relational, statistics  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
