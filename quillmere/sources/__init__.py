@@ -1 +1,70 @@
-"""See the package README."""
+"""Reading class folders, result files and logs; writing results. Schemas are given, never inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
+
+
+def class_folders(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """``path, class_name, class_id, size_bytes`` of the files in class folders; ids follow the sorted folder names. File contents
+    are not read: only path and length are selected."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = files.select("path", F.element_at(F.split("path", "/"), -2).alias("class_name"), F.col("length").alias("size_bytes"))
+    rows = rows.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*suffixes))
+    # the class list is one row a folder, so ranking it whole is small
+    ids = rows.select("class_name").distinct().select("class_name", (F.row_number().over(Window.orderBy("class_name")) - 1).alias("class_id"))
+    return rows.join(ids, "class_name").select("path", "class_name", "class_id", "size_bytes")
+
+
+def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One object a file, with the file it came from."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("file", F.input_file_name())
+
+
+def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Strict: a bad line fails the read, blank lines are skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+def run_keys(file: Column, pattern: str, names: list[str]) -> list[Column]:
+    """Keys from a path by a regex; null where it does not match."""
+    return [F.when(F.regexp_extract(file, pattern, 0) != "", F.regexp_extract(file, pattern, k + 1)).alias(n) for k, n in enumerate(names)]
+
+
+def log_curve(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Typed rows of training log lines ``TRAIN|TEST Iter e: lr.., loss = x, Top-1 err = y, Top-5 err = z, train_time|val_time = s``."""
+    pattern = r"(TRAIN|TEST)\s+Iter\s+(\d+):.*?loss = ([0-9.eE+-]+).*?Top-1 err = ([0-9.]+).*?Top-5 err = ([0-9.]+).*?(?:train_time|val_time) = ([0-9.]+)"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    rows = lines.where(F.col(text).rlike(pattern))
+    return rows.select(F.lower(part(1)).alias("split"), part(2).cast("int").alias("epoch"), part(3).cast("double").alias("loss"), (100 - part(4).cast("double")).alias("top1"), (100 - part(5).cast("double")).alias("top5"), part(6).cast("double").alias("seconds"))
+
+
+def prefixed_records(lines: DataFrame, schema: str, prefix: str = "RECOVERY_DIAG", text: str = "value") -> DataFrame:
+    """``{json}`` or ``PREFIX {json}`` lines as typed columns; others are left out."""
+    body = F.regexp_replace(F.trim(text), f"^{prefix} ", "")
+    return lines.where(body.startswith("{")).select(F.from_json(body, schema).alias("r")).select("r.*")
+
+
+def write_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Parquet through Spark's committer; an existing target is refused."""
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+
+
+def matrix(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
+    """A long table as a labelled matrix over the given columns."""
+    return df.groupBy(row).pivot(column, columns).agg(F.first(value))
+
+
+def markdown(rows: list[dict], columns: list[str], digits: int = 3) -> str:
+    """A small report; null is a dash."""
+    show = lambda x: "-" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
+    return "\n".join([head, *("| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows)])
