@@ -156,11 +156,11 @@ def q_last_wins(table):
     return table("events").groupBy("user_id", "event_type").agg(last.alias("x")).select("user_id", "event_type", "x.event_id", "x.value")
 
 
-@query("q_log_curve", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(avg(value), 2) + 0.0 AS mean, round(100 - avg(value), 2) AS complement FROM events GROUP BY ALL")
+@query("q_log_curve", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(avg(value), 8) + 0.0 AS mean, round(100 - avg(value), 8) AS complement FROM events GROUP BY ALL")
 def q_log_curve(table):
     """Keys parsed from text, a curve of means."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table("events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"), r(F.avg("value"), 2).alias("mean"), F.round(100 - F.avg("value"), 2).alias("complement"))
+    return table("events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"), r(F.avg("value"), 8).alias("mean"), F.round(100 - F.avg("value"), 8).alias("complement"))
 
 
 @query("q_auc_trapezoid", "WITH s AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS x, value AS y, lead(epoch_us(ts) / 3.6e9) OVER w AS x2, lead(value) OVER w AS y2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(sum((x2 - x) * (y + y2) / 2), 2) + 0.0 AS area FROM s WHERE x2 IS NOT NULL GROUP BY user_id")
