@@ -42,7 +42,7 @@ def first_arg_max(v: Column) -> Column:
 # ---- probabilities -------------------------------------------------------------------------------
 
 
-def softmax(logits: Column, temperature: float = 1.0) -> Column:
+def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x / temperature)
     top = F.array_max(scaled)
     powers = F.transform(scaled, lambda x: F.exp(x - top))
