@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once a row. The body of a lambda is evaluated for every element, with all it
+    mentions, so what does not depend on the element must be bound outside."""
+    return F.transform(F.array(value), body)[0]
+
+
 # ---- vectors -------------------------------------------------------------------------------------
 
 
@@ -26,8 +34,7 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """The vector at length one; null where its length is zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -43,16 +50,12 @@ def first_arg_max(v: Column) -> Column:
 
 
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
-    scaled = F.transform(logits, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    powers = F.transform(scaled, lambda x: F.exp(x - top))
-    whole = total(powers)
-    return F.transform(powers, lambda x: x / whole)
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) / temperature)))
+    return let(powers, lambda e: let(total(e), lambda whole: F.transform(e, lambda x: x / whole)))
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
+    return let(v, lambda w: let(F.array_max(w), lambda top: top + F.log(total(F.transform(w, lambda x: F.exp(x - top))))))
 
 
 def entropy(p: Column) -> Column:
@@ -73,25 +76,27 @@ def kl_divergence(p: Column, q: Column, floor: float = 1e-30) -> Column:
 
 
 def jensen_shannon_bits(p: Column, q: Column) -> Column:
-    mean = F.zip_with(p, q, lambda x, y: (x + y) / 2.0)
-    return (kl_divergence(p, mean) + kl_divergence(q, mean)) / 2.0 / F.log(F.lit(2.0))
+    bits = lambda mean: (kl_divergence(p, mean) + kl_divergence(q, mean)) / 2.0 / F.log(F.lit(2.0))
+    return let(F.zip_with(p, q, lambda x, y: (x + y) / 2.0), bits)
 
 
 def others(p: Column, target: Column) -> Column:
     """The distribution without ``target`` (0-based), rescaled to one."""
     rest = F.filter(p, lambda x, i: i != target)
-    whole = total(rest)
-    return F.transform(rest, lambda x: x / whole)
+    return let(rest, lambda o: let(total(o), lambda whole: F.transform(o, lambda x: x / whole)))
 
 
 def keep_top(p: Column, k: int) -> Column:
     """The ``k`` largest (first of equals first) as they are, the rest's mass shared evenly among the others."""
     n = F.size(p)
     ranked = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-    top = F.transform(F.slice(ranked, 1, k), lambda s: s["i"])
-    mass = total(F.transform(F.slice(ranked, 1, k), lambda s: -s["x"]))
-    share = F.when(n > k, (1.0 - mass) / F.greatest(n - k, F.lit(1)))
-    return F.when(n <= k, p).otherwise(F.transform(p, lambda x, i: F.when(F.array_contains(top, i), x).otherwise(share)))
+
+    def smoothed(top: Column) -> Column:
+        share = (1.0 + total(F.transform(top, lambda s: s["x"]))) / F.greatest(n - k, F.lit(1))
+        spread = lambda places: let(share, lambda rest: F.transform(p, lambda x, i: F.when(F.array_contains(places, i), x).otherwise(rest)))
+        return let(F.transform(top, lambda s: s["i"]), spread)
+
+    return F.when(n <= k, p).otherwise(let(F.slice(ranked, 1, k), smoothed))
 
 
 def order_of_others(p: Column, target: Column) -> Column:

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import entropy, log_sum_exp, normalised_entropy, sampling_key, total
+from . import entropy, let, log_sum_exp, normalised_entropy, sampling_key, total
 
 
 def rescaled(p: Column) -> Column:
     """Non-negative numbers divided by their sum; null where that is zero."""
-    whole = total(p)
-    return F.when(whole > 0, F.transform(p, lambda x: x / whole))
+    return let(p, lambda v: let(total(v), lambda whole: F.when(whole > 0, F.transform(v, lambda x: x / whole))))
 
 
 def centred(v: Column) -> Column:
-    mean = total(v) / F.size(v)
-    return F.transform(v, lambda x: x - mean)
+    return let(v, lambda w: let(total(w) / F.size(w), lambda mean: F.transform(w, lambda x: x - mean)))
 
 
 def equivalent_logits(p: Column, temperature: float, floor: float = 1e-30) -> Column:
@@ -62,7 +60,8 @@ def one_hot(place: Column, n: int) -> Column:
 def reordered(p: Column, target: Column, destination: Column) -> Column:
     """The target's value stays; the others, from the largest down, go to the places ``destination`` lists."""
     ranked = F.sort_array(F.filter(p, lambda x, i: i != target), asc=False)
-    return F.transform(p, lambda x, i: F.when(i == target, x).otherwise(F.element_at(ranked, F.array_position(destination, i).cast("int"))))
+    placed = lambda s, d: F.transform(p, lambda x, i: F.when(i == target, x).otherwise(F.element_at(s, F.array_position(d, i).cast("int"))))
+    return let(ranked, lambda s: let(destination, lambda d: placed(s, d)))
 
 
 def derangement(identity: Column, seed: int, target: Column, n: int) -> Column:
@@ -70,17 +69,19 @@ def derangement(identity: Column, seed: int, target: Column, n: int) -> Column:
     stays (with two others or more) and the target does."""
     keyed = F.array(*(F.struct(sampling_key(F.lit(seed), identity, F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(n)))
     circle = F.transform(F.array_sort(F.filter(keyed, lambda s: s["i"] != target)), lambda s: s["i"])
-    after = lambda i: F.element_at(circle, (F.array_position(circle, i) % F.size(circle) + 1).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == target, i).otherwise(after(i)))
+    after = lambda c, i: F.element_at(c, (F.array_position(c, i) % F.size(c) + 1).cast("int"))
+    return let(circle, lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == target, i).otherwise(after(c, i))))
 
 
 def mass_map(mass: Column, width: int, floor: float = 1e-15) -> Column:
     """Entropy (as a share of its largest value) and centroid (y, x) of a map given row by row; null where it holds no mass."""
-    whole = total(mass)
-    p = F.transform(mass, lambda v: v / whole)
-    y = total(F.transform(p, lambda v, i: v * F.floor(i / width)))
-    x = total(F.transform(p, lambda v, i: v * (i % width)))
-    return F.when(whole > floor, F.struct(normalised_entropy(p).alias("entropy"), y.alias("y"), x.alias("x")))
+
+    def measured(p: Column) -> Column:
+        y = total(F.transform(p, lambda v, i: v * F.floor(i / width)))
+        x = total(F.transform(p, lambda v, i: v * (i % width)))
+        return F.struct(normalised_entropy(p).alias("entropy"), y.alias("y"), x.alias("x"))
+
+    return let(mass, lambda m: let(total(m), lambda whole: F.when(whole > floor, let(F.transform(m, lambda v: v / whole), measured))))
 
 
 __all__ = ["centred", "committee", "derangement", "entropy", "entropy_within_parent", "equivalent_logits", "mass_map", "one_hot", "places_of_parent", "pooled_logits", "reordered", "rescaled"]
