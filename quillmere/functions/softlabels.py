@@ -84,4 +84,40 @@ def mass_map(mass: Column, width: int, floor: float = 1e-15) -> Column:
     return let(mass, lambda m: let(total(m), lambda whole: F.when(whole > floor, let(F.transform(m, lambda v: v / whole), measured))))
 
 
-__all__ = ["centred", "committee", "derangement", "entropy", "entropy_within_parent", "equivalent_logits", "mass_map", "one_hot", "places_of_parent", "pooled_logits", "reordered", "rescaled"]
+# ---- densities along an axis ---------------------------------------------------------------------
+
+
+def interpolate(xs: Column, ys: Column, x: Column) -> Column:
+    """Piecewise-linear value at ``x`` of the curve through rising ``xs``; its end values beyond them."""
+    below = F.size(F.filter(xs, lambda v: v <= x))
+    at = lambda a, k: F.element_at(a, k)
+    inner = lambda k: at(ys, k) + (at(ys, k + 1) - at(ys, k)) * (x - at(xs, k)) / (at(xs, k + 1) - at(xs, k))
+    return F.when(below == 0, at(ys, F.lit(1))).when(below >= F.size(xs), at(ys, F.size(xs))).otherwise(inner(F.greatest(F.least(below, F.size(xs) - 1), F.lit(1))))
+
+
+def interval_density(n: int, start: Column, end: Column, background: float) -> Column:
+    """One inside [start, end), ``background`` elsewhere, scaled to mean one."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i >= start) & (i < end), 1.0).otherwise(background))
+    return let(raw, lambda v: let(total(v) / n, lambda mean: F.transform(v, lambda x: x / mean)))
+
+
+def allocate(weights: Column, whole: Column, least: float, most: float, steps: int = 80) -> Column:
+    """Shares proportional to ``weights``, clamped to [least, most], that add up to ``whole``: the scale is bisected. Null where
+    the bounds leave no such allocation."""
+    clamped = lambda s: F.transform(weights, lambda w: F.greatest(F.lit(least), F.least(F.lit(most), w * s)))
+    high = most / F.greatest(F.array_min(F.filter(weights, lambda w: w > 0)), F.lit(1e-12))
+    halve = lambda a, _: let((a["lo"] + a["hi"]) / 2, lambda m: let(total(clamped(m)) < whole, lambda low: F.struct(F.when(low, m).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(m).alias("hi"))))
+    scale = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), high.alias("hi")), halve)["hi"]
+    possible = (whole >= F.size(weights) * least) & (whole <= total(clamped(high)) + 1e-9)
+    return F.when(possible, let(scale, clamped))
+
+
+def best_window(grid: Column, width: int, size: int) -> Column:
+    """(mean, y, x) of the ``size`` by ``size`` window with the largest mean of a grid given row by row, the first of equals."""
+    places = [(y, x) for y in range(width - size + 1) for x in range(width - size + 1)]
+    mean = lambda y, x: total(F.transform(F.lit([(y + a) * width + x + b for a in range(size) for b in range(size)]), lambda k: F.element_at(grid, k + 1))) / (size * size)
+    tried = F.array(*(F.struct((-F.round(mean(y, x), 9)).alias("m"), F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in places))
+    return let(F.array_min(tried), lambda b: F.struct((-b["m"]).alias("mean"), b["y"].alias("y"), b["x"].alias("x")))
+
+
+__all__ = ["allocate", "best_window", "centred", "committee", "derangement", "entropy", "entropy_within_parent", "equivalent_logits", "interpolate", "interval_density", "mass_map", "one_hot", "places_of_parent", "pooled_logits", "reordered", "rescaled"]

@@ -84,3 +84,20 @@ def test_derangement_moves_every_other_class(spark):
     for row in d:
         assert sorted(row["to"]) == list(range(10)) and row["to"][row["t"]] == row["t"]
         assert all(k != v for k, v in enumerate(row["to"]) if k != row["t"])
+
+
+def test_allocate(spark):
+    rows = [([1.0, 2.0, 7.0, 0.0], 4.0), ([1.0, 1.0, 1.0, 1.0], 8.0), ([5.0, 1.0, 1.0, 1.0], 9.0), ([0.0, 0.0, 0.0, 1.0], 4.0)]
+    got = [r["a"] for r in spark.createDataFrame(rows, "w array<double>, t double").select(sl.allocate(F.col("w"), F.col("t"), 0.5, 2.0).alias("a")).collect()]
+    for (w, t), a in zip(rows[:2], got):
+        assert sum(a) == pytest.approx(t) and min(a) >= 0.5 and max(a) <= 2.0
+        free = [x / v for x, v in zip(a, w) if 0.5 + 1e-9 < x < 2.0 - 1e-9]
+        assert not free or max(free) == pytest.approx(min(free))  # one scale for all that no bound holds
+    assert got[2] is None  # nine do not fit under four caps of two
+    assert got[3] is None or sum(got[3]) == pytest.approx(4.0)
+
+
+def test_interpolate_ends(spark):
+    d = spark.createDataFrame([(-1.0,), (0.0,), (5.0,), (10.0,), (99.0,)], "x double")
+    got = [r["y"] for r in d.select(sl.interpolate(F.lit([0.0, 10.0]), F.lit([1.0, 3.0]), F.col("x")).alias("y")).collect()]
+    assert got == pytest.approx([1.0, 1.0, 2.0, 3.0, 3.0])
