@@ -111,3 +111,21 @@ def q_best_window(table):
     """The best three by three window of an 8 by 8 map."""
     d = table("embeddings").select("vec_id", sl.best_window(fn.doubles(F.col("embedding")), 8, 3).alias("b"))
     return d.select("vec_id", r("b.mean").alias("mean"), "b.y", "b.x")
+
+
+@query("q_matched_contrast", "SELECT l_returnflag, round(avg(x) FILTER (a = b) - avg(x) FILTER (a <> b), 4) + 0.0 AS contrast FROM (SELECT l_returnflag, l_linenumber % 3 AS a, l_orderkey % 3 AS b, avg(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1")
+def q_matched_contrast(table):
+    """Mean of the matched cells less that of the others, by key."""
+    cells = table("lineitem").groupBy("l_returnflag", (F.col("l_linenumber") % 3).alias("a"), (F.col("l_orderkey") % 3).alias("b")).agg(F.avg("l_extendedprice").alias("x"))
+    matched = F.col("a") == F.col("b")
+    return cells.groupBy("l_returnflag").agg(r(F.avg(F.when(matched, F.col("x"))) - F.avg(F.when(~matched, F.col("x"))), 4).alias("contrast"))
+
+
+@query("q_top_stratum_halves", "WITH k AS (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n, count(*) OVER (PARTITION BY lang) AS size FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS m, count(*) OVER (PARTITION BY lang) AS taken FROM k WHERE n <= ceil(0.2 * size)) SELECT lang, doc_id, CASE WHEN m <= taken // 2 THEN 'low' ELSE 'high' END AS half FROM t")
+def q_top_stratum_halves(table):
+    """The top fifth of each group by one measure, halved by another."""
+    by = Window.partitionBy("lang")
+    n = F.row_number().over(by.orderBy(F.desc("n_chars"), "doc_id"))
+    top = table("documents").select("doc_id", "lang", "source", "n_chars").withColumns({"n": n, "size": F.count("*").over(by)}).where(F.col("n") <= F.ceil(0.2 * F.col("size")))
+    m = F.row_number().over(by.orderBy("source", "doc_id"))
+    return top.withColumns({"m": m, "taken": F.count("*").over(by)}).select("lang", "doc_id", F.when(F.col("m") <= F.floor(F.col("taken") / 2), "low").otherwise("high").alias("half"))
