@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ RIDGE, STEPS = 1e-5, 600
 #: A toxic row counts as so many clean ones in the fit.
 TOXIC_WEIGHT = 3.0
 CACHE_ENTRIES = 200_000
+#: Lengths of the stretches of spaced letters where no word list says which are wanted.
+STRETCHES = range(3, 41)
 
 _EDGE = ".,;:?\"'`´’“”()[]{}<>«»¿¡…–—"
 _RUN_AT_END = re.compile(r"([!$*%&#@|+~^=_-])\1+$")
@@ -77,6 +79,14 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(count, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
+def _spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters)).strip()
+
+
 class CharacterModel:
     """Costs (negative log probabilities) of a letter after two others, with add-one smoothing."""
 
@@ -88,32 +98,40 @@ class CharacterModel:
         self.cost = -np.log(n / n.sum(axis=2, keepdims=True))
         self.rows = self.cost.tolist()
 
-    def restore(self, shown: str) -> tuple[str, float]:
-        """The best path through the lattice of ``shown``, and its cost a letter."""
-        # states: (last two classes, last letter) -> (cost, word)
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    def restore(self, shown: str, cut: bool = False) -> tuple[str, float]:
+        """The best path through the lattice of ``shown``, and its cost a letter. With ``cut`` each separator may also end a word,
+        and the words found have a space between them. Time and memory are linear in the length: paths share their beginnings."""
+        # states: (last two classes, last letter) -> (cost, path), a path being (path before, letter)
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c in shown:
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             options = [(x, SUBSTITUTE) for x in SIGNS.get(c, "")]
             if c.isalpha():
                 options.append((c, 0.0))
             drop = SEPARATE if c in SEPARATORS else REPEAT * 4 if c in SIGNS and not c.isalpha() else None
-            for (a, b, last), (cost, word) in states.items():
+            ends = cut and c in SEPARATORS
+            for (a, b, last), (cost, path) in states.items():
                 for letter, extra in options:
                     k = char_class(letter)
                     key, new = (b, k, letter), cost + extra + self.rows[a][b][k]
                     if key not in after or new < after[key][0]:
-                        after[key] = (new, word + letter)
+                        after[key] = (new, (path, letter))
+                if ends and b:
+                    key, new = (b, 0, ""), cost + self.rows[a][b][0]
+                    if key not in after or new < after[key][0]:
+                        after[key] = (new, (path, " "))
                 gone = REPEAT if c == last and c.isalpha() else drop
                 if gone is None and any(x == last for x, _ in options) and last:
                     gone = REPEAT + SUBSTITUTE
                 if gone is not None:
                     key = (a, b, last)
                     if key not in after or cost + gone < after[key][0]:
-                        after[key] = (cost + gone, word)
+                        after[key] = (cost + gone, path)
             states = after or states
-        cost, word = min((cost + self.rows[a][b][0], word) for (a, b, _), (cost, word) in states.items())
-        return word, cost / max(1, len(word))
+        ends_at = [(cost + self.rows[a][b][0], path) for (a, b, _), (cost, path) in states.items()]
+        least = min(cost for cost, _ in ends_at)
+        word = min(_spelled(path) for cost, path in ends_at if cost == least)
+        return word, least / max(1, len(word))
 
     def candidates(self, shown: str) -> list[str]:
         """The restored word; with letters tripled or more also each such run cut to one and to two."""
@@ -124,10 +142,12 @@ class CharacterModel:
 
 
 class Deobfuscator:
-    """Restores the disguised words of a text; keeps the tokens seen of late."""
+    """Restores the disguised words of a text; keeps the tokens seen of late. ``lengths``: of the stretches of a run of single
+    letters that are read as words, wherever they start; all words of these lengths are found."""
 
-    def __init__(self, model: CharacterModel) -> None:
+    def __init__(self, model: CharacterModel, lengths: Iterable[int] = STRETCHES) -> None:
         self.model = model
+        self.lengths = sorted({*lengths})
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def _token(self, token: str) -> tuple[str, ...]:
@@ -138,10 +158,11 @@ class Deobfuscator:
         letters = sum(ch.isalpha() for ch in core)
         if core.isalpha():
             return (core,)
-        if letters >= 1 and len(core) <= 40 and _HAS_SIGN.search(core):
+        if letters >= 1 and _HAS_SIGN.search(core):
             parts = [p for p in re.split(r"[^\w@$!|+(€£]+", core) if p]
             inner = [p for p in parts if len(p) > 1]
-            return (*(p for p in inner if p.isalpha()), *self.model.candidates(core), *(x for p in inner if not p.isalpha() and any(map(str.isalpha, p)) and p != core for x in self.model.candidates(p)))
+            words = self.model.restore(core, cut=True)[0].split() if any(ch in SEPARATORS for ch in core) else ()
+            return (*words, *(p for p in inner if p.isalpha()), *self.model.candidates(core), *(x for p in inner if not p.isalpha() and any(map(str.isalpha, p)) and p != core for x in self.model.candidates(p)))
         return tuple(p for p in re.split(r"[\W\d_]+", core) if p)
 
     def words(self, text: str) -> set[str]:
@@ -159,13 +180,16 @@ class Deobfuscator:
         return out
 
     def _spaced(self, run: str) -> set[str]:
-        """The words of a run of single letters; where it is too long for one word, all its stretches of 3 to 12 letters."""
-        if len(run) <= 40:
-            return set(self.model.candidates(run))
-        out: set[str] = set()
-        for k in range(0, len(run), 40):
-            part = self.model.restore(run[max(0, k - 24) : k + 40])[0]
-            out.update(part[a : a + n] for n in range(3, 13) for a in range(len(part) - n + 1))
+        """The words of a run of single letters: the whole run as one, the words of the best way to cut it, and,
+        where it has letters and not signs alone, every stretch of the wanted lengths. Stretches come from both restored texts and from
+        the signs as they stand, each taken for its first and for its last letter."""
+        words = self.model.restore(run, cut=True)[0].split()
+        whole = self.model.restore(run)[0]
+        out = {whole, *words}
+        if any(ch.isalpha() for ch in run):
+            shown = run[::2]
+            for letters in {whole, "".join(words), *("".join(SIGNS.get(ch, ch)[k] for ch in shown) for k in (0, -1))}:
+                out.update(letters[a : a + n] for n in self.lengths for a in range(len(letters) - n + 1))
         return out
 
     def restore_text(self, text: str) -> str:
@@ -186,7 +210,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Deobfuscator(model)
+        reader = Deobfuscator(model, ())  # stretches are only possible readings, no words to learn from
         toxic, clean = Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
@@ -224,7 +248,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
     place = {w: k for k, w in enumerate(listed)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Deobfuscator(model)
+        reader = Deobfuscator(model, map(len, listed))
         for batch in text_chunks(batches, 4 << 20):
             found = [[place[w] for w in place.keys() & reader.words(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["hits", "toxic"])
@@ -262,7 +286,8 @@ def toxicity_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, weights, prior = Deobfuscator(trained["model"]), trained["words"], trained["prior"]
+        weights, prior = trained["words"], trained["prior"]
+        reader = Deobfuscator(trained["model"], map(len, weights))
         listed = weights.keys()
         for batch in text_chunks(batches, 8 << 20, "_text"):
             scores = []

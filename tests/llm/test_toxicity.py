@@ -72,3 +72,25 @@ def test_nothing_labelled(spark):
     df = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     empty = spark.createDataFrame([], "text string, toxic int")
     assert toxicity_score(df, train(df, empty)).first().predicted == 0
+
+
+def test_spaced_words_beside_other_letters(trained):
+    reader = Deobfuscator(trained["model"])
+    assert "idiot" in reader.words("you are a i d i o t")
+    assert "idiot" in reader.words("garden y i d i o t")
+    assert {"moron", "idiot"} <= reader.words("the m o r o n i d i o t here")
+    assert {"moron", "idiot", "scum"} <= reader.words("m 0 r 0 n 1 d 1 0 t $ c u m")
+
+
+def test_long_sign_tokens_are_decoded(trained):
+    reader = Deobfuscator(trained["model"])
+    token = "garden-1d10t.river-m0r0n.window-letter.morning-paper.market-l0$er"
+    assert len(token) > 60 and {"idiot", "moron", "loser", "garden", "market"} <= reader.words(token)
+    assert "idiot" in reader.words("x" * 300 + "-" + "1d10t")
+    assert len(trained["model"].restore("1d10t-" * 20_000, cut=True)[0]) > 50_000  # of any length
+
+
+def test_scores_of_spaced_and_joined(spark, trained):
+    texts = ["you are a i d i o t", "a m o r o n l o s e r", "garden-1d10t.river-m0r0n.window-letter.morning-paper.market-river", "a r i v e r", "1 2 3 4 5 6 7"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity_score(df, trained).orderBy("doc_id").collect()] == [1, 1, 1, 0, 0]
