@@ -1,18 +1,13 @@
 """Benchmark decontamination by edit distance.
 
-Texts are strings of words. The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) embeds a string so that few edits
-become few differing coordinates: it copies the word it stands on and moves on or stays by a random bit of word and
-step. Keys of a few sampled coordinates then meet by chance for near strings; with enough repetitions a near window
-is found with the target recall, and every meeting is verified by its exact edit distance.
-
-Windows have their item's length and start at every word of every text. An edit spoils at most three triples of neighbouring
-words, so a window that could match still holds many triples of the benchmark; prefix sums of known words and triples drop the
-others without loss, and only the rest is embedded.
+Texts are strings of words. An edit spoils at most q grams of q neighbouring words, so a stretch that matches an item still
+holds a known number of the item's grams close together. Places of grams that are dense enough for their length are joined with the
+items that hold them; every item whose grams meet so densely is verified by its exact edit distance on the stretch around them. Nothing is lost on the
+way, for any length of item and kind of edit.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,11 +22,11 @@ from .shared import read_table, text_chunks
 
 #: Edits allowed, as a share of an item's words (rounded down).
 MAX_EDIT = 0.2
-#: Sampled coordinates of a key; the share of coordinates that agree at MAX_EDIT, at least; the recall wanted; walks.
-SAMPLED, AGREE, RECALL, WALKS = 4, 0.42, 0.98, 4
 #: Benchmark text that one pass over the documents compares with, at most; a larger benchmark takes several passes.
 PASS_BYTES = 8 << 20
 CACHE_ENTRIES = 300_000
+#: Meetings of grams and items that are looked at together, about.
+MEETINGS = 2_000_000
 _EDGES = ".,;:!?\"'`()[]{}<>*#$%&|-–—…«»“”‘’¿¡_=+~^/\\"
 
 
@@ -40,11 +35,6 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(_EDGES) for x in (text or "").lower().split()) if w]
 
 
-def repetitions(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> int:
-    """Keys needed so that one of them meets with the recall wanted."""
-    return math.ceil(math.log(1 - recall) / math.log1p(-(agree**sampled)))
-
-
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     h = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -53,7 +43,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def embed(words: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.ndarray:
-    """CGK embeddings (rows: starts; ``2 * length`` steps) of the windows of ``length`` words; 0 beyond a window's end."""
+    """The walk of Chakraborty, Goldenberg and Koucky (2016), under which few edits become few differing coordinates; the search itself
+    needs no such chance. CGK embeddings (rows: starts; ``2 * length`` steps) of the windows of ``length`` words; 0 beyond a window's end."""
     at, stop = starts.copy(), starts + length
     out = np.zeros((2 * length, len(starts)), np.uint64)
     for t in range(2 * length):
@@ -64,21 +55,6 @@ def embed(words: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.n
     return out
 
 
-@functools.lru_cache(maxsize=1024)
-def _sampled(length: int, walk: int, repeats: int) -> np.ndarray:
-    """The coordinates of each repetition's key."""
-    rng = np.random.default_rng([length, walk])
-    return np.array([np.sort(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False)) for _ in range(repeats)])
-
-
-def keys(embedded: np.ndarray, length: int, walk: int, repeats: int) -> np.ndarray:
-    """A key for each repetition (rows) and window: a hash of the repetition's sampled coordinates."""
-    h = ((length << 32) + (walk << 16) + np.arange(repeats, dtype=np.uint64))[:, None]
-    for c in _sampled(length, walk, repeats).T:
-        h = _mix(h ^ embedded[c], 0xC2B2AE3D)
-    return h
-
-
 def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
     """Fewest edits between ``item`` and any stretch of ``text``, and where that stretch starts; None beyond ``most``."""
     row = [(0, k) for k in range(len(text) + 1)]
@@ -101,6 +77,27 @@ def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] |
     return (edits, start) if edits <= most else None
 
 
+def _dense(places: np.ndarray, many: int, span: int) -> np.ndarray:
+    """The places that are among ``many`` of which the first and last are at most ``span`` apart."""
+    n = len(places) - many + 1
+    if n <= 0:
+        return places[:0]
+    near = np.flatnonzero(places[many - 1 :] - places[:n] <= span)
+    cover = np.zeros(len(places) + 1, np.int64)
+    cover[near] += 1
+    cover[near + many] -= 1
+    return places[np.cumsum(cover[:-1]) > 0]
+
+
+def _pieces(places: np.ndarray, meetings: np.ndarray, span: int) -> Iterator[slice]:
+    """The places in pieces of about ``MEETINGS`` meetings, cut only where neighbours are more than ``span`` apart."""
+    start, done, total = 0, 0, np.cumsum(meetings)
+    for end in [*(np.flatnonzero(np.diff(places) > span) + 1).tolist(), len(places)]:
+        if end > start and (total[end - 1] - done >= MEETINGS or end == len(places)):
+            yield slice(start, end)
+            start, done = end, total[end - 1]
+
+
 class _Codes(dict):
     """Numbers of the tokens seen of late; 0 for tokens of signs alone."""
 
@@ -126,25 +123,22 @@ class Finder:
         by_length = defaultdict(list)
         for k, (_, ws) in enumerate(self.items):
             by_length[len(ws)].append(k)
-        repeats = -(-repetitions() // WALKS)
+        #: for each length of items: edits, size of grams, grams that survive the most edits, sorted hashes of grams and their items
         self.tables = []
-        for length, which in sorted(by_length.items()):
-            stacked = np.array([w for k in which for w in self.items[k][1]], np.uint64)
-            starts = np.arange(len(which)) * length
-            walks = []
-            for walk in range(WALKS):
-                all_keys = keys(embed(stacked, starts, length, walk), length, walk, repeats).ravel()
-                owner = np.tile(np.array(which), repeats)
-                order = np.argsort(all_keys, kind="stable")
-                walks.append((all_keys[order], owner[order]))
-            self.tables.append((length, int(max_edit * length), walks))
-        self.repeats = repeats
-        #: by the hash of a triple of neighbouring words, bits of the lengths of the items that hold it; other triples may
+        #: by size of grams: by the hash of a gram, bits of the lengths of the items that hold it; other grams may
         #: share a hash and other lengths a bit, none is missed
-        self.triples = np.zeros(1 << 20, np.uint64)
-        for _, ws in self.items:
-            if len(ws) > 2:
-                self.triples[self._triples(np.array(ws, np.uint64))] |= np.uint64(1 << len(ws) % 64)
+        self.marks: dict[int, np.ndarray] = {}
+        for length, which in sorted(by_length.items()):
+            edits = int(max_edit * length)
+            # an edit spoils at most q grams of q words
+            q = next((q for q in (3, 2) if length - q + 1 - q * edits > 0), 1)
+            grams = [self._grams(np.array(self.items[k][1], np.uint64), q) for k in which]
+            held, owner = np.concatenate(grams), np.repeat(np.array(which), [len(g) for g in grams])
+            self.marks.setdefault(q, np.zeros(1 << 20, np.uint64))[held >> np.uint64(44)] |= np.uint64(1 << length % 64)
+            order = np.lexsort((owner, held))
+            held, owner = held[order], owner[order]
+            new = np.append(True, (held[1:] != held[:-1]) | (owner[1:] != owner[:-1]))  # a gram counts once an item
+            self.tables.append((length, edits, q, max(1, length - q + 1 - q * edits), held[new], owner[new]))
         self.codes = _Codes(self)
 
     def code(self, word: str) -> int:
@@ -152,17 +146,20 @@ class Finder:
         return (xxhash.xxh64_intdigest(word) | 3) - (word not in self.vocabulary)
 
     @staticmethod
-    def _triples(words: np.ndarray) -> np.ndarray:
-        """The mark of the triple that starts at each word but the last two."""
-        h = (words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1]) * np.uint64(0xD6E8FEB86659FD93) + words[2:]
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)
+    def _grams(words: np.ndarray, size: int) -> np.ndarray:
+        """The hash of the ``size`` neighbouring words that start at each word, where there are so many."""
+        h = words[: max(0, len(words) - size + 1)]
+        for k in range(1, size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text its ``(place of the item, edits, first word)``, each item once, where it fits best."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not self.items:
             return out
-        gap = np.zeros(self.longest, np.uint64)
+        gap = np.zeros(2 * self.longest + 1, np.uint64)
         parts, firsts, at = [], [], 0
         code = self.codes.__getitem__
         for t in texts:
@@ -172,53 +169,46 @@ class Finder:
             firsts.append(at)
             parts += [w, gap]  # no window reaches from one text into the next
             at += len(w) + len(gap)
-        words = np.concatenate([*parts, np.zeros(2, np.uint64)])
-        known = np.concatenate([[0], np.cumsum((words & np.uint64(1)).astype(np.int32))])
-        marks = self.triples[self._triples(words)]
-        places = np.flatnonzero(marks)
-        marks = marks[places]
-        pairs = set()
-        for length, edits, walks in self.tables:
-            whole = length - 2 - 3 * edits  # triples that survive the most edits (an insertion spoils two and pushes one out)
-            if whole > 0:
-                own = places[(marks >> np.uint64(length % 64)) & np.uint64(1) > 0]
-                # any so many triples in a row that fit a window give its possible starts; both ends never fall
-                low, high = own[whole - 1 :] - (length - 3), own[: max(0, len(own) - whole + 1)]
-                low = np.maximum(np.maximum(low, 0), np.append(-1, high[:-1]) + 1 if len(high) else low)
-                many = np.maximum(0, high - low + 1)
-                starts = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                starts = starts[starts + length <= len(words)]
-                starts = starts[known[starts + length] - known[starts] >= length - edits]
-            else:
-                starts = np.flatnonzero(known[length:] - known[:-length] >= length - edits)
-            starts = starts[words[starts] != 0]
-            for k in range(0, len(starts), 4_000):
-                some = starts[k : k + 4_000]
-                for walk, (table, owner) in enumerate(walks):
-                    h = keys(embed(words, some, length, walk), length, walk, self.repeats)
-                    low = np.searchsorted(table, h)
-                    for r, x in np.argwhere(table[np.minimum(low, len(table) - 1)] == h).tolist():
-                        p = int(low[r, x])
-                        while p < len(table) and table[p] == h[r, x]:
-                            pairs.add((int(owner[p]), int(some[x])))
-                            p += 1
-        first = np.array(firsts)
+        words = np.concatenate(parts)
+        grams = {q: self._grams(words, q) for q in self.marks}
+        marked = {}
+        for q, marks in self.marks.items():
+            bits = marks[grams[q] >> np.uint64(44)]
+            places = np.flatnonzero(bits)
+            marked[q] = (places, bits[places])
+        first, last = np.array(firsts), np.array([*firsts[1:], at]) - len(gap)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for k, start in sorted(pairs):
-            doc = int(np.searchsorted(first, start, side="right")) - 1
-            item, most = self.items[k][1], self.edits[k]
-            if start < done.get((k, doc), -1):
-                continue  # a stretch that was verified covers this start
-            low = max(firsts[doc], start - most)
-            high = start + 2 * len(item) + most
-            stretch = words[low:high].tolist()
-            if 0 in stretch:
-                stretch = stretch[: stretch.index(0)]
-            done[k, doc] = start + len(item) - most
-            found = best_match(item, stretch, most)
-            if found and ((k, doc) not in best or found[0] < best[k, doc][1]):
-                best[k, doc] = (k, found[0], low + found[1] - firsts[doc], doc)
+        for length, edits, q, whole, held, owner in self.tables:
+            places, bits = marked[q]
+            own = places[(bits >> np.uint64(length % 64)) & np.uint64(1) > 0]
+            span = length + edits - q  # a stretch within reach of an item starts its first and last gram so far apart at most
+            own = _dense(own, whole, span)
+            every = np.searchsorted(held, grams[q][own])
+            meetings = np.searchsorted(held, grams[q][own], side="right") - every
+            met_at = np.flatnonzero(meetings)
+            own, every, meetings = own[met_at], every[met_at], meetings[met_at]
+            for piece in _pieces(own, meetings, span):
+                low, many = every[piece], meetings[piece]
+                item = owner[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                place = np.repeat(own[piece], many)
+                order = np.lexsort((place, item))
+                item, place = item[order], place[order]
+                n = len(item) - whole + 1
+                if n <= 0:
+                    continue
+                met = np.flatnonzero((item[:n] == item[whole - 1 :]) & (place[whole - 1 :] - place[:n] <= span))
+                if not len(met):
+                    continue
+                # the stretches that hold these grams; those that overlap are one
+                start, stop, of = place[met + whole - 1] - span, place[met] + length + edits, item[met]
+                doc = np.searchsorted(first, place[met], side="right") - 1
+                cuts = np.append(0, np.flatnonzero((of[1:] != of[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])) + 1)
+                for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(met)).tolist(), strict=True):
+                    k, d = int(of[a]), int(doc[a])
+                    begin, end = max(int(start[a]), int(first[d])), min(int(stop[z - 1]), int(last[d]))
+                    found = best_match(self.items[k][1], words[begin:end].tolist(), edits)
+                    if found and ((k, d) not in best or found[0] < best[k, d][1]):
+                        best[k, d] = (k, found[0], begin + found[1] - firsts[d], d)
         for k, edits, start, doc in best.values():
             out[doc].append((k, edits, start))
         return [sorted(x) for x in out]

@@ -90,3 +90,42 @@ def test_exact_and_lightly_edited_always(spark):
     clean = decontaminate(df, bench)
     assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [100, 101, 102]
     assert decontaminate(df.limit(0), bench).count() == 0 and decontaminate(df, bench.limit(0)).count() == len(rows)
+
+
+def edited_by(rng, words, edits, how):
+    """The words after so many edits of one kind (0 replaced, 1 left out, 2 put in, 3 mixed), the first and last words kept."""
+    words, fresh = list(words), iter(range(10**6))
+    for _ in range(edits):
+        k, kind = rng.randrange(1, len(words) - 1), rng.randrange(3) if how == 3 else how
+        if kind == 0:
+            words[k] = f"other{next(fresh)}"
+        elif kind == 1:
+            del words[k]
+        else:
+            words.insert(k, f"other{next(fresh)}")
+    return words
+
+
+def test_no_passage_is_lost_by_kind_of_edit_and_length():
+    rng = random.Random(5)
+    for length in (4, 5, 7, 16, 30, 60, 100, 200, 300):
+        for how in range(4):
+            items = [(k, [f"w{rng.randrange(10**6)}" for _ in range(length)]) for k in range(25 if length <= 60 else 8)]
+            texts = []
+            for _, ws in items:
+                around = [rng.choice(WORDS) for _ in range(120)]
+                texts.append(" ".join([*around[:60], *edited_by(rng, ws, int(0.2 * length), how), *around[60:]]))
+            found = Finder(items).search(texts)
+            assert [[m[0] for m in of] for of in found] == [[k] for k in range(len(items))], (length, how)
+
+
+def test_finds_what_all_stretches_hold():
+    """Against the edit distances of all stretches, with few words, so that many stretches come close."""
+    rng = random.Random(9)
+    items = [(k, [f"v{rng.randrange(9)}" for _ in range(rng.choice([1, 2, 3, 5, 6, 10, 11]))]) for k in range(12)]
+    texts = [[f"v{rng.randrange(9)}" for _ in range(rng.randrange(30))] for _ in range(12)]
+    texts += [edited(rng, ws, int(0.2 * len(ws))) if len(ws) > 3 else ws for _, ws in items]
+    found = Finder(items).search([" ".join(t) for t in texts])
+    for text, of in zip(texts, found, strict=True):
+        wanted = {(k, e) for k, ws in items if (e := brute(ws, text, int(0.2 * len(ws)))) is not None}
+        assert {(k, e) for k, e, _ in of} == wanted
