@@ -141,12 +141,12 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def verified_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verified_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, threshold: float, cross: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places ``a < b`` that share a band and whose sets have Jaccard similarity at or above ``threshold``. Where
-    ``left`` tells places apart (a tile of two blocks), only pairs across are wanted."""
+    ``left`` tells places apart (a tile of two blocks), only pairs across are wanted; ``cross`` says so also where one block is empty."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
-    cross = not left.all()
+    cross = not left.all() if cross is None else cross
     groups = [[g for g in _band_groups(bands[:, k])] for k in range(bands.shape[1])]
     load = sum(len(g) ** 2 for of in groups for g in of)
     if load <= 64 * n:
@@ -221,7 +221,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
         order = np.argsort(of, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
             sets = [ngram_set(column[int(k)].as_py(), words) for k in at]
-            a, b = verified_pairs(sets, hashes[at], mine[at] == i if i != j else np.ones(len(at), bool), threshold)
+            a, b = verified_pairs(sets, hashes[at], mine[at] == i, threshold, cross=i != j)
             np.add.at(links, at[a], copies[at[b]])
             np.add.at(links, at[b], copies[at[a]])
             low[at] = cid[at][forest(len(at), a, b)]

@@ -83,3 +83,11 @@ def test_keep_one(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
     assert keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_links_count_once_where_a_block_is_empty(spark):
+    """Two long near copies that fall into the same one of two blocks."""
+    words = [f"w{k}" for k in range(1_000)]
+    rows = [(k, " ".join([*words[: 50 * k], f"changed{k}", *words[50 * k :]])) for k in range(2)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block_ngrams=1_000).collect())
+    assert got == [(0, 0, 1), (1, 0, 1)]
