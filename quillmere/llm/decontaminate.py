@@ -1,13 +1,18 @@
-"""Benchmark decontamination by edit distance.
-
-Texts are strings of words. An edit spoils at most q grams of q neighbouring words, so a stretch that matches an item still
-holds a known number of the item's grams close together. Places of grams that are dense enough for their length are joined with the
-items that hold them; every item whose grams meet so densely is verified by its exact edit distance on the stretch around them. Nothing is lost on the
-way, for any length of item and kind of edit.
+"""Benchmark decontamination: CGK walks, bit-sampling LSH, exact edit distances.
+
+1. Texts are strings of words. The random walk of Chakraborty, Goldenberg and Koucky (2016) maps windows to strings in which few
+   edits become few differing coordinates; keys of a few sampled coordinates, repeated over many walks, then meet (LSH).
+2. The distortion of a walk grows with the square of the edits, so an item of more than about ``PIECE`` words is embedded in pieces of that
+   size: of m pieces one has at most 1/m of the edits, whatever their kind and place, and it is this piece whose keys meet. Without that,
+   recall falls with an item's length (measured before: 0.5 at 100 words with a fifth left out).
+3. Only windows around places that can hold a match are embedded: an edit spoils at most q grams of q neighbouring words, so a match
+   leaves a known number of grams of the benchmark close together. This filter loses nothing.
+4. Items whose keys meet are verified by the exact edit distance on the stretch around the window.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +30,11 @@ MAX_EDIT = 0.2
 #: Benchmark text that one pass over the documents compares with, at most; a larger benchmark takes several passes.
 PASS_BYTES = 8 << 20
 CACHE_ENTRIES = 300_000
-#: Meetings of grams and items that are looked at together, about.
-MEETINGS = 2_000_000
+#: Words of a piece, about; walks, keys of each walk, and coordinates of a key. At one edit in a piece of 8 words a key meets with a chance
+#: of 0.2 or more, so that 96 keys all miss with a chance below 1e-6; tests hold the recall by length and kind of edit.
+PIECE, WALKS, KEYS, SAMPLED = 8, 16, 6, 3
+#: Windows that are embedded together.
+WINDOWS = 4_000
 _EDGES = ".,;:!?\"'`()[]{}<>*#$%&|-–—…«»“”‘’¿¡_=+~^/\\"
 
 
@@ -43,8 +51,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def embed(words: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.ndarray:
-    """The walk of Chakraborty, Goldenberg and Koucky (2016), under which few edits become few differing coordinates; the search itself
-    needs no such chance. CGK embeddings (rows: starts; ``2 * length`` steps) of the windows of ``length`` words; 0 beyond a window's end."""
+    """CGK embeddings (rows: ``2 * length`` steps; columns: starts) of the windows of ``length`` words; 0 beyond a window's end. At each step the
+    word at hand is written down, and a hash of it and of the step tells whether the walk goes on to the next word."""
     at, stop = starts.copy(), starts + length
     out = np.zeros((2 * length, len(starts)), np.uint64)
     for t in range(2 * length):
@@ -55,6 +63,58 @@ def embed(words: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.n
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def _sampled(length: int, walk: int) -> np.ndarray:
+    """The coordinates of each of the walk's keys."""
+    rng = np.random.default_rng([length, walk])
+    return np.array([np.sort(rng.choice(2 * length, min(SAMPLED, 2 * length), replace=False)) for _ in range(KEYS)])
+
+
+def walk_keys(words: np.ndarray, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """For each walk its keys (rows) of the windows (columns): hashes of the sampled coordinates."""
+    for walk in range(WALKS):
+        embedded = embed(words, starts, length, walk)
+        h = ((length << 32) + (walk << 16) + np.arange(KEYS, dtype=np.uint64))[:, None]
+        for c in _sampled(length, walk).T:
+            h = _mix(h ^ embedded[c], 0xC2B2AE3D)
+        yield h
+
+
+def pieces_of(length: int) -> list[tuple[int, int]]:
+    """``(first word, words)`` of the pieces that an item of ``length`` words is cut into."""
+    many = max(1, round(length / PIECE))
+    edges = [length * k // many for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+class PieceTable:
+    """The keys of all pieces of one size of items of one length: sorted, with a bitmap that turns most windows away."""
+
+    def __init__(self, size: int, words: np.ndarray, starts: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        self.size = size
+        held = np.concatenate([h.ravel() for h in walk_keys(words, starts, size)])
+        times = WALKS * KEYS
+        order = np.argsort(held, kind="stable")
+        self.held, self.item, self.offset = held[order], np.tile(item, times)[order], np.tile(offset, times)[order]
+        self.some = np.zeros(1 << 16, bool)
+        self.some[held >> np.uint64(48)] = True
+
+    def meet(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the places where each would start, for the windows whose keys meet a piece's."""
+        items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(starts), WINDOWS):
+            own = starts[k : k + WINDOWS]
+            for h in walk_keys(words, own, self.size):
+                r, x = np.nonzero(self.some[h >> np.uint64(48)])
+                low = np.searchsorted(self.held, h[r, x])
+                many = np.searchsorted(self.held, h[r, x], side="right") - low
+                at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                items.append(self.item[at])
+                places.append(own[np.repeat(x, many)] - self.offset[at])
+        both = np.unique(np.stack([np.concatenate(items), np.concatenate(places)]), axis=1)
+        return both[0], both[1]
+
+
 def best_match(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
     """Fewest edits between ``item`` and any stretch of ``text``, and where that stretch starts; None beyond ``most``."""
     row = [(0, k) for k in range(len(text) + 1)]
@@ -89,13 +149,14 @@ def _dense(places: np.ndarray, many: int, span: int) -> np.ndarray:
     return places[np.cumsum(cover[:-1]) > 0]
 
 
-def _pieces(places: np.ndarray, meetings: np.ndarray, span: int) -> Iterator[slice]:
-    """The places in pieces of about ``MEETINGS`` meetings, cut only where neighbours are more than ``span`` apart."""
-    start, done, total = 0, 0, np.cumsum(meetings)
-    for end in [*(np.flatnonzero(np.diff(places) > span) + 1).tolist(), len(places)]:
-        if end > start and (total[end - 1] - done >= MEETINGS or end == len(places)):
-            yield slice(start, end)
-            start, done = end, total[end - 1]
+def _around(places: np.ndarray, span: int, least: int, end: int) -> np.ndarray:
+    """All places at most ``span`` from one of ``places``, in order."""
+    if not len(places):
+        return places
+    first = np.append(True, places[1:] - places[:-1] > 2 * span + 1)
+    low, high = np.maximum(places[first] - span, least), np.minimum(places[np.append(first[1:], True)] + span, end - 1)
+    many = np.maximum(0, high - low + 1)
+    return np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
 class _Codes(dict):
@@ -123,7 +184,8 @@ class Finder:
         by_length = defaultdict(list)
         for k, (_, ws) in enumerate(self.items):
             by_length[len(ws)].append(k)
-        #: for each length of items: edits, size of grams, grams that survive the most edits, sorted hashes of grams and their items
+        #: for each length of items: edits, size of grams, grams that survive the most edits, a piece's share of them, the tables of
+        #: their pieces, each item's grams
         self.tables = []
         #: by size of grams: by the hash of a gram, bits of the lengths of the items that hold it; other grams may
         #: share a hash and other lengths a bit, none is missed
@@ -132,13 +194,17 @@ class Finder:
             edits = int(max_edit * length)
             # an edit spoils at most q grams of q words
             q = next((q for q in (3, 2) if length - q + 1 - q * edits > 0), 1)
-            grams = [self._grams(np.array(self.items[k][1], np.uint64), q) for k in which]
-            held, owner = np.concatenate(grams), np.repeat(np.array(which), [len(g) for g in grams])
+            own_grams = {k: self._grams(np.array(self.items[k][1], np.uint64), q) for k in which}
+            held = np.concatenate([own_grams[k] for k in which])
             self.marks.setdefault(q, np.zeros(1 << 20, np.uint64))[held >> np.uint64(44)] |= np.uint64(1 << length % 64)
-            order = np.lexsort((owner, held))
-            held, owner = held[order], owner[order]
-            new = np.append(True, (held[1:] != held[:-1]) | (owner[1:] != owner[:-1]))  # a gram counts once an item
-            self.tables.append((length, edits, q, max(1, length - q + 1 - q * edits), held[new], owner[new]))
+            words = np.array([w for k in which for w in self.items[k][1]], np.uint64)
+            cut = pieces_of(length)
+            tables = []
+            for size in sorted({n for _, n in cut}):
+                offset = np.tile([a for a, n in cut if n == size], len(which))
+                row = np.repeat(np.arange(len(which)), len(offset) // len(which))
+                tables.append(PieceTable(size, words, row * length + offset, np.array(which)[row], offset))
+            self.tables.append((length, edits, q, max(1, length - q + 1 - q * edits), edits // len(cut), tables, own_grams))
         self.codes = _Codes(self)
 
     def code(self, word: str) -> int:
@@ -170,6 +236,7 @@ class Finder:
             parts += [w, gap]  # no window reaches from one text into the next
             at += len(w) + len(gap)
         words = np.concatenate(parts)
+        known = np.concatenate([[0], np.cumsum((words & np.uint64(1)).astype(np.int32))])
         grams = {q: self._grams(words, q) for q in self.marks}
         marked = {}
         for q, marks in self.marks.items():
@@ -178,37 +245,35 @@ class Finder:
             marked[q] = (places, bits[places])
         first, last = np.array(firsts), np.array([*firsts[1:], at]) - len(gap)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for length, edits, q, whole, held, owner in self.tables:
+        for length, edits, q, whole, share, tables, own_grams in self.tables:
             places, bits = marked[q]
             own = places[(bits >> np.uint64(length % 64)) & np.uint64(1) > 0]
             span = length + edits - q  # a stretch within reach of an item starts its first and last gram so far apart at most
-            own = _dense(own, whole, span)
-            every = np.searchsorted(held, grams[q][own])
-            meetings = np.searchsorted(held, grams[q][own], side="right") - every
-            met_at = np.flatnonzero(meetings)
-            own, every, meetings = own[met_at], every[met_at], meetings[met_at]
-            for piece in _pieces(own, meetings, span):
-                low, many = every[piece], meetings[piece]
-                item = owner[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                place = np.repeat(own[piece], many)
-                order = np.lexsort((place, item))
-                item, place = item[order], place[order]
-                n = len(item) - whole + 1
-                if n <= 0:
-                    continue
-                met = np.flatnonzero((item[:n] == item[whole - 1 :]) & (place[whole - 1 :] - place[:n] <= span))
-                if not len(met):
-                    continue
-                # the stretches that hold these grams; those that overlap are one
-                start, stop, of = place[met + whole - 1] - span, place[met] + length + edits, item[met]
-                doc = np.searchsorted(first, place[met], side="right") - 1
-                cuts = np.append(0, np.flatnonzero((of[1:] != of[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])) + 1)
-                for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(met)).tolist(), strict=True):
-                    k, d = int(of[a]), int(doc[a])
-                    begin, end = max(int(start[a]), int(first[d])), min(int(stop[z - 1]), int(last[d]))
-                    found = best_match(self.items[k][1], words[begin:end].tolist(), edits)
-                    if found and ((k, d) not in best or found[0] < best[k, d][1]):
-                        best[k, d] = (k, found[0], begin + found[1] - firsts[d], d)
+            starts = _around(_dense(own, whole, span), span + q, 0, len(words) - self.longest)
+            starts = starts[words[starts] != 0]
+            met = []
+            for table in tables:
+                # the piece with no more than its share of the edits leaves so many words of the benchmark in its window
+                near = starts[known[starts + table.size] - known[starts] >= table.size - share]
+                item, place = table.meet(words, near)
+                doc = np.searchsorted(first, np.minimum(np.maximum(place, 0), at), side="right") - 1 if len(item) else item
+                met += zip(item.tolist(), doc.tolist(), place.tolist(), strict=True)
+            met.sort()
+            k = 0
+            while k < len(met):
+                item, doc, place = met[k]
+                begin, end = place - edits, place + length + edits
+                k += 1
+                while k < len(met) and met[k][:2] == (item, doc) and met[k][2] - edits <= end:  # stretches that overlap are one
+                    end = met[k][2] + length + edits
+                    k += 1
+                for d in {doc, min(doc + 1, len(texts) - 1)}:  # a piece put before the text's first word belongs to the next text
+                    low, high = max(begin, int(first[d])), min(end, int(last[d]))
+                    if np.isin(grams[q][low : max(low, high - q + 1)], own_grams[item]).sum() < whole:
+                        continue  # too few of its grams are left for so few edits
+                    found = best_match(self.items[item][1], words[low:high].tolist(), edits)
+                    if found and ((item, d) not in best or found[0] < best[item, d][1]):
+                        best[item, d] = (item, found[0], low + found[1] - firsts[d], d)
         for k, edits, start, doc in best.values():
             out[doc].append((k, edits, start))
         return [sorted(x) for x in out]
