@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read_table, text_chunks
+from .shared import bounded_rows, read_table, text_chunks
 
 #: Hashed n-gram features (letters alone, pairs and triples with word ends).
 BUCKETS = 1 << 13
@@ -88,14 +88,12 @@ def features(texts: list[str], buckets: int = BUCKETS) -> Iterator[np.ndarray]:
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
-    """Learn from at most ``max_docs`` rows of ``(text, lang)``, those with the smallest hash; rows with a null are left out.
+    """Learn from at most ``max_docs`` rows of ``(text, lang)``, of each language an equal share (``bounded_rows``); rows with a null are left out.
 
-    The vectors are made by Spark; the driver gets one of fixed size for each of the bounded rows.
+    The vectors are made by Spark; the driver gets one of fixed size for each of the bounded rows. Of more languages than
+    ``max_docs`` those with most rows are learned.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    total = rows.count()
-    if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+    rows = bounded_rows(labelled.where("text is not null and lang is not null").select("text", "lang"), max_docs, "lang")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, 4 << 20):

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read_table, text_chunks
+from .shared import bounded_ids, bounded_rows, read_table, text_chunks
 
-#: Labelled documents to learn from, at most, and lines of them that the fit uses (a longer document counts by
-#: its line statistics' hash sample only in the fit; scoring always reads every line).
+#: Labelled documents to learn from, at most, and lines of them that the fit uses: documents of more than a tenth of these
+#: lines are not learned from, and where the rest has more lines, fewer documents are. Scoring always reads every line.
 MAX_TRAIN_DOCS = 4_000
 MAX_TRAIN_LINES = 200_000
 STEPS, RIDGE = 200, 1e-4
@@ -173,13 +173,17 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lines: int =
     document's label. Spark makes the line statistics; the driver gets ``OWN`` numbers for each of the bounded lines.
     """
     rows = labelled.where("text is not null and quality is not null").select("text", F.col("quality").cast("int").alias("quality"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
     n_lines = F.size(F.split("text", "\n"))
-    total = rows.agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum(n_lines).alias("lines")).first()
+    blank = labelled.where("quality is not null").where(F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")) == "")
+    blank = blank.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("quality").cast("int")), F.lit(0)).alias("good")).first()
+    empty = blank.good / (blank.n + 1)
+    total = rows.agg(F.count("*").alias("n"), F.sum("quality").alias("good")).first()
     if not total.n or total.good in (0, total.n):
-        return {"w": np.zeros(3 * OWN), "trans": np.zeros((2, 2)), "slope": 0.0, "bias": math.log(((total.good or 0) + 0.5) / ((total.n or 0) - (total.good or 0) + 0.5))}
-    cut = 1_000_000 * min(1.0, max_docs / total.n, max_lines / total.lines)
-    rows = rows.where((F.col("h") < int(cut)) & (n_lines <= max_lines // 10)).select("text", "quality")
+        return {"w": np.zeros(3 * OWN), "trans": np.zeros((2, 2)), "empty": empty, "slope": 0.0, "bias": math.log(((total.good or 0) + 0.5) / ((total.n or 0) - (total.good or 0) + 0.5))}
+    rows = bounded_rows(rows.where(n_lines <= max_lines // 10), max_docs)
+    lines = rows.agg(F.sum(n_lines)).first()[0] or 0
+    if lines > max_lines:  # a tenth to spare, since documents differ in length
+        rows = bounded_rows(rows, max(1, int(0.9 * min(max_docs, total.n) * max_lines / lines)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, 4 << 20):
@@ -198,7 +202,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lines: int =
     p, _, _ = marginals(np.stack([np.zeros(len(x)), x @ w], axis=1), trans, counts)
     odds = document_odds(p[:, 1], sizes, counts)
     slope, bias = _calibrate(odds[counts > 0], doc_label[counts > 0])
-    return {"w": w, "trans": trans, "slope": slope, "bias": bias}
+    return {"w": w, "trans": trans, "empty": empty, "slope": slope, "bias": bias}
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -216,7 +220,8 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def quality_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """One row per input row: the columns in ``keep``, ``score``, ``predicted``, ``n_lines``, ``n_bad_lines``.
 
-    Null and blank texts have no lines and get score 0. Other columns, also of the same names, are left out.
+    Null and blank texts have no lines: they get the share of label 1 among the labelled blank texts (one more bad one counted, so 0
+    where none is labelled). Other columns, also of the same names, are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +232,7 @@ def quality_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc_
             emit = np.stack([np.zeros(len(x)), with_neighbours(x, counts) @ w], axis=1)
             p, _, _ = marginals(emit, trans, counts)
             odds = document_odds(p[:, 1], sizes, counts)
-            score = np.where(counts > 0, 1 / (1 + np.exp(-np.clip(trained["slope"] * np.nan_to_num(odds) + trained["bias"], -30, 30))), 0.0)
+            score = np.where(counts > 0, 1 / (1 + np.exp(-np.clip(trained["slope"] * np.nan_to_num(odds) + trained["bias"], -30, 30))), trained["empty"])
             bad = np.bincount(np.repeat(np.arange(len(counts)), counts), p[:, 1] < 0.5, len(counts))
             made = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(counts), pa.array(bad.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "score", "predicted", "n_lines", "n_bad_lines"])
@@ -244,9 +249,7 @@ def held_out() -> F.Column:
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where("quality is not null").where(~held_out()).select("doc_id", "quality")
-    # the bounded share is drawn by id on both sides before they meet, so that other texts are never shuffled
-    share = min(1.0, MAX_TRAIN_DOCS / max(1, labels.count()))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
-    taught = docs.where(~held_out() & drawn).select("doc_id", "text").join(labels.where(drawn), "doc_id")
+    # bounded before texts are looked up, so that none is shuffled
+    taught = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(bounded_ids(labels, MAX_TRAIN_DOCS)), "doc_id")
     found = quality_score(docs, train(taught))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
@@ -22,6 +22,8 @@ def scratch_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
     return _own_folder[0]
@@ -57,6 +59,38 @@ def text_chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str =
             yield batch.slice(start)
 
 
+def hash_cut(n: int, wanted: int) -> int:
+    """Below this about twice ``wanted`` of ``n`` even 64-bit hashes lie; all of them where there are no more."""
+    return min((1 << 63) - 1, -(1 << 63) + (2 * wanted << 64) // max(1, n)) if 2 * wanted < n else (1 << 63) - 1
+
+
+def bounded_rows(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """``rows`` (``text`` and others) where they are at most ``most``; else exactly bounded: one row of each of the ``most`` distinct texts with
+    the smallest hashes. With ``by`` each of its values has an equal share of ``most``, at least one text, so that a rare one is not
+    lost. Copies count once, whatever their number; the draw is the same every time. Null texts and values must be left out before.
+
+    A first cut by hash, from counts of distinct texts, keeps about twice the rows wanted; only these are shuffled and ranked.
+    """
+    h = F.xxhash64("text")
+    group = F.col(by) if by else F.lit(0)
+    found = rows.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts")).orderBy(F.desc("n"), "g").limit(most).collect()
+    if sum(r.n for r in found) <= most:
+        return rows
+    share = max(1, most // max(1, len(found)))
+    cuts = F.create_map(*(F.lit(x) for r in found for x in (r.g, hash_cut(r.texts, share))))
+    near = rows.select("*", group.alias("_group"), h.alias("_hash")).where(F.col("_hash") <= F.coalesce(cuts[F.col("_group")], F.lit(-(1 << 63))))
+    one = near.dropDuplicates(["_group", "_hash"])
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash"))
+    return one.withColumn("_rank", rank).where(F.col("_rank") <= share).drop("_group", "_hash", "_rank")
+
+
+def bounded_ids(labels: DataFrame, most: int, identity: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows of ``labels``, those with the smallest hashes of their id: small enough to broadcast, whatever repeats."""
+    labels = labels.where(F.col(identity).isNotNull())
+    cut = hash_cut(labels.agg(F.approx_count_distinct(identity)).first()[0], most)
+    return labels.where(F.xxhash64(identity) <= cut).orderBy(F.xxhash64(identity), *labels.columns).limit(most)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, text_chunks
+from .shared import bounded_ids, bounded_rows, materialize, read_table, text_chunks
 
 #: The letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -43,7 +43,8 @@ STRETCHES = range(3, 41)
 
 _EDGE = ".,;:?\"'`´’“”()[]{}<>«»¿¡…–—"
 _RUN_AT_END = re.compile(r"([!$*%&#@|+~^=_-])\1+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*](?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[\s.\-_*]{1,3}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
+_BETWEEN = re.compile(r"[\s.\-_*]+")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _HAS_SIGN = re.compile("[" + re.escape("".join(SIGNS)) + r"._*\-]")
 
@@ -183,11 +184,12 @@ class Deobfuscator:
         """The words of a run of single letters: the whole run as one, the words of the best way to cut it, and,
         where it has letters and not signs alone, every stretch of the wanted lengths. Stretches come from both restored texts and from
         the signs as they stand, each taken for its first and for its last letter."""
+        shown = _BETWEEN.sub("", run)
+        run = " ".join(shown)
         words = self.model.restore(run, cut=True)[0].split()
         whole = self.model.restore(run)[0]
         out = {whole, *words}
         if any(ch.isalpha() for ch in run):
-            shown = run[::2]
             for letters in {whole, "".join(words), *("".join(SIGNS.get(ch, ch)[k] for ch in shown) for k in (0, -1))}:
                 out.update(letters[a : a + n] for n in self.lengths for a in range(len(letters) - n + 1))
         return out
@@ -195,19 +197,17 @@ class Deobfuscator:
     def restore_text(self, text: str) -> str:
         """The whole restored text (white space becomes one space)."""
         pieces = lambda run: (run[k : k + 400] for k in range(0, len(run), 400))
-        low = _SPACED.sub(lambda m: "".join(self.model.restore(p)[0] for p in pieces(m.group())), text.lower())
+        low = _SPACED.sub(lambda m: "".join(self.model.restore(p)[0] for p in pieces(" ".join(_BETWEEN.sub("", m.group())))), text.lower())
         return " ".join((self._token(t) or ("",))[-1] for t in low.split())
 
 
 def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
     """Learn from ``labelled`` (``text``, ``toxic``; nulls are left out): the character model from all of
-    ``docs``, the words from at most ``max_docs`` labelled rows, those with the smallest hash of their text. What reaches the driver is bounded: 28^3 counts and ``MAX_WORDS`` words.
+    ``docs``, the words from at most ``max_docs`` labelled rows (``bounded_rows``). What reaches the driver is bounded: 28^3 counts and ``MAX_WORDS`` words.
     """
     model = CharacterModel({r.trigram: r.n for r in trigram_counts(docs).collect()})
     rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    total = rows.count()
-    if total > max_docs:  # a fixed share of the hash range: no sort, the same rows every time
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+    rows = bounded_rows(rows, max_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Deobfuscator(model, ())  # stretches are only possible readings, no words to learn from
@@ -304,11 +304,9 @@ def toxicity_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc
 def learn_from_tables(spark, docs: DataFrame, sf_dir: str) -> dict:
     """Train on the labelled documents outside the held-out third."""
     labels = read_table(spark, sf_dir, "labels").where("toxic is not null").where(~held_out()).select("doc_id", "toxic")
-    # the bounded share is drawn by id on both sides before they meet, so that other texts are never shuffled
-    share = min(1.0, MAX_TRAIN_DOCS / max(1, labels.count()))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)
-    taught = docs.where(~held_out() & drawn).select("doc_id", "text").join(labels.where(drawn), "doc_id")
-    return train(docs, taught)
+    # bounded before texts are looked up, so that none is shuffled; written once, as three passes read it
+    taught = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(bounded_ids(labels, MAX_TRAIN_DOCS)), "doc_id")
+    return train(docs, materialize(taught, "toxic-taught"))
 
 
 def held_out() -> F.Column:

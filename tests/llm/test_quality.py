@@ -67,3 +67,11 @@ def test_nothing_labelled(spark):
     df = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert 0 <= quality_score(df, trained).first().score <= 1
     assert quality_score(df.limit(0), trained).count() == 0
+
+
+def test_blank_texts_as_labels_say(spark):
+    rows = [("", 1)] * 3 + [(None, 1)] * 4 + [("Good words here.", 1), ("##|##", 0)] * 5
+    trained = train(spark.createDataFrame(rows, "text string, quality int"))
+    assert trained["empty"] == 7 / 8
+    got = quality_score(spark.createDataFrame([(1, None), (2, " \n")], "doc_id long, text string"), trained).collect()
+    assert [r.score for r in got] == [7 / 8] * 2 and all(r.predicted == 1 for r in got)

@@ -94,3 +94,11 @@ def test_scores_of_spaced_and_joined(spark, trained):
     texts = ["you are a i d i o t", "a m o r o n l o s e r", "garden-1d10t.river-m0r0n.window-letter.morning-paper.market-river", "a r i v e r", "1 2 3 4 5 6 7"]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert [r.predicted for r in toxicity_score(df, trained).orderBy("doc_id").collect()] == [1, 1, 1, 0, 0]
+
+
+def test_spaced_by_more_than_one_sign(trained):
+    reader = Deobfuscator(trained["model"])
+    for text in ("you i  d  i  o  t there", "i . d . i . o . t", "i -- d -- i -- o -- t", "i\nd\ni\no\nt", "1  d  1  0  t"):
+        assert "idiot" in reader.words(text), text
+    assert "idiot" in reader.restore_text("you i  d  i  o  t there")
+    assert not reader.words("a - b river") & {"idiot", "ab"}
