@@ -43,7 +43,7 @@ STRETCHES = range(3, 41)
 
 _EDGE = ".,;:?\"'`´’“”()[]{}<>«»¿¡…–—"
 _RUN_AT_END = re.compile(r"([!$*%&#@|+~^=_-])\1+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[\s.\-_*]{1,3}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[\s.\-_*]{1,4}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
 _BETWEEN = re.compile(r"[\s.\-_*]+")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _HAS_SIGN = re.compile("[" + re.escape("".join(SIGNS)) + r"._*\-]")
