@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from .shared import text_chunks
 
 #: Entries a worker keeps for pieces of text and for fragments; when full, it starts afresh, and after each task.
 CACHE_ENTRIES = 400_000
+#: Symbols of a fragment up to which the plain merge loop is faster than the heap.
+SHORT = 48
 
 
 def _byte_symbols() -> list[str]:
@@ -59,20 +62,16 @@ class ForcedBoundaryBPE:
         self.fragment_cache: dict[str, list[int]] = {}
 
         shown_id = {i: str(i) for i in self.token_of}
-        token_of = self.token_of
+        self.token_of_shown = {shown: self.token_of[i] for i, shown in shown_id.items()}
 
         def ids_of_chunk(chunk: str) -> str:
-            """The chunk's ids as text; its tokens are wanted right after, so they are kept as well."""
+            """The chunk's ids as text."""
             ids: list[int] = []
             for word in self._shown(chunk):
                 ids += self.word_ids(word)
-            if len(tokens_of) >= CACHE_ENTRIES:
-                tokens_of.clear()
-            tokens_of[chunk] = " ".join([token_of[i] for i in ids])
             return " ".join([shown_id[i] for i in ids])
 
         self.ids_of = _Remembered(ids_of_chunk)
-        self.tokens_of = tokens_of = _Remembered(lambda chunk: " ".join([token_of[int(i)] for i in self.ids_of[chunk].split()]))
 
     def _symbols_of_token(self, token: str) -> list[str]:
         if token.endswith(self.end) and token != self.end:
@@ -85,8 +84,15 @@ class ForcedBoundaryBPE:
         found = self.fragment_cache.get(key)
         if found is not None:
             return found
+        word = self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
+        ids = [self.vocab[t] for t in word if t in self.vocab]
+        if len(self.fragment_cache) >= CACHE_ENTRIES:
+            self.fragment_cache.clear()
+        self.fragment_cache[key] = ids
+        return ids
+
+    def _merge_short(self, word: list[str]) -> list[str]:
         rank_of, never = self.ranks.get, len(self.ranks)
-        word = parts
         ranks = [rank_of(pair, never) for pair in zip(word, word[1:], strict=False)]
         while ranks:
             rank = min(ranks)
@@ -99,11 +105,29 @@ class ForcedBoundaryBPE:
                 ranks[at] = rank_of((word[at], word[at + 1]), never)
             if at:
                 ranks[at - 1] = rank_of((word[at - 1], word[at]), never)
-        ids = [self.vocab[t] for t in word if t in self.vocab]
-        if len(self.fragment_cache) >= CACHE_ENTRIES:
-            self.fragment_cache.clear()
-        self.fragment_cache[key] = ids
-        return ids
+        return word
+
+    def _merge_long(self, word: list[str]) -> list[str]:
+        """The same merges by a heap over linked places: n log n for a fragment of n symbols."""
+        rank_of, n = self.ranks.get, len(word)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(rank, k) for k in range(n - 1) if (rank := rank_of((word[k], word[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            nxt = after[k]
+            if nxt < 0 or word[k] is None or rank_of((word[k], word[nxt])) != rank:
+                continue  # one of the two has been merged since
+            word[k] += word[nxt]
+            word[nxt] = None
+            after[k] = after[nxt]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (new := rank_of((word[k], word[after[k]]))) is not None:
+                    heapq.heappush(heap, (new, k))
+            if before[k] >= 0 and (new := rank_of((word[before[k]], word[k]))) is not None:
+                heapq.heappush(heap, (new, before[k]))
+        return [w for w in word if w is not None]
 
     def word_ids(self, shown: str) -> list[int]:
         """Ids of one pre-token in byte symbols: cut at the forced boundaries, encode each fragment, concatenate."""
@@ -134,20 +158,22 @@ class ForcedBoundaryBPE:
 
     def encode(self, text: str | None) -> tuple[str, str, int]:
         """``(ids, decoded, n)``: decimal ids joined by one space, the decoded text, and their number."""
-        ids, tokens = [], []
+        ids = []
         for part in self.split_special.split(text) if text and "<|" in text else (text or "",):
             if part in self.special:
                 ids.append(str(self.special[part]))
-                tokens.append(part)
             elif part:
                 odd = self.unusual(part)
                 part = self.library.normalizer.normalize_str(part) if odd else self.normalize(part)
                 chunks = [c for c in part.split(" ") if c] if odd else part.split()
                 if chunks:
                     ids.append(" ".join(map(self.ids_of.__getitem__, chunks)))
-                    tokens.append(" ".join(map(self.tokens_of.__getitem__, chunks)))
         joined = " ".join(ids)
-        return joined, " ".join(tokens), joined.count(" ") + 1 if joined else 0
+        return joined, self.decode(joined), joined.count(" ") + 1 if joined else 0
+
+    def decode(self, ids: str) -> str:
+        """The text of ids joined by one space: their tokens, joined likewise."""
+        return " ".join(map(self.token_of_shown.__getitem__, ids.split(" "))) if ids else ""
 
 
 class _Remembered(dict):
@@ -193,7 +219,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
             if with_ids:
                 made += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=names)
-        for cache in (bpe.ids_of, bpe.tokens_of, bpe.fragment_cache):
+        for cache in (bpe.ids_of, bpe.fragment_cache):
             cache.clear()
 
     kept = docs.select(*keep)

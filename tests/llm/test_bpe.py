@@ -56,3 +56,28 @@ def test_frame(spark, both):
     empty = hashlib.sha256(b"").hexdigest()
     assert {r.ids_sha256 for r in out if r.doc_id in (2, 3)} == {empty} and {r.n_tokens for r in out if r.doc_id in (2, 3)} == {0}
     assert bpe_encode_decode(df.limit(0), PATH).count() == 0
+
+
+def test_long_runs_take_no_square_of_time(both):
+    import time
+
+    began = time.time()
+    for text in ("a" * 1_000_000, "ab" * 200_000, "hahaha" * 50_000):
+        same(both, text)
+    assert time.time() - began < 90
+
+
+def test_both_merges_agree(both):
+    mine, _ = both
+    rng = random.Random(6)
+    for n in (1, 2, 3, 10, 47, 48, 49, 200):
+        for letters in ("a", "ab", "thein", "etaoinshrdlu"):
+            word = [rng.choice(letters) for _ in range(n)]
+            word[-1] += mine.end
+            assert mine._merge_short(list(word)) == mine._merge_long(list(word))
+
+
+def test_decodes_from_ids_alone(both):
+    mine, theirs = both
+    ids = theirs.encode("Hello World, naïve 123!", add_special_tokens=False).ids
+    assert mine.decode(" ".join(map(str, ids))) == theirs.decode(ids, skip_special_tokens=False) and mine.decode("") == ""
