@@ -73,13 +73,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, block: i
 
     Only vectors of equal, non-null labels and equal length are compared. A vector that is null, empty, zero or has a null
     or non-finite component links with nothing and is its own component. Equal vectors (and repeated rows) are compared once and count as
-    so many links; ``n_links`` counts other rows. A null id is compared under no name: its row has a null component.
+    so many links; ``n_links`` counts other rows. Rows that share an id but not the vector are judged each by its own vector. A null id is compared under no name: its row has a null component.
     """
     e = F.col("embedding")
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & e.isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select("vec_id", "label", F.transform(e, lambda v: v.cast("double") + 0.0).alias("embedding"), F.coalesce(ok, F.lit(False)).alias("ok"))
     good = rows.where("ok")
-    classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    # an id may repeat with another vector, so classes have numbers of their own
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     sizes = classes.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = classes.join(sizes, F.col("label") == F.col("of")).drop("of").withColumn("mine", F.pmod(F.xxhash64("rep", "label"), F.col("blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -108,7 +110,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, block: i
             a, b = left[a], right[b]
             np.add.at(links, at[a], copies[at[b]])
             np.add.at(links, at[b], copies[at[a]])
-            order = np.argsort(rep[at], kind="stable")  # places in order of id, so a root is the smallest id
+            order = np.argsort(rep[at], kind="stable")  # places in order of number, so a root is the smallest
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             low[at] = rep[at][order][forest(len(at), place[a], place[b])][place]
@@ -118,8 +120,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, block: i
     found = materialize(tiles.groupBy("label", "i", "j").applyInArrow(tile, "rep long, links long, low long"), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), name="vector-components")
+    lows = parts.join(classes.select(F.col("rep").alias("id"), "low_id"), "id").groupBy("component").agg(F.min("low_id").alias("component_id"))
+    parts = parts.join(lows, "component").select("id", "component_id")
     named = classes.join(linked.withColumnRenamed("rep", "r1"), F.col("rep") == F.col("r1"), "left").join(parts, F.col("rep") == F.col("id"), "left")
-    named = named.select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = named.select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "low_id").alias("component_id"))
     # each row finds its class by its label and vector; a vector's hash comes first, so that the join's key is short
     named = materialize(named.withColumn("c_hash", F.xxhash64("c_label", "c_embedding")), "vector-named")
     done = rows.withColumn("hash", F.xxhash64("label", "embedding")).join(named, (F.col("hash") == F.col("c_hash")) & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding")) & F.col("ok"), "left")

@@ -72,3 +72,9 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 3, ""), (1, [1.0, 0.0], 3, "")], SCHEMA)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
     assert [tuple(r) for r in near_duplicate_vectors(df).collect()] == [(1, 1, 1, True)] * 2
+
+
+def test_ids_that_repeat_with_other_vectors_or_labels(spark):
+    rows = [(1, [1.0, 0.0], 0, ""), (1, [0.0, 1.0], 0, ""), (1, [1.0, 0.0], 1, ""), (2, [0.999, 0.01], 0, ""), (3, [0.0, 1.0], 0, ""), (4, [1.0, 0.01], 1, "")]
+    got = sorted(tuple(r) for r in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows) == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False)]
