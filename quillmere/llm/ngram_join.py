@@ -2,9 +2,10 @@
 
 1. Every text becomes its set of hashed word n-grams and a MinHash signature cut into bands. Texts with equal
    sets are one class.
-2. Band hashes are shuffled; classes that share one are candidates, and connected candidates are one component.
-3. A component's texts meet once, dealt into blocks of bounded size; each pair of blocks is a tile, in which pairs that
-   share a band are verified on their full n-gram sets. A tile gives each class's links and a spanning forest of them, never the pairs.
+2. Band hashes are shuffled; the classes that share one are a bucket. Buckets with the very same members count once.
+3. The texts of a bucket meet, a large bucket's dealt into blocks of bounded size, of which each pair is a tile. There each pair whose first
+   common band this is gets verified on its full n-gram sets. A tile gives each class's links and a spanning forest of them, never the
+   pairs; only verified links are then chained into groups, so that chance candidates never grow into one large component.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .shared import connected_components, materialize, read_table, row_key, text
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most hash functions of a signature.
 MAX_HASHES = 128
-#: A block of a component has about so many texts and n-grams at most (a longer text makes one of its own).
-BLOCK_TEXTS, BLOCK_NGRAMS = 2048, 1_000_000
+#: A block of a bucket has about so many texts and n-grams at most (a longer text makes one of its own).
+BLOCK_TEXTS, BLOCK_NGRAMS = 1024, 1_000_000
 CACHE_ENTRIES = 400_000
 
 
@@ -104,15 +105,6 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, set_id binary, bands binary")
 
 
-def _band_groups(column: np.ndarray) -> Iterator[np.ndarray]:
-    """Places with equal values, where there are two or more."""
-    order = np.argsort(column, kind="stable")
-    cuts = np.flatnonzero(column[order[1:]] != column[order[:-1]]) + 1
-    for group in np.split(order, cuts) if len(cuts) < len(column) - 1 or len(column) > 1 else ():
-        if len(group) > 1:
-            yield group
-
-
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each two sets share, for all pairs at once. N-grams in few sets add to their pairs one by one, those in many
     by a matrix product over slices of the n-grams."""
@@ -142,35 +134,26 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified_pairs(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, threshold: float, cross: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places ``a < b`` that share a band and whose sets have Jaccard similarity at or above ``threshold``. Where
-    ``left`` tells places apart (a tile of two blocks), only pairs across are wanted; ``cross`` says so also where one block is empty."""
+    """Pairs of places ``a < b`` that share the last band but none before it, and whose sets have Jaccard similarity at or above
+    ``threshold``. Where ``left`` tells places apart (a tile of two blocks), only pairs across are wanted; ``cross`` says so also where
+    one block is empty."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
     cross = not left.all() if cross is None else cross
-    groups = [[g for g in _band_groups(bands[:, k])] for k in range(bands.shape[1])]
-    load = sum(len(g) ** 2 for of in groups for g in of)
-    if load <= 64 * n:
-        found = {(int(a), int(b)) for of in groups for g in of for x, a in enumerate(np.sort(g)) for b in np.sort(g)[x + 1 :]}
-        out = []
-        for a, b in sorted(found):
-            if cross and left[a] == left[b] or min(sizes[a], sizes[b]) < threshold * max(sizes[a], sizes[b]):
-                continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both / (sizes[a] + sizes[b] - both) >= threshold:
-                out.append((a, b))
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
-    may = np.zeros((n, n), bool)
-    for of in groups:
-        for g in of:
-            g = np.sort(g)
-            may[g[:, None], g[None]] = True
-    may = np.triu(may, 1)
+    a, b = np.triu_indices(n, 1)
+    wanted = (bands[a, -1] == bands[b, -1]) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]))
     if cross:
-        may &= left[:, None] != left[None]
-    both = _overlaps(sets).astype(np.float64)
-    may &= both / (sizes[:, None] + sizes[None] - both) >= threshold
-    return np.nonzero(may)
+        wanted &= left[a] != left[b]
+    a, b = a[wanted], b[wanted]
+    for k in range(bands.shape[1] - 1):
+        new = bands[a, k] != bands[b, k]
+        a, b = a[new], b[new]
+    if len(a) <= 8 * n:
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
+    else:
+        both = _overlaps(sets)[a, b].astype(np.float64)
+    alike = both / (sizes[a] + sizes[b] - both) >= threshold
+    return a[alike], b[alike]
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block_texts: int = BLOCK_TEXTS, block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
@@ -189,42 +172,56 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
 
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.substring("bands", k * 8 + 1, F.lit(8)))
-    banded = classes.select("cid", F.posexplode(hashes).alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min("cid").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b_band"), F.col("h").alias("b_h"), "low")
-    buckets = materialize(buckets, "ngram-buckets")
-    near = banded.join(buckets, (F.col("h") == F.col("b_h")) & (F.col("band") == F.col("b_band"))).where("low < cid")
-    parts = materialize(connected_components(near.select(F.col("cid").alias("a"), F.col("low").alias("b")), name="ngram-candidates"), "ngram-parts")
-
-    members = materialize(classes.select("cid", "rep", "copies", "n", "bands").join(parts.withColumnRenamed("id", "cid"), "cid"), "ngram-members")
-    loads = members.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("load"))
-    loads = loads.withColumn("blocks", F.ceil(F.greatest(F.col("texts") / block_texts, F.col("load") / block_ngrams)).cast("int"))
-    loads = materialize(loads.withColumnRenamed("component", "of"), "ngram-loads")
-    small = loads.where("blocks = 1").agg(F.sum("load")).first()[0] or 0
-    packs = max(1, math.ceil(2 * small / block_ngrams))  # small components share tiles of bounded size
-    dealt = members.join(loads, F.col("component") == F.col("of")).drop("of", "texts", "load")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs)) - packs).otherwise(F.col("component")))
-    dealt = dealt.select(F.col("rep.doc_id").alias("m_id"), F.col("rep.key").alias("m_key"), "cid", "copies", "bands", "component", "mine", "pack", "blocks")
+    banded = classes.select("cid", "n", F.posexplode(hashes).alias("band", "h"))
+    members = [F.count("*").alias("texts"), F.bit_xor(F.xxhash64("cid")).alias("mark"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("mark_2")]
+    buckets = banded.groupBy("band", "h").agg(*members, F.sum("n").alias("load"), F.min("cid").alias("low")).where("texts > 1")
+    # of buckets with the same members the first band's is enough: a pair's first common band is never dropped
+    buckets = buckets.groupBy("texts", "mark", "mark_2").agg(F.min(F.struct("band", "h", "load", "low")).alias("b")).select("texts", "b.*")
+    blocks = F.ceil(F.greatest(F.col("texts") / block_texts, F.col("load") / block_ngrams)).cast("int")
+    buckets = buckets.withColumns({"blocks": blocks, "of": F.monotonically_increasing_id()})
+    buckets = materialize(buckets.withColumnsRenamed({"band": "b_band", "h": "b_h"}), "ngram-buckets")
+    small = buckets.where("blocks = 1").agg(F.sum("load")).first()[0] or 0
+    packs = max(1, math.ceil(2 * small / block_ngrams))  # small buckets share tiles of bounded size, those with a common first class the same
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("low"), F.lit(packs)) - packs).otherwise(F.col("of"))
+    mine = F.pmod(F.xxhash64("cid", "of"), F.col("blocks").cast("long")).cast("int")
+    held = banded.join(buckets, (F.col("h") == F.col("b_h")) & (F.col("band") == F.col("b_band"))).select("cid", pack.alias("pack"), "of", "band", "blocks", mine.alias("mine"))
+    slots = held.groupBy("cid").agg(F.collect_list(F.struct("pack", "of", "band", "blocks", "mine")).alias("slots"))  # at most one a band
+    dealt = classes.select("cid", "rep", "copies", "bands").join(slots, "cid")
+    dealt = materialize(dealt.select(F.col("rep.doc_id").alias("m_id"), F.col("rep.key").alias("m_key"), "cid", "copies", "bands", "slots"), "ngram-members")
     texts = docs.select("doc_id", row_key().alias("key"), "text")
     joined = texts.join(dealt, (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = joined.select("pack", "mine", other, "cid", "copies", "component", "bands", "text").select("pack", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "copies", "component", "bands", "text")
+
+    def places(slot: F.Column) -> F.Column:
+        """The tiles of one slot: its block with each block of its bucket."""
+        return F.transform(F.sequence(F.lit(0), slot["blocks"] - 1), lambda o: F.struct(slot["pack"].alias("pack"), F.least(slot["mine"], o).alias("i"), F.greatest(slot["mine"], o).alias("j")))
+
+    # a text travels once to each tile, with all its buckets there
+    where = F.explode(F.array_distinct(F.flatten(F.transform("slots", places)))).alias("t")
+    tiles = joined.select("cid", "copies", "bands", "slots", "text", where)
+    tiles = tiles.select("t.pack", "t.i", "t.j", "cid", "copies", "bands", "text", F.filter("slots", lambda s: s["pack"] == F.col("t.pack")).alias("slots"))
 
     def tile(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         _, first = np.unique(table.column("cid").to_numpy(), return_index=True)  # a repeated row joins twice
         table = table.take(first)  # in order of cid, so a root is the smallest
-        cid, copies, mine, of = (table.column(c).to_numpy() for c in ("cid", "copies", "mine", "component"))
+        cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         hashes = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint64).reshape(len(cid), bands)
-        column = table.column("text")
-        links, low = np.zeros(len(cid), np.int64), cid.copy()
-        order = np.argsort(of, kind="stable")
+        sets = [ngram_set(text.as_py(), words) for text in table.column("text")]
+        slots = table.column("slots").combine_chunks()
+        row = np.repeat(np.arange(len(cid)), slots.value_lengths().to_numpy())
+        of, band, mine = (slots.flatten().field(c).to_numpy() for c in ("of", "band", "mine"))
+        order = np.lexsort((row, of))
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            sets = [ngram_set(column[int(k)].as_py(), words) for k in at]
-            a, b = verified_pairs(sets, hashes[at], mine[at] == i, threshold, cross=i != j)
-            np.add.at(links, at[a], copies[at[b]])
-            np.add.at(links, at[b], copies[at[a]])
-            low[at] = cid[at][forest(len(at), a, b)]
+            own = row[at]
+            a, b = verified_pairs([sets[k] for k in own], hashes[own, : band[at[0]] + 1], mine[at] == i, threshold, cross=i != j)
+            one.append(own[a])
+            two.append(own[b])
+        a, b = np.concatenate(one), np.concatenate(two)
+        links = np.zeros(len(cid), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        low = cid[forest(len(cid), a, b)]
         linked = links > 0
         return pa.table({"cid": cid[linked], "links": links[linked], "low": low[linked]})
 
@@ -248,14 +245,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; columns as they were.
-    Of rows that repeat with id and text one stays, whatever their other columns."""
+    Of rows that repeat with id and text one stays, whatever their other columns; rows without words all stay."""
     found = ngram_join(docs, **how)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")).distinct()
     keyed = docs.withColumn("_row_key", row_key())
     left = keyed.join(gone, (F.col("_row_key") == F.col("g_key")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
-    kept = found.where("kept")
-    if kept.where("copies > 1").groupBy("doc_id", "key").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "_row_key"])
+    repeated = found.where("kept and copies > 1").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"))
+    if repeated.limit(1).count():
+        same = (F.col("_row_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_row_key"]))
     return left.select(*docs.columns)
 
 

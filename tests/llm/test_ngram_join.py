@@ -91,3 +91,46 @@ def test_links_count_once_where_a_block_is_empty(spark):
     rows = [(k, " ".join([*words[: 50 * k], f"changed{k}", *words[50 * k :]])) for k in range(2)]
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block_ngrams=1_000).collect())
     assert got == [(0, 0, 1), (1, 0, 1)]
+
+
+def test_rows_without_words_stay_whatever_else_is_there(spark):
+    empty = [(7, None, "a"), (7, None, "b"), (7, "", "c"), (None, " ", "d")]
+    other = [(1, "some words that repeat here", "x")] * 2
+    for rows in (empty, empty + other):
+        kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert sorted(r.source for r in kept) == ["a", "b", "c", "d"] + ["x"] * (len(rows) > 4)
+
+
+def test_pairs_count_once_over_all_their_bands(spark):
+    """A cluster of near copies shares most bands, in tiles of many blocks; each link counts once, and all are found."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(k % 5):
+            w[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for block in (1024, 6):
+        got = sorted((r.doc_id or -1, r.class_id, r.n_links) for r in ngram_join(df, block_texts=block).collect())
+        assert got == want
+
+
+def test_recall_by_similarity():
+    """Share of pairs that meet in a band, by their similarity, against what banding promises."""
+    bands, size = choose_bands(0.8, 0.999)
+    from quillmere.llm.ngram_join import seeds_for, signature
+
+    rng, seeds = np.random.default_rng(6), seeds_for(bands * size)
+    for similarity in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
+        hits = 0
+        for _ in range(400):
+            both = round(200 * 2 * similarity / (1 + similarity))
+            own = rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64)
+            a, b = np.unique(own[:200]), np.unique(np.concatenate([own[:both], own[200 : 400 - both]]))
+            hits += bool((signature(a, seeds, bands) == signature(b, seeds, bands)).any())
+        promised = 1 - (1 - similarity**size) ** bands
+        assert abs(hits / 400 - promised) < 0.08, (similarity, hits / 400, promised)
+        assert similarity < 0.8 or hits / 400 > 0.99
