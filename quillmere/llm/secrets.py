@@ -1,14 +1,17 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
 Each rule's regex yields a Boolean query over trigrams that any matching text must hold (Cox, 2012).
-One pass over the texts posts ``(trigram, text)`` for the trigrams that some rule asks for; a rule's
-conjunctions intersect their postings by counting, and only the texts that remain are verified
-with the regex. A rule without a mandatory trigram scans every text.
+The index holds, for each trigram that some rule asks for, the posting lists of the texts with it, in chunks of texts of bounded
+size. Lists of a conjunction are intersected chunk by chunk, a rule's conjunctions united, and only the
+texts that remain are verified with the regex. A rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +45,10 @@ RULES = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 1),
 )
 
+#: Texts whose postings share a chunk, about: a posting list holds so many numbers of 8 bytes at most.
+CHUNK_TEXTS = 16_384
+#: Matches that are folded in one go.
+FOLD = 256
 #: More exact strings than this for a piece of a regex, and it counts as unknown.
 MOST_STRINGS = 16
 
@@ -74,7 +81,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
                 more = None if None in parts else set().union(*parts)
             elif op is C.MAX_REPEAT and arg[1] is not C.MAXREPEAT and arg[1] <= 2:
                 one = exact(arg[2])
-                more = None if one is None else {"".join(x) for n in range(arg[0], arg[1] + 1) for x in __import__("itertools").product(one, repeat=n)}
+                more = None if one is None else {"".join(x) for n in range(arg[0], arg[1] + 1) for x in itertools.product(one, repeat=n)}
             else:
                 more = None
             if more is None or len(found) * len(more) > MOST_STRINGS:
@@ -97,24 +104,42 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted(set(best), key=sorted)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """A filled array in slices of ``FOLD`` elements: folds that append to a list then copy at most so many."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")), lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)))
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """Array of ``(start, end)`` of the rule's matches: leftmost, non-overlapping, in code points.
 
-    The pieces between matches and the matches themselves give every place; too short ones are dropped last.
+    The lengths of the pieces between matches and of the matches give every place, first within slices of the matches, then
+    moved by what stands before the slice; too short ones are dropped.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), judged.alias("judged"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    lengths = lambda x: F.transform(x, lambda v: F.length(v))
+    found = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    judged = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else found
+    zipped = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), found.alias("hit"), judged.alias("judged"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["judged"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
+        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["judged"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def moved(parts: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + p["at"])
+        shift = lambda p, n: F.transform(p["out"], lambda s: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end")))
+        return F.flatten(F.transform(parts, lambda p, i: _let(before(i), lambda n: shift(p, n))))
 
-    return F.aggregate(zipped, start, add, lambda acc: acc["out"])
+    # the piece after the last match has no match beside it
+    folded = _let(F.filter(zipped, lambda z: z["hit"].isNotNull()), lambda zs: _let(F.transform(_blocks(zs), lambda b: F.aggregate(b, start, add)), moved))
+    # most texts hold none: one search settles that
+    return F.when(text.rlike(rule.pattern), folded).otherwise(F.array().cast(_PLACES))
 
 
 def _found(text: Column, rule: Rule) -> Column:
@@ -123,29 +148,29 @@ def _found(text: Column, rule: Rule) -> Column:
     return F.transform(matches(text, rule), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), m["end"].alias("end")))
 
 
+_PLACES = "array<struct<start:int,end:int>>"
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index ``(trigram, doc_id, key)``, kept for the trigrams that the rules ask for."""
+def postings(rows: DataFrame, rules: tuple[Rule, ...], chunks: int) -> DataFrame:
+    """The inverted index ``(trigram, chunk, texts)``: a trigram's sorted-out posting list of the chunk's texts (``pid``). Equal texts of
+    an id are one; lists are made in each partition before they are shuffled."""
     wanted = sorted(set().union(*(t for r in rules for t in trigram_query(r.pattern))))
-    low = F.lower("text")
-    held = F.filter(F.array(*(F.when(low.contains(t), F.lit(t)) for t in wanted)), lambda t: t.isNotNull())
-    return docs.select("doc_id", "key", F.explode(held).alias("trigram"))
+    low = rows.select("pid", F.lower("text").alias("low"))  # a column of its own, so that it is worked out once a text
+    held = low.select("pid", F.filter(F.array(*(F.when(F.col("low").contains(t), F.lit(t)) for t in wanted)), lambda t: t.isNotNull()).alias("held"))
+    posted = held.where(F.size("held") > 0).select("pid", F.explode("held").alias("trigram"))
+    return posted.groupBy("trigram", F.pmod("pid", F.lit(chunks)).alias("chunk")).agg(F.collect_set("pid").alias("texts"))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(doc_id, key, kinds)``: per text the rules of which some conjunction is met by the postings.
-
-    The conjunctions are a fixed list; each posting meets the conjunctions that name its trigram, and a
-    conjunction is met where all its trigrams are. One map-side combined aggregation, no joins.
-    """
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(pid, kinds)``: the rules of which some conjunction is met. A conjunction's posting lists of a chunk are intersected, shortest first."""
     terms = [(r.kind, sorted(t)) for r in rules for t in trigram_query(r.pattern)]
-    all_trigrams = F.collect_set("trigram")
-    by_text = index.groupBy("doc_id", "key").agg(all_trigrams.alias("held"))
-    met = F.array(*(F.when(F.size(F.array_intersect("held", F.array(*map(F.lit, t)))) == len(t), F.lit(kind)) for kind, t in terms))
-    kinds = F.array_distinct(F.filter(met, lambda k: k.isNotNull()))
-    return by_text.select("doc_id", "key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    asks = F.array(*(F.struct(F.lit(n).alias("term"), F.lit(kind).alias("kind"), F.lit(len(t)).alias("size"), F.array(*map(F.lit, t)).alias("trigrams")) for n, (kind, t) in enumerate(terms)))
+    asked = index.select("trigram", "chunk", "texts", F.explode(F.filter(asks, lambda a: F.array_contains(a["trigrams"], F.col("trigram")))).alias("a"))
+    lists = asked.groupBy("a.term", "a.kind", "a.size", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.size("texts").alias("n"), "trigram", "texts"))).alias("lists"))
+    whole = lists.where(F.size("lists") == F.col("size"))  # a trigram that no text of the chunk has ends the matter
+    met = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(1))), F.col("lists")[0]["texts"], lambda held, x: F.array_intersect(held, x["texts"]))
+    return whole.select("kind", F.explode(met).alias("pid")).groupBy("pid").agg(F.collect_set("kind").alias("kinds"))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -156,26 +181,27 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     rows = docs.select("doc_id", row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    indexed = [r for r in rules if queries[r.kind]]
+    # texts are named by a hash of id and text: where two shared one, both would be verified
+    rows = rows.withColumn("pid", F.xxhash64("doc_id", "key"))
+    indexed = tuple(r for r in rules if queries[r.kind])
     full = [r for r in rules if not queries[r.kind]]
-    hits = rows.select("doc_id", "key").where(F.lit(False)).select("doc_id", "key", F.lit(None).cast(_SPANS).alias("more"))
+    hits = rows.select("pid").where(F.lit(False)).select("pid", F.lit(None).cast("long").alias("h_key"), F.lit(None).cast(_SPANS).alias("more"))
     if indexed:
-        found = materialize(candidates(postings(rows, tuple(indexed)), tuple(indexed)), "secret-candidates")
-        # any single trigram of the index is needed: this cheap test keeps other texts out of the shuffle
-        low = F.lower("text")
+        chunks = max(1, math.ceil(docs.count() / CHUNK_TEXTS))
+        index = materialize(postings(rows, indexed, chunks), "secret-postings")
+        found = materialize(candidates(index, indexed).withColumnRenamed("pid", "f_pid"), "secret-candidates")
+        # any match holds the first trigram of one of the conjunctions: this cheap test keeps other texts out of the shuffle
         firsts = sorted({min(t) for r in indexed for t in queries[r.kind]})
-        some = low.contains(firsts[0])
-        for t in firsts[1:]:
-            some = some | low.contains(t)
-        texts = rows.where(some).select("doc_id", "key", "text")
-        joined = texts.join(found.withColumnsRenamed({"doc_id": "f_id", "key": "f_key"}), (F.col("key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")))
+        low = rows.select("pid", "key", "text", F.lower("text").alias("low"))
+        some = low.where(F.exists(F.array(*map(F.lit, firsts)), lambda t: F.contains("low", t)))
         spans = F.concat(*(F.when(F.array_contains("kinds", r.kind), _found(F.col("text"), r)).otherwise(F.array().cast(_SPANS)) for r in indexed))
-        hits = joined.select("doc_id", "key", spans.alias("more")).where(F.size("more") > 0).groupBy("doc_id", "key").agg(F.first("more").alias("more"))
+        joined = some.join(found, F.col("pid") == F.col("f_pid")).select("pid", "key", spans.alias("more"))
+        hits = joined.where(F.size("more") > 0).groupBy("pid", F.col("key").alias("h_key")).agg(F.first("more").alias("more"))
         hits = materialize(hits, "secret-hits")
     own = F.concat(*(_found(F.col("text"), r) for r in full)) if full else F.array().cast(_SPANS)
-    scanned = rows.select("doc_id", "key", own.alias("own"), *carry)
-    hits = hits.withColumnsRenamed({"doc_id": "h_id", "key": "h_key"})
-    both = scanned.join(hits, (F.col("key") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_id")), "left")
+    scanned = rows.select("doc_id", "key", "pid", own.alias("own"), *carry)
+    hits = hits.withColumnRenamed("pid", "h_pid")
+    both = scanned.join(hits, (F.col("pid") == F.col("h_pid")) & (F.col("key") == F.col("h_key")), "left")
     return both.select("doc_id", "key", F.array_sort(F.concat("own", F.coalesce("more", F.array().cast(_SPANS)))).alias("spans"), *carry)
 
 
@@ -202,17 +228,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     names = docs.columns
     carried = docs.select(*(F.col(c).alias(f"_{c}") if c in ("doc_id", "text") else F.col(c) for c in names), F.col("doc_id"), F.col("text"))
     found = secret_spans(carried, rules, tuple(c for c in carried.columns if c not in ("doc_id", "text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    def blotted(spans: Column, base: Column, piece: Column) -> Column:
+        """The piece of text that starts at ``base`` and ends with the last of the spans, blotted."""
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def add(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, acc["at"] - base + 1, s["start"] - acc["at"])
+            new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+
+        return F.aggregate(spans, start, add, lambda acc: F.array_join(acc["out"], ""))
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+    # slices of spans each work on their own stretch of the text, so that the cost grows with the text and not with its square
+    text, stops = F.col("_text"), F.transform("spans", lambda s: s["end"])
+    last = lambda ends, n: F.coalesce(F.array_max(F.slice(ends, F.lit(1), n)), F.lit(0))
 
-    def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
+    def slices(ends: Column) -> Column:
+        done = lambda b, i: _let(last(ends, i * FOLD), lambda base: _let(F.substring(text, base + 1, F.greatest(last(ends, (i + 1) * FOLD), base) - base), lambda piece: blotted(b, base, piece)))
+        rest = _let(F.array_max(ends), lambda top: F.substring(text, top + 1, F.length(text)))
+        return F.concat(F.array_join(F.transform(_blocks(F.col("spans")), done), ""), rest)
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, add, close)).otherwise(F.col("_text"))
+    clean = F.when(F.size("spans") > 0, _let(stops, slices)).otherwise(text)
     done = found.select(*(clean.alias("text") if c == "text" else F.col(f"_{c}").alias(c) if c == "doc_id" else F.col(c) for c in names))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else done
 
