@@ -156,9 +156,11 @@ def postings(rows: DataFrame, rules: tuple[Rule, ...], chunks: int) -> DataFrame
     """The inverted index ``(trigram, chunk, texts)``: a trigram's sorted-out posting list of the chunk's texts (``pid``). Equal texts of
     an id are one; lists are made in each partition before they are shuffled."""
     wanted = sorted(set().union(*(t for r in rules for t in trigram_query(r.pattern))))
-    low = rows.select("pid", F.lower("text").alias("low"))  # a column of its own, so that it is worked out once a text
+    # a column of its own, so that it is worked out once a text; a filter on what
+    # follows, such as a plain explode brings, would put it back into each use
+    low = rows.select("pid", F.lower("text").alias("low"))
     held = low.select("pid", F.filter(F.array(*(F.when(F.col("low").contains(t), F.lit(t)) for t in wanted)), lambda t: t.isNotNull()).alias("held"))
-    posted = held.where(F.size("held") > 0).select("pid", F.explode("held").alias("trigram"))
+    posted = held.select("pid", F.explode_outer("held").alias("trigram")).where("trigram is not null")
     return posted.groupBy("trigram", F.pmod("pid", F.lit(chunks)).alias("chunk")).agg(F.collect_set("pid").alias("texts"))
 
 
