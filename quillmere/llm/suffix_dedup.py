@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .shared import materialize, read_table, row_key, text_chunks
 
@@ -28,7 +29,11 @@ GRAM = 24
 #: Difference cover modulo 16: every difference of residues occurs, and gaps are at most 8.
 COVER, PERIOD = (0, 1, 2, 5, 8), 16
 #: Shares of the buckets, sorted one after the other, and text that one task sorts at once.
-ROUNDS, TASK_BYTES, CHUNK_BYTES = 2, 48 << 20, 4 << 20
+ROUNDS, TASK_BYTES, CHUNK_BYTES = 2, 32 << 20, 4 << 20
+#: Buckets of a round, at least, so that a common passage's bucket does not share its task with much else.
+LEAST_BUCKETS = 32
+#: Pieces that a task remembers beyond a chunk: those that a chunk had more than once.
+HOT_PIECES = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 
@@ -55,8 +60,9 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    place = np.uint64((1 << max(1, int(n).bit_length())) - 1)
-    low = (h & ~place) | np.arange(len(h), dtype=np.uint64)  # smallest hash, leftmost of equals
+    # smallest upper half of a hash, leftmost of equals: a rule that does not depend on what else is in the chunk
+    place = np.uint64((1 << 32) - 1)
+    low = (h & ~place) | np.arange(len(h), dtype=np.uint64)
     window = length - gram + 1
     width = 1
     while width * 2 <= window:
@@ -187,10 +193,11 @@ def repeated_starts(docs: DataFrame, total_bytes: int, length: int = LENGTH, rou
     earlier; one table of marks is written for each round of buckets."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", row_key().alias("key"), "text")
-    buckets = max(1, -(-4 * total_bytes // (rounds * TASK_BYTES)))
+    buckets = max(LEAST_BUCKETS, -(-4 * total_bytes // (rounds * TASK_BYTES)))
 
     def cut(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot: dict[bytes, tuple] = {}  # the earliest place that this task has seen of a common piece
             for batch in text_chunks(batches, CHUNK_BYTES):
                 ids = batch.column("doc_id").to_pylist()
                 order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
@@ -210,10 +217,15 @@ def repeated_starts(docs: DataFrame, total_bytes: int, length: int = LENGTH, rou
                 for d, b, c, p, x, g, o in zip(doc.tolist(), begin.tolist(), count.tolist(), at.tolist(), spot, signed, base.tolist(), strict=True):
                     piece = whole[b : b + c + length - 1]
                     k = order[d]
-                    known = seen.setdefault(piece, (ids[k], keys[k], b - o))
-                    repeated = known != (ids[k], keys[k], b - o) and (known[0], known[2]) != (ids[k], b - o)
-                    # a piece that this chunk has had before is marked at once; its text need not travel
-                    for col, v in zip(cols, (x, ids[k], keys[k], b - o, c, -1 if repeated else p - b, g, b"" if repeated else piece), strict=True):
+                    own = (ids[k] is None, ids[k] or 0, b - o)
+                    known = seen.setdefault(piece, own)
+                    if known is not own and (piece in hot or len(hot) < HOT_PIECES):
+                        hot[piece] = min(known, hot.get(piece, known))
+                    # a piece that this task has had at an earlier place is marked at once: its text need not travel, and it may be
+                    # dealt anywhere, so that a passage in many documents does not fill one bucket
+                    repeated = min(known, hot.get(piece, known)) < own
+                    spot_of = (p + 31 * b + (ids[k] or 0)) % buckets if repeated else x
+                    for col, v in zip(cols, (spot_of, ids[k], keys[k], b - o, c, -1 if repeated else p - b, g, b"" if repeated else piece), strict=True):
                         col.append(v)
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "doc_id", "key", "pos", "count", "anchor", "h", "text"])
@@ -256,8 +268,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS)
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a document of smaller id, or earlier in its own.
     Rows with the same id count as one document: the same place in each is no repeat. Null ids come last and count as one.
-    A null text counts as empty.
+    A null text counts as empty. ``doc_id`` must be an integer column: order of ids decides what stays.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer column")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     starts = repeated_starts(docs, total, length, rounds).withColumnsRenamed({"doc_id": "s_id", "key": "s_key"})

@@ -90,3 +90,33 @@ def test_repeated_rows_nulls_and_long(spark):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
     assert got == brute(rows)
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_a_passage_in_many_chunks(spark, monkeypatch):
+    """With tiny chunks every task meets the passage again and again, ids in no order."""
+    from quillmere.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 2_000)
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(200)) + passage + passage[: k * 3]) for k in rng.sample(range(200), 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
+    assert got == brute(rows)
+
+
+def test_minimizers_do_not_depend_on_the_chunk():
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abc") for _ in range(700))
+    data = np.frombuffer(text, np.uint8)
+    alone = stretches(data, np.array([len(text)]))
+    long = np.frombuffer(text + bytes(rng.choice(b"abc") for _ in range(300_000)), np.uint8)
+    beside = stretches(long, np.array([len(text), len(long)]))
+    n = len(alone[0])
+    for a, b in zip(alone, beside, strict=True):
+        assert a.tolist() == b[:n].tolist()
+
+
+def test_other_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
