@@ -6,7 +6,7 @@ from .bpe import op4_bpe
 from .decontaminate import op10_decontaminate
 from .embedding_dups import op7_embeddings
 from .langid import op2_language
-from .licenses import op6_licenses
+from .licenses import licence_sql, op6_licenses
 from .ngram_join import op1_ngram_join
 from .quality import op3_quality
 from .secrets import RULES, op5_secrets
@@ -75,4 +75,5 @@ ORACLE_SQL = {
     "op1_ngram_join": _NGRAM_SQL,
     "op7_embeddings": _VECTOR_SQL,
     "op5_secrets": _secret_sql(),
+    "op6_licenses": licence_sql(),
 }
