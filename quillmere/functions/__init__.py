@@ -174,6 +174,15 @@ def sign_class(x: Column, epsilon: float) -> Column:
     return F.when(x > epsilon, "+").when(x < -epsilon, "-").otherwise("tie")
 
 
+def difference_hash(grid: Column, width: int) -> Column:
+    """A bit for each two neighbours in a row of a square grid, given row by row: is the right one larger? At most 64 bits."""
+    bits = [F.when(grid[y * width + x] < grid[y * width + x + 1], F.lit(1 << y * (width - 1) + x)).otherwise(F.lit(0)).cast("long") for y in range(width) for x in range(width - 1)]
+    code = bits[0]
+    for b in bits[1:]:
+        code = code.bitwiseOR(b)
+    return code
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's r as an aggregate; null where a side does not vary."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -55,15 +55,25 @@ def prototypes(unit: DataFrame, label: str = "label", vector: str = "unit") -> D
     return lists.select(label, fn.normalised(F.transform("s", lambda e: e["x"])).alias("proto"))
 
 
+#: Prototypes that are held beside each vector, at most; more are joined.
+FEW_PROTOTYPES = 4_096
+
+
 def margins(unit: DataFrame, protos: DataFrame, identity: str = "vec_id", label: str = "label") -> DataFrame:
-    """Similarity to the own prototype, to the nearest other one (smallest label of equals), and their difference. There
-    is one prototype a label, so the other side of this join is as small as the label set."""
+    """Similarity to the own prototype, to the nearest other one (smallest label of equals), and their difference. Where prototypes are
+    few (counted first), each vector looks at all of them in place and nothing is shuffled."""
+    kept = F.col("own").alias("own"), (-F.col("r.s")).alias("rival"), F.col("r.l").alias("rival_label"), (F.col("own") + F.col("r.s")).alias("margin")
+    if protos.count() <= FEW_PROTOTYPES:
+        listed = protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "proto"))).alias("protos"))
+        sims = unit.join(F.broadcast(listed)).withColumn("sims", F.transform("protos", lambda p: F.struct((-fn.dot(F.col("unit"), p["proto"])).alias("s"), p["l"].alias("l"))))
+        own = -F.filter("sims", lambda x: x["l"] == F.col(label))[0]["s"]
+        found = sims.select(identity, label, own.alias("own"), F.array_min(F.filter("sims", lambda x: x["l"] != F.col(label))).alias("r"))
+        return found.select(identity, label, *kept)
     other = protos.select(F.col(label).alias("p_label"), "proto")
     sims = unit.join(other).select(identity, label, "p_label", fn.dot(F.col("unit"), F.col("proto")).alias("sim"))
     own = F.max(F.when(F.col("p_label") == F.col(label), F.col("sim"))).alias("own")
     rival = F.min(F.when(F.col("p_label") != F.col(label), F.struct((-F.col("sim")).alias("s"), F.col("p_label").alias("l")))).alias("r")
-    found = sims.groupBy(identity, label).agg(own, rival)
-    return found.select(identity, label, "own", (-F.col("r.s")).alias("rival"), F.col("r.l").alias("rival_label"), (F.col("own") + F.col("r.s")).alias("margin"))
+    return sims.groupBy(identity, label).agg(own, rival).select(identity, label, *kept)
 
 
 def blocked_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, block: int = 1024, within: str | None = None) -> DataFrame:
@@ -132,10 +142,11 @@ def bijection_faults(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.where("n_left <> 1 or n_right <> 1")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """For each left row the value of the last right row of its key at or before ``at``: one sort of the union, no range join."""
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False) -> DataFrame:
+    """For each left row the value of the last right row of its key at or before ``at`` (``forward``: the first one at or after it): one sort
+    of the union, no range join."""
     both = left.select(key, at, F.lit(1).alias("asks"), F.struct(*left.columns).alias("row"), F.lit(None).alias("v")).unionByName(right.select(key, at, F.lit(0).alias("asks"), F.lit(None).alias("row"), F.col(value).alias("v")))
-    w = Window.partitionBy(key).orderBy(at, "asks").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(F.desc(at) if forward else at, "asks").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("found", F.last("v", ignorenulls=True).over(w)).where("asks = 1").select("row.*", F.col("found").alias(value))
 
 
@@ -221,4 +232,6 @@ def greedy_facility(vectors: DataFrame, k: int, most: int = 5_000) -> DataFrame:
     return sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(choose, "label int, slot int, vec_id long, utility double")
 
 
+from .experiments import block_adjusted, caliper_pairs, hamming_exists, hamming_links, interleaved, most_disorder, provenance_faults, rebuilt, two_way_components  # noqa: E402
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "np", "pd", "Column", "DataFrame", "Window", "F", "annotations")]

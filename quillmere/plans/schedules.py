@@ -21,7 +21,7 @@ def q_pseudo_classes(table):
 
 @query("q_batch_plan", "WITH g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, CAST(b AS INT) AS batch, CAST(30 // 4 + CASE WHEN b < 30 % 4 THEN 1 ELSE 0 END AS INT) AS rows_, n FROM g, range(4) AS t(b)")
 def q_batch_plan(table):
-    """The same budget of thirty rows for each label, over four batches."""
+    """The same budget of thirty rows for each label, over four batches: how many rows each gets."""
     g = table("embeddings").groupBy("label").agg(F.count("*").alias("n"))
     b = g.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return b.select("label", "batch", (F.lit(7) + (F.col("batch") < 2).cast("int")).alias("rows_"), "n")
@@ -62,7 +62,7 @@ def q_nested_ranks(table):
 
 @query("q_class_accuracy", f"WITH {_LOGITS}, c AS (SELECT label, count(*) AS n, sum((list_position(p, list_max(p)) - 1 = label)::INT) AS ok FROM f GROUP BY label) SELECT label, CAST(ok AS BIGINT) AS correct, n AS total, round(ok / n * 100, 4) AS accuracy, round(sum(ok) OVER () / sum(n) OVER () * 100, 4) AS micro FROM c")
 def q_class_accuracy(table):
-    """Accuracy by class and the whole rebuilt from the classes."""
+    """Accuracy by class and the whole rebuilt from the classes."""
     c = soft_labels(table).groupBy("label").agg(F.count_if(fn.first_arg_max(F.col("p")) == F.col("label")).alias("correct"), F.count("*").alias("total"))
     whole = c.agg((F.sum("correct") / F.sum("total") * 100).alias("m"))
     return c.join(whole).select("label", "correct", "total", F.round(F.col("correct") / F.col("total") * 100, 4).alias("accuracy"), F.round("m", 4).alias("micro"))
@@ -98,12 +98,26 @@ def q_interval_density(table):
     return d.select("p_partkey", F.round(F.array_max("d"), 6).alias("inside"), F.round(F.array_min("d"), 6).alias("outside"), F.round(fn.total(F.col("d")), 6).alias("mass"))
 
 
-@query("q_allocate", "SELECT vec_id, 64.0 AS mass, true AS within FROM embeddings WHERE embedding IS NOT NULL")
+@query(
+    "q_allocate",
+    """
+    WITH RECURSIVE w AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) + 0.01) AS w FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT vec_id, w, CAST(0 AS DOUBLE) AS lo, 3.0 / list_min(w) AS hi, 0 AS k FROM w
+          UNION ALL SELECT vec_id, w, CASE WHEN list_sum(list_transform(w, lambda v: greatest(0.5, least(3.0, v * (lo + hi) / 2)))) < 64 THEN (lo + hi) / 2 ELSE lo END,
+                           CASE WHEN list_sum(list_transform(w, lambda v: greatest(0.5, least(3.0, v * (lo + hi) / 2)))) < 64 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM s WHERE k < 60),
+    a AS (SELECT vec_id, list_transform(w, lambda v: greatest(0.5, least(3.0, v * hi))) AS a FROM s WHERE k = 60)
+    SELECT vec_id, round(list_sum(a), 6) AS mass, round(a[1], 5) AS first_, round(list_max(a), 5) AS largest, len(list_filter(a, lambda v: v <= 0.5)) AS at_least,
+           len(list_filter(a, lambda v: v >= 3.0)) AS at_most FROM a""",
+)
 def q_allocate(table):
-    """Allocations clamped to [0.5, 3] that add up to 64 (F20): their sum and bounds."""
+    """Allocations clamped to [0.5, 3] that add up to 64 (F20): their sum, the first and largest share, and how many are at either bound."""
     w = F.transform(fn.doubles(F.col("embedding")), lambda v: F.abs(v) + 0.01)
     d = table("embeddings").where("embedding is not null").select("vec_id", sl.allocate(w, F.lit(64.0), 0.5, 3.0).alias("a"))
-    return d.select("vec_id", F.round(fn.total(F.col("a")), 6).alias("mass"), ((F.array_min("a") >= 0.5) & (F.array_max("a") <= 3.0)).alias("within"))
+    n = lambda keep: F.size(F.filter("a", keep)).cast("long")
+    return d.select(
+        "vec_id", F.round(fn.total(F.col("a")), 6).alias("mass"), F.round(F.col("a")[0], 5).alias("first_"), F.round(F.array_max("a"), 5).alias("largest"),
+        n(lambda v: v <= 0.5).alias("at_least"), n(lambda v: v >= 3.0).alias("at_most"),
+    )
 
 
 @query("q_best_window", "WITH w AS (SELECT vec_id, y, x, round(list_sum(list_transform(range(9), lambda i: CAST(embedding[(y + i // 3) * 8 + x + i % 3 + 1] AS DOUBLE))) / 9, 9) AS m FROM embeddings, range(6) AS a(y), range(6) AS b(x)), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, y, x) AS n FROM w) SELECT vec_id, round(m, 6) + 0.0 AS mean, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM k WHERE n = 1")

@@ -19,7 +19,7 @@ def _cells(table):
 
 @query("q_group_summary", f"SELECT arm, count(v) AS n, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS sd, min(v) AS least, max(v) AS largest FROM ({_CELL}) GROUP BY arm")
 def q_group_summary(table):
-    """Count, mean, sample deviation and range of each group (A1, A2)."""
+    """Count, mean, sample deviation and range of each group (A1)."""
     g = _cells(table).groupBy("arm").agg(*op.sample_stats("v"))
     return g.withColumns({"mean": F.round("mean", 3), "sd": F.round("sd", 3)})
 
@@ -93,7 +93,7 @@ def q_paired_gain(table):
 
 @query("q_two_way_variance", f"WITH c AS (SELECT arm, seed, avg(v) AS x FROM ({_CELL}) GROUP BY 1, 2), m AS (SELECT *, avg(x) OVER (PARTITION BY arm) AS ra, avg(x) OVER (PARTITION BY seed) AS cs, avg(x) OVER () AS g FROM c), k AS (SELECT count(DISTINCT arm) AS a, count(DISTINCT seed) AS b FROM c) SELECT round(sum((ra - g) * (ra - g)) / (a - 1), 2) AS ms_arm, round(sum((cs - g) * (cs - g)) / (b - 1), 2) AS ms_seed, round(sum((x - ra - cs + g) * (x - ra - cs + g)) / ((a - 1) * (b - 1)), 2) AS ms_error FROM m, k GROUP BY a, b")
 def q_two_way_variance(table):
-    """Mean squares of a crossed design."""
+    """Mean squares of a crossed design."""
     c = _cells(table).groupBy("arm", "seed").agg(F.avg("v").alias("x"))
     mean = lambda *by: F.avg("x").over(Window.partitionBy(*by))
     sizes = c.agg(F.avg("x").alias("g"), F.count_distinct("arm").alias("a"), F.count_distinct("seed").alias("b"))
@@ -170,7 +170,7 @@ def q_relative_to_first(table):
 
 @query("q_best_level", f"WITH c AS (SELECT arm, seed, avg(v) AS x FROM ({_CELL}) GROUP BY 1, 2) SELECT arm, arg_max(seed, x) AS best, round(max(x), 3) AS mean FROM c GROUP BY arm")
 def q_best_level(table):
-    """Each arm's best level."""
+    """Each arm's best level."""
     c = _cells(table).groupBy("arm", "seed").agg(F.avg("v").alias("x"))
     b = c.groupBy("arm").agg(F.max(F.struct("x", (-F.col("seed")).alias("s"))).alias("b"))
     return b.select("arm", (-F.col("b.s")).alias("best"), F.round("b.x", 3).alias("mean"))
