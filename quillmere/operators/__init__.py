@@ -192,44 +192,104 @@ def _kmeans(x: np.ndarray, k: int, seed: int, iterations: int = 30, restarts: in
     return best
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000) -> DataFrame:
-    """Clusters within each label: ``vec_id, label, cluster``. A label's centres come from at most ``most`` of its vectors, those with
-    the smallest hash; every vector is then assigned, in its own partition, so no group meets in one task."""
+def spherical_kmeans(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000, rounds: int = 20) -> DataFrame:
+    """Clusters within each label: ``vec_id, label, cluster``. The restarts that find where to begin see at most ``most`` vectors of a label (those
+    with the smallest hash); from there Lloyd's steps run over all vectors, as aggregates, until none changes its cluster or ``rounds`` are
+    done. Each step brings the driver the centres alone: ``k`` a label."""
     w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = vectors.where("label is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    vectors = vectors.where("label is not null")
+    sample = vectors.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 
-    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         x = np.vstack(pdf["unit"].to_numpy())
         own = _kmeans(x, min(k, len(x)), seed)
         c = [x[own == j].sum(axis=0) for j in np.unique(own)]
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "cluster": range(len(c)), "centre": [v / max(np.linalg.norm(v), 1e-12) for v in c]})
-
-    found = sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(centres, "label int, cluster int, centre array<double>")
-    sims = vectors.join(found, "label").withColumn("sim", fn.dot(F.col("unit"), F.col("centre")))
-    best = sims.groupBy("vec_id", "label").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("cluster"))).alias("b"))
-    return best.select("vec_id", "label", F.col("b.cluster").alias("cluster"))
-
-
-def greedy_facility(vectors: DataFrame, k: int, most: int = 5_000) -> DataFrame:
-    """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one, over at most
-    ``most`` vectors a label (smallest hash first): ``label, slot, vec_id, utility``."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = vectors.where("label is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x, ids = np.vstack(pdf["unit"].to_numpy()), pdf["vec_id"].to_numpy()
-        sim, near, out = x @ x.T, np.full(len(x), -1.0), []
-        for slot in range(min(k, len(x))):
-            gain = np.maximum(near[:, None], sim).mean(axis=0)
-            gain[[o[2] for o in out]] = -np.inf
-            at = int(np.round(gain, 12).argmax())
-            near = np.maximum(near, sim[:, at])
-            out.append((slot, ids[at], at, near.mean()))
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "slot": [o[0] for o in out], "vec_id": [o[1] for o in out], "utility": [o[3] for o in out]})
-
-    return sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(choose, "label int, slot int, vec_id long, utility double")
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "centres": [[(v / max(np.linalg.norm(v), 1e-12)).tolist() for v in c]]})
+
+    found = sample.select("label", "vec_id", "unit").groupBy("label").applyInPandas(begin, "label int, centres array<array<double>>").collect()
+    centres = {r.label: np.array(r.centres) for r in found}
+
+    def assigned(now: dict[int, np.ndarray]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own = np.zeros(len(pdf), int)
+                labels = pdf["label"].to_numpy()
+                for label in np.unique(labels):
+                    at = np.flatnonzero(labels == label)
+                    own[at] = (np.vstack(pdf["unit"].to_numpy()[at]) @ now[int(label)].T).argmax(axis=1)
+                yield pdf[["vec_id", "label"]].assign(cluster=own.astype("int32"))
+
+        return vectors.select("vec_id", "label", "unit").mapInPandas(run, "vec_id long, label int, cluster int")
+
+    def sums(now: dict[int, np.ndarray]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {label: np.zeros_like(c) for label, c in now.items()}  # a task's sums, whatever its rows
+            for pdf in batches:
+                labels = pdf["label"].to_numpy()
+                for label in np.unique(labels):
+                    x = np.vstack(pdf["unit"].to_numpy()[labels == label])
+                    np.add.at(total[int(label)], (x @ now[int(label)].T).argmax(axis=1), x)
+            rows = [(label, j, i, float(v)) for label, c in total.items() for j, centre in enumerate(c) for i, v in enumerate(centre) if v]
+            yield pd.DataFrame(rows, columns=["label", "cluster", "i", "v"])
+
+        parts = vectors.select("label", "unit").mapInPandas(run, "label int, cluster int, i int, v double")
+        return parts.groupBy("label", "cluster", "i").agg(F.sum("v").alias("v")).collect()
+
+    for _ in range(rounds if centres else 0):
+        new = {label: np.zeros_like(c) for label, c in centres.items()}
+        for r in sums(centres):
+            new[r.label][r.cluster, r.i] = r.v
+        for label, c in new.items():
+            size = np.linalg.norm(c, axis=1, keepdims=True)
+            new[label] = np.where(size > 1e-12, c / np.maximum(size, 1e-12), centres[label])  # an empty cluster keeps its centre
+        moved = max(float(np.abs(new[label] - centres[label]).max()) for label in centres)
+        centres = new
+        if moved < 1e-9:
+            break
+    return assigned(centres)
+
+
+def greedy_facility(vectors: DataFrame, k: int, block: int = 2_048) -> DataFrame:
+    """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one: ``label, slot, vec_id, utility``.
+
+    All vectors of a label are candidates and all count. For each slot the blocks of a label meet in tiles that leave the sum of each candidate's
+    gains; the best of them (smallest id of equals) is chosen. Work is quadratic in a label's vectors, memory is one tile; the driver holds
+    the chosen vectors."""
+    vectors = vectors.where("label is not null").select("label", "vec_id", "unit")
+    sizes = {r.label: r.n for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return vectors.select("label", F.lit(0).alias("slot"), "vec_id", F.lit(0.0).alias("utility"))
+    blocks = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, -(-n // block))))[F.col("label")]
+    cut = vectors.withColumn("mine", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    both = cut.select("label", F.col("mine").alias("i"), other, F.lit(True).alias("asks"), "vec_id", "unit").withColumnRenamed("other", "j")
+    both = both.unionByName(cut.select("label", other, F.col("mine").alias("j"), F.lit(False).alias("asks"), "vec_id", "unit").withColumnRenamed("other", "i"))
+    chosen: dict[int, list] = {label: [] for label in sizes}
+
+    def gains(now: dict[int, np.ndarray]):
+        def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+            asks = pdf["asks"].to_numpy()
+            rows, able = pdf[asks], pdf[~asks]
+            if not len(rows) or not len(able):
+                return pd.DataFrame({"label": [], "vec_id": [], "gain": []})
+            x, c = np.vstack(rows["unit"].to_numpy()), np.vstack(able["unit"].to_numpy())
+            held = now.get(int(pdf["label"].iloc[0]))
+            near = (x @ held.T).max(axis=1) if held is not None else np.full(len(x), -1.0)
+            return pd.DataFrame({"label": able["label"].to_numpy(), "vec_id": able["vec_id"].to_numpy(), "gain": np.maximum(near[:, None], x @ c.T).sum(axis=0)})
+
+        return both.groupBy("label", "i", "j").applyInPandas(tile, "label int, vec_id long, gain double")
+
+    for slot in range(min(k, max(sizes.values()))):
+        taken = [v for own in chosen.values() for _, v, _, _ in own]
+        held = {label: np.array([u for _, _, _, u in own]) for label, own in chosen.items() if own}
+        summed = gains(held).groupBy("label", "vec_id").agg(F.sum("gain").alias("gain")).where(~F.col("vec_id").isin(taken) if taken else F.lit(True))
+        best = summed.groupBy("label").agg(F.min(F.struct(F.round(-F.col("gain") / F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, n)))[F.col("label")], 12).alias("u"), "vec_id")).alias("b"))
+        best = best.select("label", "b.vec_id", (-F.col("b.u")).alias("utility"))
+        for r in best.join(vectors, ["label", "vec_id"]).collect():
+            chosen[r.label].append((slot, r.vec_id, r.utility, r.unit))
+    rows = [(label, s, v, u) for label, own in chosen.items() for s, v, u, _ in own]
+    return vectors.sparkSession.createDataFrame(rows, "label int, slot int, vec_id long, utility double")
 
 
 from .experiments import block_adjusted, caliper_pairs, hamming_exists, hamming_links, interleaved, most_disorder, provenance_faults, rebuilt, two_way_components  # noqa: E402

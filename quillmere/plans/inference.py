@@ -126,7 +126,7 @@ def q_tost_sample_size(table):
 
 @query(
     "q_bootstrap_spearman",
-    f"""WITH n AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x, y FROM ({_NATION})), d AS (SELECT b, sha256('13' || chr(0) || CAST(b AS VARCHAR) || chr(0) || CAST(k AS VARCHAR)) AS h FROM range(400) AS t(b), range((SELECT count(*) FROM n)) AS s(k)),
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x, y FROM ({_NATION})), d AS (SELECT b, sha256('13' || chr(0) || CAST(b AS VARCHAR) || chr(0) || CAST(k AS VARCHAR)) AS h FROM range(10000) AS t(b), range((SELECT count(*) FROM n)) AS s(k)),
 j AS (SELECT b, CAST(({_SEED_SQL}) % (SELECT count(*) FROM n)::UBIGINT AS BIGINT) AS i FROM d), v AS (SELECT b, x, y FROM j JOIN n USING (i)),
 k AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0 AS ry FROM v), c AS (SELECT b, corr(rx, ry) AS rho FROM k GROUP BY b)
 SELECT round(avg(rho), 6) + 0.0 AS mean, round(quantile_cont(rho, 0.025), 6) + 0.0 AS low, round(quantile_cont(rho, 0.975), 6) + 0.0 AS high FROM c""",
@@ -134,7 +134,7 @@ SELECT round(avg(rho), 6) + 0.0 AS mean, round(quantile_cont(rho, 0.025), 6) + 0
 def q_bootstrap_spearman(table):
     """Percentile interval of a rank correlation over classes."""
     classes = _nations(table).select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1).cast("long").alias("i"), "x", "y")
-    b = inf.bootstrap_spearman(classes, "i", "x", "y", 400, 13)
+    b = inf.bootstrap_spearman(classes, "i", "x", "y", 10_000, 13)
     return b.agg(r(F.avg("rho")).alias("mean"), r(F.percentile("rho", 0.025)).alias("low"), r(F.percentile("rho", 0.975)).alias("high"))
 
 
@@ -203,14 +203,14 @@ def q_half_split(table):
 
 @query(
     "q_order_gate",
-    f"""WITH c AS ({_CELL}), w AS (SELECT arm, seed, x, rank() OVER (PARTITION BY arm ORDER BY x) AS ry, x < lag(x) OVER (PARTITION BY arm ORDER BY seed) AS fell FROM c),
+    f"""WITH c AS ({_CELL}), w AS (SELECT arm, seed, x, rank() OVER (PARTITION BY arm ORDER BY x) + (count(*) OVER (PARTITION BY arm, x) - 1) / 2.0 AS ry, x < lag(x) OVER (PARTITION BY arm ORDER BY seed) AS fell FROM c),
 s AS (SELECT arm, count(*) AS n, count(*) FILTER (fell) AS falls, corr(seed, ry) AS rho, corr(seed, x) AS r, max_by(x, seed) AS last, avg(x) AS mean FROM w GROUP BY arm)
 SELECT arm, falls, round(rho, 6) + 0.0 AS rho, round({_t_sql('(r * sqrt((n - 2) / (1 - r * r)))', 'n - 2')}, 6) + 0.0 AS p, rho >= 0.7 AND falls = 0 AS ordered, last >= mean - 1000 AS held FROM s""",
 )
 def q_order_gate(table):
     """Falls along the years, rank correlation, the line's p, and two gates."""
     w = Window.partitionBy("arm")
-    d = _cells(table).select("arm", "seed", "x", F.rank().over(w.orderBy("x")).alias("ry"), (F.col("x") < F.lag("x").over(w.orderBy("seed"))).alias("fell"))
+    d = _cells(table).select("arm", "seed", "x", op.average_rank("x", "arm").alias("ry"), (F.col("x") < F.lag("x").over(w.orderBy("seed"))).alias("fell"))
     s = d.groupBy("arm").agg(F.count("*").alias("n"), F.count_if("fell").alias("falls"), fn.correlation(F.col("seed"), F.col("ry")).alias("rho"), fn.correlation(F.col("seed"), F.col("x")).alias("c"), F.max_by("x", "seed").alias("last"), F.avg("x").alias("mean"))
     t = F.col("c") * F.sqrt((F.col("n") - 2) / (1 - F.col("c") * F.col("c")))
     return s.select("arm", "falls", r("rho").alias("rho"), r(tails.t_p(t, (F.col("n") - 2).cast("double"))).alias("p"), ((F.col("rho") >= 0.7) & (F.col("falls") == 0)).alias("ordered"), (F.col("last") >= F.col("mean") - 1000).alias("held"))

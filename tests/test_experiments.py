@@ -76,3 +76,65 @@ def test_both_ways_of_margins_agree(spark, monkeypatch):
     monkeypatch.setattr(op, "FEW_PROTOTYPES", 0)
     two = sorted(op.margins(unit, protos).collect())
     assert [r.rival_label for r in one] == [r.rival_label for r in two] and all(abs(a.margin - b.margin) < 1e-12 for a, b in zip(one, two, strict=True))
+
+
+def unit_rows(n, dim, labels, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)) + 3 * np.eye(dim)[rng.integers(0, 3, n)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return [(k, k % labels, [float(v) for v in x[k]]) for k in range(n)]
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_facility_over_all_vectors(spark, block):
+    """Every choice against the best of all candidates, in one tile a label and in many."""
+    import numpy as np
+
+    rows = unit_rows(90, 4, 2, 1)
+    got = op.greedy_facility(spark.createDataFrame(rows, "vec_id long, label int, unit array<double>"), 4, block).collect()
+    for label in (0, 1):
+        ids = [r[0] for r in rows if r[1] == label]
+        x = np.array([r[2] for r in rows if r[1] == label])
+        near, taken = np.full(len(x), -1.0), []
+        for r in sorted((r for r in got if r.label == label), key=lambda r: r.slot):
+            utility = np.round(np.maximum(near[:, None], x @ x.T).mean(axis=0), 12)
+            utility[taken] = -1
+            best = int(utility.argmax())
+            assert r.vec_id == ids[best] and abs(r.utility - utility[best]) < 1e-9
+            taken.append(best)
+            near = np.maximum(near, x @ x[best])
+        assert len(taken) == 4
+
+
+def test_kmeans_steps_run_over_all_vectors(spark):
+    """With a small sample to begin from, the end is a fixed point of Lloyd's step over all vectors."""
+    import numpy as np
+
+    rows = unit_rows(400, 5, 2, 2)
+    df = spark.createDataFrame(rows, "vec_id long, label int, unit array<double>").repartition(5)
+    own = {r.vec_id: r.cluster for r in op.spherical_kmeans(df, 3, most=20, rounds=60).collect()}
+    assert len(own) == 400
+    for label in (0, 1):
+        x = np.array([r[2] for r in rows if r[1] == label])
+        c = np.array([own[r[0]] for r in rows if r[1] == label])
+        centres = np.array([x[c == j].sum(axis=0) for j in range(3)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        assert ((x @ centres.T).argmax(axis=1) == c).all()
+    assert op.spherical_kmeans(df.limit(0), 3).count() == 0 and op.greedy_facility(df.limit(0), 3).count() == 0
+
+
+def test_discrepancy_with_a_frequent_vector(spark):
+    import numpy as np
+
+    from quillmere.operators.inference import kernel_discrepancy
+
+    rng = np.random.default_rng(4)
+    rows = [(bool(k % 2), [1.0, 2.0, 3.0]) for k in range(60)] + [(bool(k % 3), [float(v) for v in rng.normal(size=3)]) for k in range(50)]
+    got = kernel_discrepancy(spark.createDataFrame(rows, "side boolean, v array<double>"), "side", "v", sigma=2.0, scale=1.0, block=16).first()[0]
+    a, b = (np.array([v for s, v in rows if s == side]) for side in (True, False))
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(axis=2) / 8.0)
+    m, n = len(a), len(b)
+    want = (k(a, a).sum() - m) / (m * (m - 1)) + (k(b, b).sum() - n) / (n * (n - 1)) - 2 * k(a, b).mean()
+    assert abs(got - want) < 1e-9
