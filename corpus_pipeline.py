@@ -16,7 +16,10 @@ from quillmere.llm.toxicity import learn_from_tables, toxicity_score
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trained = learn_from_tables(spark, docs, sf_dir)
-    return toxicity_score(docs, trained, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    names = {c: f"own_{c}" for c in docs.columns}  # so that no column clashes with the score
+    own = docs.select(*(docs[c].alias(n) for c, n in names.items()), "text")
+    scored = toxicity_score(own, trained, keep=tuple(names.values())).where("predicted = 0")
+    return scored.select(*(scored[n].alias(c) for c, n in names.items()))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embedding_dups import forest
-from .shared import connected_components, materialize, read_table, row_key, text_chunks
+from .shared import connected_components, discard, materialize, read_table, row_key, text_chunks
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most hash functions of a signature.
@@ -232,6 +232,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     named = materialize(named.select("set_id", "rep", "low_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "cid").alias("group")), "ngram-named")
     tops = materialize(named.groupBy("group").agg(F.min("low_id").alias("class_id"), F.min("rep").alias("top")).withColumnRenamed("group", "t_group"), "ngram-tops")
     named = materialize(named.join(tops, F.col("group") == F.col("t_group")).select(F.col("set_id").alias("c_set"), "class_id", "top", "copies", "links"), "ngram-classes-named")
+    discard(classes, buckets, dealt, found, tops)  # what is left is read from the signatures and the named classes
     done = sigs.select("doc_id", "key", "set_id").join(named, F.col("set_id") == F.col("c_set"), "left")
     alone = F.col("set_id").isNull()
     return done.select(

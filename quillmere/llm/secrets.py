@@ -228,8 +228,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     ``n_chars``, where it is there, follows the new text. A null text stays null.
     """
     names = docs.columns
-    carried = docs.select(*(F.col(c).alias(f"_{c}") if c in ("doc_id", "text") else F.col(c) for c in names), F.col("doc_id"), F.col("text"))
-    found = secret_spans(carried, rules, tuple(c for c in carried.columns if c not in ("doc_id", "text")))
+    # every column travels under another name, so that none clashes with those made here
+    carried = docs.select(*(F.col(c).alias(f"_own_{c}") for c in names), F.col("doc_id"), F.col("text"))
+    found = secret_spans(carried, rules, tuple(f"_own_{c}" for c in names))
     def blotted(spans: Column, base: Column, piece: Column) -> Column:
         """The piece of text that starts at ``base`` and ends with the last of the spans, blotted."""
         start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
@@ -242,7 +243,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         return F.aggregate(spans, start, add, lambda acc: F.array_join(acc["out"], ""))
 
     # slices of spans each work on their own stretch of the text, so that the cost grows with the text and not with its square
-    text, stops = F.col("_text"), F.transform("spans", lambda s: s["end"])
+    text, stops = F.col("_own_text"), F.transform("spans", lambda s: s["end"])
     last = lambda ends, n: F.coalesce(F.array_max(F.slice(ends, F.lit(1), n)), F.lit(0))
 
     def slices(ends: Column) -> Column:
@@ -251,7 +252,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         return F.concat(F.array_join(F.transform(_blocks(F.col("spans")), done), ""), rest)
 
     clean = F.when(F.size("spans") > 0, _let(stops, slices)).otherwise(text)
-    done = found.select(*(clean.alias("text") if c == "text" else F.col(f"_{c}").alias(c) if c == "doc_id" else F.col(c) for c in names))
+    done = found.select(*(clean.alias("text") if c == "text" else F.col(f"_own_{c}").alias(c) for c in names))
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else done
 
 

@@ -35,7 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and of which nothing is read any more: all that was made of them must be written."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def row_key(text: str = "text") -> F.Column:
@@ -108,13 +120,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     while True:
         # large star: each node hangs its larger neighbours on the smallest node it sees
         both = step.select("u", "v").unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        low = least_of_larger = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = materialize(large, name)
         # small star: each node hangs itself and its smaller neighbours on the smallest of them
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        step = materialize(small, name)
+        step, before = materialize(small, name), step
+        discard(before, least_of_larger, large, low)
         now = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break

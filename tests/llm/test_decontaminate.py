@@ -129,3 +129,13 @@ def test_finds_what_all_stretches_hold():
     for text, of in zip(texts, found, strict=True):
         wanted = {(k, e) for k, ws in items if (e := brute(ws, text, int(0.2 * len(ws)))) is not None}
         assert {(k, e) for k, e, _ in of} == wanted
+
+
+def test_equal_items_and_ties(spark):
+    """Items with equal words are found each; of equally good places the first counts."""
+    words = " ".join(f"word{k}" for k in range(12))
+    bench = spark.createDataFrame([(k, words) for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before it {words} and {words} after"), (2, "nothing of it")], "doc_id long, text string")
+    got = benchmark_matches(docs, bench).collect()
+    assert sorted(r.item_id for r in got) == list(range(40)) and {(r.doc_id, r.edits, r.first_word) for r in got} == {(1, 0, 2)}
+    assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [2]

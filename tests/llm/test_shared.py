@@ -53,3 +53,20 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         scratch_folder(Session())
+
+
+def test_discard_deletes_what_was_written(spark):
+    import os
+
+    from quillmere.llm.shared import connected_components, discard, materialize
+
+    table = materialize(spark.range(5), "discarded")
+    path = table.scratch_path.removeprefix("file://")
+    assert os.path.isdir(path) and table.count() == 5
+    discard(table, spark.range(3))  # a frame that was never written is left alone
+    assert not os.path.exists(path)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 4)], "a long, b long")
+    found = connected_components(edges, name="discard-test")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    folder = os.path.dirname(path)
+    assert sum(n.startswith("discard-test") for n in os.listdir(folder)) == 1
