@@ -250,48 +250,168 @@ def spherical_kmeans(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_0
     return assigned(centres)
 
 
-def greedy_facility(vectors: DataFrame, k: int, block: int = 2_048) -> DataFrame:
-    """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one: ``label, slot, vec_id, utility``.
-
-    All vectors of a label are candidates and all count. For each slot the blocks of a label meet in tiles that leave the sum of each candidate's
-    gains; the best of them (smallest id of equals) is chosen. Work is quadratic in a label's vectors, memory is one tile; the driver holds
-    the chosen vectors."""
-    vectors = vectors.where("label is not null").select("label", "vec_id", "unit")
+def _facility_gains(vectors: DataFrame, block: int):
+    """Sizes of the labels of ``vectors`` (``label``, ``vec_id``, ``unit``), and a function of the vectors held so far (by label) that gives ``label,
+    vec_id, gain``: each candidate's sum, over all vectors of its label, of the similarity to the nearest held or to itself. Blocks of a label
+    meet in tiles of bounded memory."""
     sizes = {r.label: r.n for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return vectors.select("label", F.lit(0).alias("slot"), "vec_id", F.lit(0.0).alias("utility"))
-    blocks = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, -(-n // block))))[F.col("label")]
+    blocks = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, -(-n // block))))[F.col("label")] if sizes else F.lit(1)
     cut = vectors.withColumn("mine", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     both = cut.select("label", F.col("mine").alias("i"), other, F.lit(True).alias("asks"), "vec_id", "unit").withColumnRenamed("other", "j")
     both = both.unionByName(cut.select("label", other, F.col("mine").alias("j"), F.lit(False).alias("asks"), "vec_id", "unit").withColumnRenamed("other", "i"))
-    chosen: dict[int, list] = {label: [] for label in sizes}
 
-    def gains(now: dict[int, np.ndarray]):
+    def gains(held: dict[int, np.ndarray]) -> DataFrame:
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
             asks = pdf["asks"].to_numpy()
             rows, able = pdf[asks], pdf[~asks]
             if not len(rows) or not len(able):
                 return pd.DataFrame({"label": [], "vec_id": [], "gain": []})
             x, c = np.vstack(rows["unit"].to_numpy()), np.vstack(able["unit"].to_numpy())
-            held = now.get(int(pdf["label"].iloc[0]))
-            near = (x @ held.T).max(axis=1) if held is not None else np.full(len(x), -1.0)
+            own = held.get(int(pdf["label"].iloc[0]))
+            near = (x @ own.T).max(axis=1) if own is not None and len(own) else np.full(len(x), -1.0)
             return pd.DataFrame({"label": able["label"].to_numpy(), "vec_id": able["vec_id"].to_numpy(), "gain": np.maximum(near[:, None], x @ c.T).sum(axis=0)})
 
-        return both.groupBy("label", "i", "j").applyInPandas(tile, "label int, vec_id long, gain double")
+        tiles = both.groupBy("label", "i", "j").applyInPandas(tile, "label int, vec_id long, gain double")
+        return tiles.groupBy("label", "vec_id").agg(F.sum("gain").alias("gain"))
+
+    return sizes, gains
 
-    for slot in range(min(k, max(sizes.values()))):
+
+def greedy_facility(vectors: DataFrame, k: int, block: int = 2_048) -> DataFrame:
+    """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one: ``label, slot, vec_id, utility``.
+
+    All vectors of a label are candidates and all count; the best candidate (smallest id of equals) takes each slot. Work is quadratic in
+    a label's vectors, memory is one tile; the driver holds the chosen vectors."""
+    vectors = vectors.where("label is not null").select("label", "vec_id", "unit")
+    sizes, gains = _facility_gains(vectors, block)
+    chosen: dict[int, list] = {label: [] for label in sizes}
+    for slot in range(min(k, max(sizes.values(), default=0))):
         taken = [v for own in chosen.values() for _, v, _, _ in own]
-        held = {label: np.array([u for _, _, _, u in own]) for label, own in chosen.items() if own}
-        summed = gains(held).groupBy("label", "vec_id").agg(F.sum("gain").alias("gain")).where(~F.col("vec_id").isin(taken) if taken else F.lit(True))
-        best = summed.groupBy("label").agg(F.min(F.struct(F.round(-F.col("gain") / F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, n)))[F.col("label")], 12).alias("u"), "vec_id")).alias("b"))
-        best = best.select("label", "b.vec_id", (-F.col("b.u")).alias("utility"))
+        summed = gains({label: np.array([u for *_, u in own]) for label, own in chosen.items() if own})
+        summed = summed.where(~F.col("vec_id").isin(taken)) if taken else summed
+        mean = F.col("gain") / F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, n)))[F.col("label")]
+        best = summed.groupBy("label").agg(F.min(F.struct(F.round(-mean, 12).alias("u"), "vec_id")).alias("b")).select("label", "b.vec_id", (-F.col("b.u")).alias("utility"))
         for r in best.join(vectors, ["label", "vec_id"]).collect():
             chosen[r.label].append((slot, r.vec_id, r.utility, r.unit))
     rows = [(label, s, v, u) for label, own in chosen.items() for s, v, u, _ in own]
     return vectors.sparkSession.createDataFrame(rows, "label int, slot int, vec_id long, utility double")
 
 
+def joint_facility(vectors: DataFrame, source: str, block: int = 2_048, rounds: int = 10) -> DataFrame:
+    """Per label one vector of each ``source`` (an integer column), chosen together: ``label, source, vec_id, utility``.
+
+    Greedily, the candidate of any open source that raises the utility most is taken (of equals the smallest source, then id) and closes its source; then each
+    source in turn may exchange its vector for one that does better beside the others, until none does or ``rounds`` are over."""
+    vectors = vectors.where("label is not null").select("label", "vec_id", "unit", F.col(source).cast("int").alias("source")).where("source is not null")
+    sizes, gains = _facility_gains(vectors.select("label", "vec_id", "unit"), block)
+    sources = {r.label: sorted(r.s) for r in vectors.groupBy("label").agg(F.collect_set("source").alias("s")).collect()}
+    chosen: dict[int, dict[int, tuple]] = {label: {} for label in sizes}
+
+    def best_of(held: dict[int, np.ndarray], able: list[tuple[int, int]]) -> list:
+        """The best candidate of each label among its able sources."""
+        asked = vectors.sparkSession.createDataFrame(able, "label int, source int")
+        mean = F.col("gain") / F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, n)))[F.col("label")]
+        rows = gains(held).join(vectors.join(F.broadcast(asked), ["label", "source"]), ["label", "vec_id"])
+        return rows.groupBy("label").agg(F.min(F.struct(F.round(-mean, 12).alias("u"), "source", "vec_id", "unit")).alias("b")).select("label", "b.*").collect()
+
+    others = lambda label, out=None: np.array([v[2] for s, v in chosen[label].items() if s != out])
+    for _ in range(max(map(len, sources.values()), default=0)):
+        able = [(label, s) for label, of in sources.items() for s in of if s not in chosen[label]]
+        for r in best_of({label: others(label) for label in sizes}, able):
+            chosen[r.label][r.source] = (r.vec_id, -r.u, r.unit)
+    for _ in range(rounds):
+        changed = False
+        for place in range(max(map(len, sources.values()), default=0)):
+            turn = {label: of[place] for label, of in sources.items() if place < len(of)}
+            for r in best_of({label: others(label, s) for label, s in turn.items()}, list(turn.items())):
+                old = chosen[r.label][r.source]
+                utility = max(u for _, u, _ in chosen[r.label].values())
+                if r.vec_id != old[0] and -r.u > utility + 1e-12:
+                    changed = True
+                    chosen[r.label][r.source] = (r.vec_id, -r.u, r.unit)
+        if not changed:
+            break
+    rows = [(label, s, v, max(u for _, u, _ in own.values())) for label, own in chosen.items() for s, (v, _, _) in own.items()]
+    return vectors.sparkSession.createDataFrame(rows, "label int, source int, vec_id long, utility double")
+
+
+def two_means(vectors: DataFrame, seed: int, inits: int = 4, rounds: int = 30) -> DataFrame:
+    """Two clusters a label, each by its nearest real vector: ``label, cluster, vec_id, sim, size, init``, clusters numbered by that vector's id.
+
+    Each start draws its first vector by a hash of seed, label, start and id, and its second with chances in proportion to the distance from it (a race of
+    exponentials keyed by identity, so that no order of rows matters). Lloyd's steps of all starts run together over all vectors, as
+    aggregates; of the starts the one with the least inertia wins, then the smaller ids, then the earlier start. A cluster that loses all
+    its vectors keeps its centre. The driver holds centres alone: ``2 * inits`` a label."""
+    v = vectors.where("label is not null").select("label", "vec_id", "unit")
+    each = v.withColumn("init", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))))
+    key = lambda part: fn.sampling_key(F.lit(seed), F.col("label"), F.col("init"), F.lit(part), F.col("vec_id"))
+    first = each.groupBy("label", "init").agg(F.min(F.struct(key("first").alias("h"), "vec_id", "unit")).alias("a")).select("label", "init", F.col("a.vec_id").alias("f_id"), F.col("a.unit").alias("f_unit"))
+    far = F.greatest(1 - fn.dot(F.col("unit"), F.col("f_unit")), F.lit(0.0))
+    u = (fn.identity_seed(F.lit(seed), F.col("label"), F.col("init"), F.lit("second"), F.col("vec_id")).cast("double") + 0.5) / F.lit(float(2**63))
+    race = F.when(far > 1e-12, -F.log(u) / far).otherwise(F.lit(float("inf")))  # nothing apart: the smallest other id
+    pair = each.join(F.broadcast(first), ["label", "init"]).where("vec_id <> f_id").groupBy("label", "init").agg(F.min(F.struct(race.alias("t"), "vec_id", "unit")).alias("b"))
+    pair = first.join(pair, ["label", "init"], "left").select("label", "init", "f_unit", F.col("b.unit").alias("s_unit")).collect()
+    centres = {(r.label, r.init): np.array([r.f_unit, r.s_unit or r.f_unit]) for r in pair}
+
+    def pass_over(now: dict, ids: bool) -> DataFrame:
+        """Sums of each cluster (``i`` >= 0), its size and inertia (``i`` -1 and -2) or, with ``ids``, its nearest vector of each task."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {k: np.zeros((2, c.shape[1] + 2)) for k, c in now.items()}
+            near: dict = {}
+            for pdf in batches:
+                labels = pdf["label"].to_numpy()
+                for label in np.unique(labels):
+                    x, names = np.vstack(pdf["unit"].to_numpy()[labels == label]), pdf["vec_id"].to_numpy()[labels == label]
+                    for init in range(inits):
+                        sim = x @ now[int(label), init].T
+                        own = sim.argmax(axis=1)
+                        np.add.at(total[int(label), init], own, np.hstack([x, np.ones((len(x), 1)), 1 - sim.max(axis=1)[:, None]]))
+                        for j in np.unique(own).tolist() if ids else ():
+                            at = np.flatnonzero(own == j)
+                            best = min(zip((-np.round(sim[at, j], 12)).tolist(), names[at].tolist(), strict=True))
+                            near[int(label), init, j] = min(best, near.get((int(label), init, j), best))
+            if ids:
+                rows = [(label, init, j, name, -s) for (label, init, j), (s, name) in near.items()]
+            else:
+                rows = [(label, init, j, i if i < t.shape[1] - 2 else t.shape[1] - 3 - i, float(x)) for (label, init), t in total.items() for j in (0, 1) for i, x in enumerate(t[j])]
+            yield pd.DataFrame(rows, columns=["label", "init", "cluster", "i", "v"])
+
+        parts = v.select("label", "vec_id", "unit").mapInPandas(run, "label int, init int, cluster int, i long, v double")
+        if ids:
+            return parts.groupBy("label", "init", "cluster").agg(F.min(F.struct((-F.col("v")).alias("s"), "i")).alias("b")).select("label", "init", "cluster", F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("sim"))
+        return parts.groupBy("label", "init", "cluster", "i").agg(F.sum("v").alias("v"))
+
+    sizes: dict = {}
+    for _ in range(rounds if centres else 0):
+        new, inertia = {k: np.zeros_like(c) for k, c in centres.items()}, {k: 0.0 for k in centres}
+        for r in pass_over(centres, False).collect():
+            if r.i >= 0:
+                new[r.label, r.init][r.cluster, r.i] = r.v
+            elif r.i == -1:
+                sizes[r.label, r.init, r.cluster] = int(r.v)
+            else:
+                inertia[r.label, r.init] += r.v
+        for k, c in new.items():
+            length = np.linalg.norm(c, axis=1, keepdims=True)
+            new[k] = np.where(length > 1e-12, c / np.maximum(length, 1e-12), centres[k])
+        moved = max(float(np.abs(new[k] - centres[k]).max()) for k in centres)
+        if moved < 1e-9:
+            break
+        centres = new
+    if not centres:
+        return v.select("label", F.lit(0).alias("cluster"), "vec_id", F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("init"))
+    found: dict = {}
+    for r in pass_over(centres, True).collect():
+        found.setdefault((r.label, r.init), []).append((r.vec_id, r.sim, sizes[r.label, r.init, r.cluster]))
+    rows = []
+    for label in sorted({k[0] for k in found}):
+        best = min((k for k in found if k[0] == label), key=lambda k: (round(inertia[k], 9), sorted(x[0] for x in found[k]), k[1]))
+        rows += [(label, place, name, sim, n, best[1]) for place, (name, sim, n) in enumerate(sorted(found[best]))]
+    return v.sparkSession.createDataFrame(rows, "label int, cluster int, vec_id long, sim double, size long, init int")
+
+
 from .experiments import block_adjusted, caliper_pairs, hamming_exists, hamming_links, interleaved, most_disorder, provenance_faults, rebuilt, two_way_components  # noqa: E402
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "np", "pd", "Column", "DataFrame", "Window", "F", "annotations")]

@@ -11,14 +11,23 @@ from .. import functions as fn
 from . import prototypes
 
 
-def balance(sim: np.ndarray) -> np.ndarray:
+def capacities(sim: np.ndarray) -> np.ndarray:
+    """Places of each column: n // k, and one more for the ``n mod k`` columns that most rows like best (the first of equals first)."""
+    n, k = sim.shape
+    liked = np.bincount(sim.argmax(axis=1), minlength=k)
+    places = np.full(k, n // k)
+    places[np.argsort(-liked, kind="stable")[: n % k]] += 1
+    return places
+
+
+def balance(sim: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
     """The assignment of rows to columns with the greatest total similarity in which sizes differ by at most one. Rows start at
     their best column; the surplus then leaves along cheapest chains of moves (successive shortest paths over the columns and a
-    pool that holds the ``n mod k`` places above the floor), which keeps each step optimal."""
+    pool that holds the ``n mod k`` places above the floor), which keeps each step optimal. With ``places`` each column has just so many."""
     n, k = sim.shape
     own = sim.argmax(axis=1)
     floor, extra = divmod(n, k)
-    surplus = np.append(np.bincount(own, minlength=k) - floor, -extra)
+    surplus = np.append(np.bincount(own, minlength=k) - (floor if places is None else places), -extra if places is None else 0)
     above = np.zeros(k, dtype=bool)  # columns that use a place of the pool
     while (surplus > 0).any():
         cost, mover = np.full((k + 1, k + 1), np.inf), np.full((k + 1, k + 1), -1)
@@ -28,7 +37,8 @@ def balance(sim: np.ndarray) -> np.ndarray:
                 loss = sim[rows, a][:, None] - sim[rows]
                 first = loss.argmin(axis=0)
                 cost[a, :k], mover[a, :k] = loss[first, np.arange(k)], rows[first]
-            cost[k if above[a] else a, a if above[a] else k] = 0.0
+            if places is None:
+                cost[k if above[a] else a, a if above[a] else k] = 0.0
         np.fill_diagonal(cost, np.inf)
         dist, back = np.where(surplus > 0, 0.0, np.inf), np.full(k + 1, -1)
         for _ in range(k + 1):
@@ -63,7 +73,8 @@ def balanced_assignment(vectors: DataFrame, centres: DataFrame, most: int = 5_00
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "cluster": balance(np.vstack(pdf["sims"].to_numpy()))})
+        sim = np.vstack(pdf["sims"].to_numpy())
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "cluster": balance(sim, capacities(sim))})
 
     return sims.groupBy("label", "part").applyInPandas(assign, "vec_id long, label int, cluster int")
 
@@ -129,12 +140,17 @@ def match_partners(rows: DataFrame, batch: str, identity: str, group: str, neigh
     return keyed.groupBy("b").applyInPandas(match, "batch long, id long, partner long, guided boolean")
 
 
-def balanced_clusters(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000) -> DataFrame:
-    """``k`` clusters a label of equal size, give or take one: k-means centres, then the balanced assignment."""
+def balanced_clusters(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000, rounds: int = 3) -> DataFrame:
+    """``k`` clusters a label of equal size, give or take one: k-means centres, then ``rounds`` of balanced assignment, each from the centres that
+    the one before has left. The driver holds the centres between rounds."""
     from . import spherical_kmeans
 
-    first = spherical_kmeans(vectors, k, seed, most)
-    key = F.struct("label", "cluster").alias("key")
-    found = prototypes(vectors.select("vec_id", "unit").join(first.select("vec_id", key), "vec_id"), "key")
-    number = F.row_number().over(Window.partitionBy("key.label").orderBy("key.cluster")) - 1
-    return balanced_assignment(vectors, found.select("key.label", number.alias("cluster"), F.col("proto").alias("centre")))
+    found = spherical_kmeans(vectors, k, seed, most)
+    units = vectors.select("vec_id", "unit")
+    for _ in range(rounds):
+        centres = prototypes(units.join(found.select("vec_id", F.struct("label", "cluster").alias("key")), "vec_id"), "key")
+        number = F.row_number().over(Window.partitionBy("key.label").orderBy("key.cluster")) - 1
+        rows = centres.select("key.label", number.alias("cluster"), F.col("proto").alias("centre"))
+        held = vectors.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        found = balanced_assignment(vectors, held)
+    return found

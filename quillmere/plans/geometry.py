@@ -262,3 +262,29 @@ def q_kmeans_spherical(table):
 def q_facility_greedy(table):
     """Greedy facility location (C14); checked by its rising utility and against brute force."""
     return op.greedy_facility(unit_vectors(table), 3).withColumn("utility", r("utility"))
+
+
+@query("q_joint_facility")
+def q_joint_facility(table):
+    """One vector of each of three sources a label, chosen together and exchanged until none does better (C14); tested against exchanges."""
+    d = unit_vectors(table).withColumn("source", F.col("vec_id") % 3)
+    return op.joint_facility(d, "source").withColumn("utility", r("utility"))
+
+
+@query("q_two_means")
+def q_two_means(table):
+    """Two clusters a label from hash-keyed starts, by their nearest vectors (C4); tested as fixed points of Lloyd's step and against all starts."""
+    return op.two_means(unit_vectors(table), 20260914).withColumn("sim", r("sim"))
+
+
+@query(
+    "q_global_centre_top",
+    f"""WITH {UNIT_SQL}, c AS (SELECT label, i, sum(unit[i]) AS x FROM u, range(1, 65) AS t(i) GROUP BY ALL), n AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY label),
+    d AS (SELECT u.label, vec_id, round(list_dot_product(unit, v) / sqrt(list_dot_product(v, v)), 9) AS sim FROM u JOIN n ON n.label = u.label)
+    SELECT label, vec_id, CAST(k - 1 AS INT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS k FROM d) WHERE k <= 3""",
+)
+def q_global_centre_top(table):
+    """The three vectors nearest to each label's centre."""
+    unit = unit_vectors(table)
+    sims = op.margins(unit, op.prototypes(unit)).withColumn("own", F.round("own", 9))
+    return op.top_per_group(sims, 3, "label", F.desc("own"), F.col("vec_id")).select("label", "vec_id", "slot")

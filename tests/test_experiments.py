@@ -138,3 +138,68 @@ def test_discrepancy_with_a_frequent_vector(spark):
     m, n = len(a), len(b)
     want = (k(a, a).sum() - m) / (m * (m - 1)) + (k(b, b).sum() - n) / (n * (n - 1)) - 2 * k(a, b).mean()
     assert abs(got - want) < 1e-9
+
+
+def test_joint_choice_is_a_fixed_point(spark):
+    """One of each source; no exchange of one of them does better; the greedy part starts as the best single vector would."""
+    import numpy as np
+
+    rows = [(k, label, u, (k // 2) % 3) for k, label, u in unit_rows(60, 4, 2, 5)]
+    got = op.joint_facility(spark.createDataFrame(rows, "vec_id long, label int, unit array<double>, source int"), "source", block=16).collect()
+    for label in (0, 1):
+        own = {r.source: r.vec_id for r in got if r.label == label}
+        assert sorted(own) == [0, 1, 2]
+        x = {k: np.array(u) for k, g, u, _ in rows if g == label}
+        every = np.array(list(x.values()))
+        utility = lambda ids: (every @ np.array([x[i] for i in ids]).T).max(axis=1).mean()
+        now = utility(own.values())
+        assert all(abs(r.utility - now) < 1e-9 for r in got if r.label == label)
+        for s in own:
+            for k, g, _, source in rows:
+                if g == label and source == s:
+                    assert utility([*(v for t, v in own.items() if t != s), k]) <= now + 1e-9
+
+
+def test_two_means(spark):
+    import numpy as np
+
+    rows = unit_rows(80, 4, 2, 7)
+    df = spark.createDataFrame(rows, "vec_id long, label int, unit array<double>")
+    got = op.two_means(df, 11).collect()
+    assert sorted(got) == sorted(op.two_means(df.repartition(5), 11).collect())  # the order of rows does not matter
+    for label in (0, 1):
+        ids = [r[0] for r in rows if r[1] == label]
+        x = np.array([r[2] for r in rows if r[1] == label])
+        mine = sorted((r.cluster, r.vec_id, r.size) for r in got if r.label == label)
+        assert [c for c, _, _ in mine] == [0, 1] and mine[0][1] < mine[1][1] and sum(n for _, _, n in mine) == len(ids)
+        # from the representatives' clusters Lloyd's step changes nothing: found by running it from the representatives themselves
+        best = None
+        for a in range(len(x)):
+            for b in range(a + 1, len(x)):
+                c = x[[a, b]]
+                for _ in range(40):
+                    own = (x @ c.T).argmax(axis=1)
+                    if len(set(own.tolist())) < 2:
+                        break
+                    c = np.array([x[own == j].sum(axis=0) for j in (0, 1)])
+                    c /= np.linalg.norm(c, axis=1, keepdims=True)
+                near = tuple(sorted(ids[int(np.where(own == j, x @ c[j], -2).argmax())] for j in (0, 1)))
+                best = (best or set()) | {near}
+        assert tuple(v for _, v, _ in mine) in best
+    assert op.two_means(df.limit(0), 1).count() == 0
+
+
+def test_places_of_columns():
+    import numpy as np
+
+    from quillmere.operators.partition import balance, capacities
+
+    rng = np.random.default_rng(3)
+    for n in (3, 5, 6, 7):
+        sim = rng.normal(size=(n, 3))
+        places = capacities(sim)
+        assert places.sum() == n and places.max() - places.min() <= 1
+        got = balance(sim, places)
+        assert np.bincount(got, minlength=3).tolist() == places.tolist()
+        best = max(sum(sim[k, c] for k, c in enumerate(own)) for own in itertools.product(range(3), repeat=n) if np.bincount(own, minlength=3).tolist() == places.tolist())
+        assert abs(sim[np.arange(n), got].sum() - best) < 1e-9
