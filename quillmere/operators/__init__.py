@@ -81,11 +81,13 @@ def blocked_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = N
     tile is one matrix product that leaves ``k`` rows a query, and a rank merges them. ``vectors``: vec_id, unit and ``within``."""
     queries = vectors if queries is None else queries
     group = F.col(within).cast("long") if within else F.lit(0).cast("long")
-    n = max(1, -(-vectors.count() // block))
-    m = max(1, -(-queries.count() // block))
-    cut = lambda d, c: d.select(group.alias("g"), "vec_id", "unit", F.pmod(F.xxhash64("vec_id"), F.lit(c)).cast("int").alias("mine"))
-    left = cut(queries, m).select("g", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(True).alias("asks"), "vec_id", "unit")
-    right = cut(vectors, n).select("g", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), "vec_id", "unit")
+    # each group has as many blocks as its own rows and queries need
+    sizes = lambda d, name: d.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    blocks = sizes(vectors, "n").join(sizes(queries, "m"), "g")
+    cut = lambda d, c: d.select(group.alias("g"), "vec_id", "unit").join(blocks, "g").withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = cut(queries, "m").select("g", F.col("mine").alias("i"), every("n").alias("j"), F.lit(True).alias("asks"), "vec_id", "unit")
+    right = cut(vectors, "n").select("g", every("m").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), "vec_id", "unit")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
@@ -142,12 +144,35 @@ def bijection_faults(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.where("n_left <> 1 or n_right <> 1")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False, width: float | None = None) -> DataFrame:
     """For each left row the value of the last right row of its key at or before ``at`` (``forward``: the first one at or after it): one sort
-    of the union, no range join."""
+    of the union, no range join. With ``width`` (microseconds for timestamps) the axis is cut into slices that are sorted apart, and what a
+    slice carries over from those before it is worked out from one value a slice, so that a frequent key is spread over many tasks."""
     both = left.select(key, at, F.lit(1).alias("asks"), F.struct(*left.columns).alias("row"), F.lit(None).alias("v")).unionByName(right.select(key, at, F.lit(0).alias("asks"), F.lit(None).alias("row"), F.col(value).alias("v")))
-    w = Window.partitionBy(key).orderBy(F.desc(at) if forward else at, "asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("found", F.last("v", ignorenulls=True).over(w)).where("asks = 1").select("row.*", F.col("found").alias(value))
+    kind = left.schema[at].dataType.simpleString()
+    number = F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith("timestamp") else F.col(at)
+    both = both.withColumn("slice", F.floor(number / width) if width else F.lit(0).cast("long"))
+    order = F.desc(at) if forward else F.asc(at)
+    w = Window.partitionBy(key, "slice").orderBy(order, "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("v", ignorenulls=True).over(w)).where("asks = 1")
+    if width:
+        nearest = (F.min_by if forward else F.max_by)("v", at).alias("end")
+        ends = both.where("asks = 0 and v is not null").groupBy(key, "slice").agg(nearest)
+        slices = both.groupBy(key, "slice").agg(F.lit(1).alias("one")).join(ends.withColumnsRenamed({key: "e_key", "slice": "e_slice"}), F.col(key).eqNullSafe(F.col("e_key")) & F.col("slice").eqNullSafe(F.col("e_slice")), "left")
+        before = Window.partitionBy(key).orderBy(F.desc("slice") if forward else F.asc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = slices.select(F.col(key).alias("c_key"), F.col("slice").alias("c_slice"), F.last("end", ignorenulls=True).over(before).alias("carried"))
+        found = found.join(carried, F.col(key).eqNullSafe(F.col("c_key")) & F.col("slice").eqNullSafe(F.col("c_slice")), "left").withColumn("found", F.coalesce("found", "carried"))
+    return found.select("row.*", F.col("found").alias(value))
+
+
+def tree_digest(df: DataFrame, by: str, identity: str, content: str, per: int = 100_000) -> DataFrame:
+    """``by, digest``: a digest over the digests of ranges of ``per`` ids, each over the lines ``id:sha256`` in order of id. What is gathered is a
+    range's lines, then one digest a range, so no group is collected row by row."""
+    lines = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda s: s["line"]), "\n")
+    line = F.concat(F.col(identity).cast("string"), F.lit(":"), F.sha2(content, 256))
+    rows = df.where(F.col(content).isNotNull()).select(by, F.floor(F.col(identity) / per).alias("part"), F.struct(F.col(identity).alias("k"), line.alias("line")).alias("x"))
+    parts = rows.groupBy(by, "part").agg(F.sha2(lines("x"), 256).alias("line"))
+    return parts.groupBy(by).agg(F.sha2(lines(F.struct("part", "line")), 256).alias("digest"))
 
 
 def hamming_pairs(df: DataFrame, identity: str, code: str, most: int) -> DataFrame:
@@ -412,6 +437,6 @@ def two_means(vectors: DataFrame, seed: int, inits: int = 4, rounds: int = 30) -
     return v.sparkSession.createDataFrame(rows, "label int, cluster int, vec_id long, sim double, size long, init int")
 
 
-from .experiments import block_adjusted, caliper_pairs, hamming_exists, hamming_links, interleaved, most_disorder, provenance_faults, rebuilt, two_way_components  # noqa: E402
+from .experiments import block_adjusted, caliper_pairs, class_gradients, gradient_alignment, hamming_exists, hamming_links, interleaved, most_disorder, provenance_faults, rebuilt, two_way_components  # noqa: E402
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "np", "pd", "Column", "DataFrame", "Window", "F", "annotations")]

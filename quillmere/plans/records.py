@@ -10,6 +10,7 @@ from .. import operators as op
 from ..functions import tails
 from .inference import _t_sql
 from .registry import query, r
+from .relational import DAY
 from .statistics import _CELL, _cells
 
 # ---- records -------------------------------------------------------------------------------------
@@ -86,7 +87,7 @@ def q_forward_asof(table):
     e = table("events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("next_view"))
-    return op.as_of(left, right, "user_id", "ts", "next_view", forward=True).select("event_id", "next_view")
+    return op.as_of(left, right, "user_id", "ts", "next_view", forward=True, width=DAY).select("event_id", "next_view")
 
 
 _DHASH_SQL = """h AS (SELECT vec_id, label, vec_id % 2 AS side,

@@ -9,6 +9,9 @@ from .. import functions as fn
 from .. import operators as op
 from .registry import query, r
 
+#: Slices of the time axis that as-of joins sort apart: a day in microseconds.
+DAY = 86_400_000_000
+
 
 @query("q_first_n_per_group", "SELECT l_returnflag, l_orderkey, l_linenumber, CAST(n - 1 AS INT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 20")
 def q_first_n_per_group(table):
@@ -103,7 +106,7 @@ def q_asof_events(table):
     e = table("events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_view"))
-    return op.as_of(left, right, "user_id", "ts", "last_view").select("event_id", "last_view")
+    return op.as_of(left, right, "user_id", "ts", "last_view", width=DAY).select("event_id", "last_view")
 
 
 @query("q_interval_overlap", "WITH b AS (SELECT k, k * 7.0 AS lo, k * 7.0 + 7.0 AS hi FROM range(8) AS t(k)), s AS (SELECT p_partkey, p_size - 1.0 AS lo, p_size * 1.0 AS hi, p_retailprice AS v FROM part) SELECT k, round(sum(v * (least(b.hi, s.hi) - greatest(b.lo, s.lo))) / sum(least(b.hi, s.hi) - greatest(b.lo, s.lo)), 4) AS mean FROM b JOIN s ON b.lo < s.hi AND s.lo < b.hi GROUP BY k")
@@ -196,12 +199,15 @@ def q_key_intersection(table):
     return d.groupBy("o_orderpriority").agg(F.count("*").alias("n")).join(arms).where("n = arms").select("o_orderpriority")
 
 
-@query("q_tree_digest", "SELECT lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL GROUP BY lang")
+@query(
+    "q_tree_digest",
+    """
+    WITH p AS (SELECT lang, doc_id // 500 AS part, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+    SELECT lang, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM p GROUP BY lang""",
+)
 def q_tree_digest(table):
-    """An ordered content digest of each stratum (A36, A37). What is gathered is a digest a document."""
-    d = table("documents").where("text is not null").select("lang", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x"))
-    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"]))
-    return d.groupBy("lang").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    """An ordered content digest of each stratum, over the digests of ranges of ids."""
+    return op.tree_digest(table("documents"), "lang", "doc_id", "text", 500)
 
 
 @query("q_hierarchy_rollup", "SELECT r_name, n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")

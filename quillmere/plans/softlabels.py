@@ -9,7 +9,7 @@ from .. import functions as fn
 from .. import operators as op
 from ..functions import softlabels as sl
 from .geometry import _ENTROPY, _LOGITS, soft_labels
-from .registry import query, r
+from .registry import query, r, unit_vectors
 
 _PARENTS = [k % 2 for k in range(10)]
 #: A second model: the first one's probabilities, tilted by place and rescaled.
@@ -167,3 +167,27 @@ def q_confusable(table):
     both = F.explode(F.array(F.struct(F.col("label").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("label").alias("b"))))
     s = m.where("label <> b").select(both.alias("k"), "v").groupBy("k.a", "k.b").agg(F.round(F.sum("v") / 2, 9).alias("v"))
     return op.top_per_group(s.withColumnRenamed("a", "label"), 3, "label", F.desc("v"), F.col("b")).select("label", F.col("b").alias("neighbour"), "slot", F.round("v", 6).alias("mean"))
+
+
+@query(
+    "q_gradient_alignment",
+    f"""
+    WITH {_TWO}, t AS (SELECT two.vec_id, two.label, list_transform(range(1, 11), lambda k: p[k] - CASE WHEN k = two.label + 1 THEN 1 ELSE 0 END) AS d,
+      list_transform(p, lambda x: pow(x, 0.05)) AS a, list_transform(q, lambda x: pow(x, 0.05)) AS b, list_append(u.unit, CAST(1 AS DOUBLE)) AS h FROM two JOIN u ON u.vec_id = two.vec_id),
+    s AS (SELECT vec_id, label, d, h, list_transform(range(1, 11), lambda k: (a[k] / list_sum(a) - b[k] / list_sum(b)) / 20) AS e FROM t),
+    g AS (SELECT label, k, i, avg(d[k] * h[i]) AS v, count(*) AS n FROM s, range(1, 11) AS x(k), range(1, 66) AS y(i) GROUP BY label, k, i),
+    o AS (SELECT label, k, i, v, n, (sum(v) OVER (PARTITION BY k, i) - v) / (count(*) OVER (PARTITION BY k, i) - 1) AS w FROM g),
+    z AS (SELECT s.vec_id, s.label, any_value(n) AS n, sum(e[k] * v * h[i]) AS own, sum(e[k] * w * h[i]) AS other, any_value(list_dot_product(e, d) * list_dot_product(h, h)) AS itself
+          FROM s JOIN o ON o.label = s.label GROUP BY s.vec_id, s.label),
+    r AS (SELECT label, vec_id, round(0.5 * (n * own - itself) / (n - 1) + 0.5 * other, 9) AS score FROM z)
+    SELECT label, vec_id, round(score, 7) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM r) WHERE k = 1""",
+)
+def q_gradient_alignment(table):
+    """The row of each class whose soft target's gradient agrees best with its class, itself left out, and with the others."""
+    hard = F.transform("p", lambda x, k: x - F.when(k == F.col("label"), 1.0).otherwise(0.0))
+    cooled = lambda c: sl.rescaled(F.transform(c, lambda x: F.pow(x, F.lit(0.05))))
+    soft = F.zip_with(cooled("p"), cooled("q"), lambda x, y: (x - y) / 20)
+    d = two_models(table).select("vec_id", "label", hard.alias("delta"), soft.alias("soft")).join(unit_vectors(table).select("vec_id", F.array_append("unit", 1.0).alias("h")), "vec_id")
+    scored = op.gradient_alignment(d, "vec_id", "label", "delta", "soft", "h").withColumn("score", F.round("score", 9))
+    best = scored.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("b"))
+    return best.select("label", "b.vec_id", r(-F.col("b.s"), 7).alias("score"))

@@ -68,6 +68,27 @@ def test_forward_and_backward_as_of(spark):
     assert back == {1: "x", 2: "x", 3: "y", 4: None} and ahead == {1: "y", 2: "x", 3: None, 4: None}
 
 
+def test_as_of_in_slices(spark):
+    """Slices of any width give what one sort a key gives, null keys and null values among the rows."""
+    rng = random.Random(8)
+    left = spark.createDataFrame([(k, rng.choice(["a", "b", None]), rng.randrange(200)) for k in range(80)], "id int, k string, t int")
+    right = spark.createDataFrame([(k, t, rng.choice([None, f"{k}{t}"])) for k, t in {(rng.choice(["a", "b", None]), rng.randrange(200)) for _ in range(60)}], "k string, t int, v string")
+    for forward in (False, True):
+        whole = {r.id: r.v for r in op.as_of(left, right, "k", "t", "v", forward).collect()}
+        for width in (7, 50, 1000):
+            assert {r.id: r.v for r in op.as_of(left, right, "k", "t", "v", forward, width).collect()} == whole
+
+
+def test_tree_digest(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("a", k, f"text {k}") for k in (3, 1, 25, 12, 11)] + [("b", 7, "x"), ("b", 8, None)]
+    got = dict(tuple(r) for r in op.tree_digest(spark.createDataFrame(rows, "g string, k long, t string"), "g", "k", "t", 10).collect())
+    parts = [sha("\n".join(f"{k}:{sha(f'text {k}')}" for k in own)) for own in ((1, 3), (11, 12), (25,))]
+    assert got == {"a": sha("\n".join(parts)), "b": sha(sha(f"7:{sha('x')}"))}
+
+
 def test_both_ways_of_margins_agree(spark, monkeypatch):
     rng = random.Random(3)
     unit = spark.createDataFrame([(k, k % 4, [rng.gauss(0, 1) for _ in range(5)]) for k in range(40)], "vec_id long, label int, unit array<double>")
