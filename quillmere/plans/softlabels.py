@@ -172,15 +172,15 @@ def q_confusable(table):
 @query(
     "q_gradient_alignment",
     f"""
-    WITH {_TWO}, t AS (SELECT two.vec_id, two.label, list_transform(range(1, 11), lambda k: p[k] - CASE WHEN k = two.label + 1 THEN 1 ELSE 0 END) AS d,
+    WITH {_TWO}, t1 AS (SELECT two.vec_id, two.label, list_transform(range(1, 11), lambda k: p[k] - CASE WHEN k = two.label + 1 THEN 1 ELSE 0 END) AS d,
       list_transform(p, lambda x: pow(x, 0.05)) AS a, list_transform(q, lambda x: pow(x, 0.05)) AS b, list_append(u.unit, CAST(1 AS DOUBLE)) AS h FROM two JOIN u ON u.vec_id = two.vec_id),
-    s AS (SELECT vec_id, label, d, h, list_transform(range(1, 11), lambda k: (a[k] / list_sum(a) - b[k] / list_sum(b)) / 20) AS e FROM t),
-    g AS (SELECT label, k, i, avg(d[k] * h[i]) AS v, count(*) AS n FROM s, range(1, 11) AS x(k), range(1, 66) AS y(i) GROUP BY label, k, i),
-    o AS (SELECT label, k, i, v, n, (sum(v) OVER (PARTITION BY k, i) - v) / (count(*) OVER (PARTITION BY k, i) - 1) AS w FROM g),
-    z AS (SELECT s.vec_id, s.label, any_value(n) AS n, sum(e[k] * v * h[i]) AS own, sum(e[k] * w * h[i]) AS other, any_value(list_dot_product(e, d) * list_dot_product(h, h)) AS itself
-          FROM s JOIN o ON o.label = s.label GROUP BY s.vec_id, s.label),
-    r AS (SELECT label, vec_id, round(0.5 * (n * own - itself) / (n - 1) + 0.5 * other, 9) AS score FROM z)
-    SELECT label, vec_id, round(score, 7) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM r) WHERE k = 1""",
+    s1 AS (SELECT vec_id, label, d, h, list_transform(range(1, 11), lambda k: (a[k] / list_sum(a) - b[k] / list_sum(b)) / 20) AS e FROM t1),
+    g1 AS (SELECT label, k, i, avg(d[k] * h[i]) AS v, count(*) AS n FROM s1, range(1, 11) AS x(k), range(1, 66) AS y(i) GROUP BY label, k, i),
+    o1 AS (SELECT label, k, i, v, n, (sum(v) OVER (PARTITION BY k, i) - v) / (count(*) OVER (PARTITION BY k, i) - 1) AS w FROM g1),
+    z1 AS (SELECT s1.vec_id, s1.label, any_value(n) AS n, sum(e[k] * v * h[i]) AS own, sum(e[k] * w * h[i]) AS other, any_value(list_dot_product(e, d) * list_dot_product(h, h)) AS itself
+          FROM s1 JOIN o1 ON o1.label = s1.label GROUP BY s1.vec_id, s1.label),
+    r1 AS (SELECT label, vec_id, round(0.5 * (n * own - itself) / (n - 1) + 0.5 * other, 9) AS score FROM z1)
+    SELECT label, vec_id, round(score, 7) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM r1) WHERE k = 1""",
 )
 def q_gradient_alignment(table):
     """The row of each class whose soft target's gradient agrees best with its class, itself left out, and with the others."""
