@@ -32,6 +32,8 @@ COVER, PERIOD = (0, 1, 2, 5, 8), 16
 ROUNDS, TASK_BYTES, CHUNK_BYTES = 2, 32 << 20, 4 << 20
 #: Buckets of a round, at least, so that a common passage's bucket does not share its task with much else.
 LEAST_BUCKETS = 32
+#: Tasks of a round, at most: beyond, a task sorts several buckets, one after the other.
+MOST_TASKS = 20_000
 #: Pieces that a task remembers beyond a chunk: those that a chunk had more than once.
 HOT_PIECES = 50_000
 
@@ -253,7 +255,8 @@ def repeated_starts(docs: DataFrame, total_bytes: int, length: int = LENGTH, rou
         spark.conf.set(cleanup, "true")  # a round's shuffle files go when its marks are written
         for turn in range(rounds):
             pieces = rows.mapInArrow(cut(turn), _PIECES)
-            marks = pieces.groupBy("bucket").applyInArrow(sort, "doc_id long, key long, first int, many int")
+            # as many tasks as buckets, so that none grows with the input; buckets are sorted one at a time, whatever a task holds
+            marks = pieces.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(sort, "doc_id long, key long, first int, many int")
             parts.append(materialize(marks, f"suffix-marks-{turn}"))
     finally:
         spark.conf.set(cleanup, before)
