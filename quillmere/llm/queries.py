@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .conversations import op12_conversations
 from .decontaminate import op10_decontaminate
 from .embedding_dups import op7_embeddings
 from .langid import op2_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op12_conversations": op12_conversations,
 }
 
 #: Every pair by plain set arithmetic, so it also shows what banding finds of it. DuckDB holds all shared n-grams for this: for small tables.
@@ -71,7 +73,38 @@ def _secret_sql() -> str:
     FROM d LEFT JOIN g USING (rid)"""
 
 
+#: The same repair row by row: a recursion over the turns with the four cheapest ways as columns. CRC-32 bit by bit, since DuckDB has none.
+_CONVERSATION_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)),
+      lambda c, b: list_reduce(range(8), lambda x, n: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295), 4294967295) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS was, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS ended FROM o),
+j AS (SELECT *, blank OR again AS bad, CASE WHEN blank OR again OR ended THEN 0 ELSE 1 END AS late FROM f),
+-- of each state: cost, audit and the repaired lines; a way that is not there costs 1e9
+w(conv_id, i, s, y, u, a) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {'c': 0, 'p': '', 't': ''}, {'c': 1000000000, 'p': '', 't': ''}, {'c': 2, 'p': 'I', 't': chr(10) || 'user:'}, {'c': 4, 'p': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, s, y, v, list_min([b, {'c': v.c + 2, 'p': v.p || 'I', 't': v.t || chr(10) || 'assistant:'}]) FROM (
+    SELECT conv_id, i, s, y, b, list_min([v, {'c': s.c + 2, 'p': s.p || 'I', 't': s.t || chr(10) || 'user:'}, {'c': y.c + 2, 'p': y.p || 'I', 't': y.t || chr(10) || 'user:'}, {'c': b.c + 2, 'p': b.p || 'I', 't': b.t || chr(10) || 'user:'}]) AS v FROM (
+      SELECT w.conv_id, j.i AS i, {'c': s.c + 3, 'p': s.p || 'D', 't': s.t} AS s,
+        list_min([{'c': y.c + 3, 'p': y.p || 'D', 't': y.t}, {'c': CASE WHEN bad OR r <> 's' THEN 1000000000 ELSE s.c + late END, 'p': s.p || 'K', 't': s.t || chr(10) || role || ':' || text}]) AS y,
+        list_min([{'c': u.c + 3, 'p': u.p || 'D', 't': u.t}] || list_transform([s, y, a], lambda x: {'c': CASE WHEN bad THEN 1000000000 ELSE x.c + late + CASE WHEN r = 'u' THEN 0 ELSE 2 END END, 'p': x.p || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END, 't': x.t || chr(10) || CASE WHEN r = 'u' THEN role ELSE 'user' END || ':' || text})) AS v,
+        list_min([{'c': a.c + 3, 'p': a.p || 'D', 't': a.t}, {'c': CASE WHEN bad THEN 1000000000 ELSE u.c + late + CASE WHEN r = 'a' THEN 0 ELSE 2 END END, 'p': u.p || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END, 't': u.t || chr(10) || CASE WHEN r = 'a' THEN role ELSE 'assistant' END || ':' || text}]) AS b
+      FROM w JOIN j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1))),
+e AS (SELECT conv_id, list_min([s, a]) AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (late = 1) AS truncated,
+      count(*) FILTER (was IS NOT NULL AND was || r NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(best.c AS BIGINT) AS cost, best.p AS audit, sha256(best.t[2:]) AS repaired_sha256
+FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 ORACLE_SQL = {
+    "op12_conversations": _CONVERSATION_SQL,
     "op1_ngram_join": _NGRAM_SQL,
     "op7_embeddings": _VECTOR_SQL,
     "op5_secrets": _secret_sql(),
