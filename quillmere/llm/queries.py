@@ -9,6 +9,7 @@ from .embedding_dups import op7_embeddings
 from .langid import op2_language
 from .licenses import licence_sql, op6_licenses
 from .ngram_join import op1_ngram_join
+from .periodic_runs import op11_periodic_runs
 from .quality import op3_quality
 from .secrets import RULES, op5_secrets
 from .suffix_dedup import op8_suffix_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_conversations": op12_conversations,
 }
 
