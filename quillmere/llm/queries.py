@@ -10,6 +10,7 @@ from .langid import op2_language
 from .licenses import licence_sql, op6_licenses
 from .ngram_join import op1_ngram_join
 from .periodic_runs import op11_periodic_runs
+from .pii import op13_personal_data
 from .quality import op3_quality
 from .secrets import RULES, op5_secrets
 from .suffix_dedup import op8_suffix_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_conversations": op12_conversations,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: Every pair by plain set arithmetic, so it also shows what banding finds of it. DuckDB holds all shared n-grams for this: for small tables.
