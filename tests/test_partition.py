@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,17 +23,59 @@ def test_balance_of_equal_rows():
     assert sorted(np.bincount(part.balance(np.zeros((10, 4))))) == [2, 2, 3, 3]
 
 
-def test_balanced_assignment_in_parts(spark):
-    rng = np.random.default_rng(0)
-    rows = [(i, i % 2, [float(v) for v in rng.normal(size=3)]) for i in range(80)]
-    vectors = spark.createDataFrame([*rows, (99, None, [1.0, 0.0, 0.0])], "vec_id long, label int, unit array<double>")
-    centres = spark.createDataFrame([(l, c, [float(v) for v in rng.normal(size=3)]) for l in range(2) for c in range(3)], "label int, cluster int, centre array<double>")
-    for most, slack in ((1000, 1), (20, 3)):
-        sizes = part.balanced_assignment(vectors, centres, most).groupBy("label", "cluster").count().collect()
-        assert sum(s["count"] for s in sizes) == 80
-        for label in range(2):
-            assert np.ptp([s["count"] for s in sizes if s["label"] == label]) <= slack
-    assert part.balanced_assignment(vectors.where("vec_id < 0"), centres).count() == 0
+def drawn(spark, rng, sizes, k, copies=0):
+    """Vectors of labels with the given sizes, the last ``copies`` of each equal, and centres; a lopsided cloud, so that most like the same centre."""
+    rows, n = [], 0
+    for label, size in enumerate(sizes):
+        x = np.round(rng.normal(size=(size, 3)) + [1.0, 0.5, 0.0], 3)
+        x[size - copies :] = x[0]
+        rows += [(n + i, label, v) for i, v in enumerate(x.tolist())]
+        n += size
+    centres = [(label, c, rng.normal(size=3).round(3).tolist()) for label in range(len(sizes)) for c in range(k)]
+    vectors = spark.createDataFrame(pd.DataFrame(rows, columns=["vec_id", "label", "unit"]), "vec_id long, label int, unit array<double>")
+    return vectors, spark.createDataFrame(centres, "label int, cluster int, centre array<double>"), rows, centres
+
+
+@pytest.mark.parametrize(("sizes", "k", "copies", "held", "seed"), [([80, 41], 3, 0, 10**6, 0), ([80, 41], 3, 30, 10**6, 1), ([120, 7, 5], 4, 3, 40, 2), ([60], 5, 59, 30, 3), ([300], 2, 100, 4, 4)])
+def test_balanced_assignment_is_best(spark, monkeypatch, sizes, k, copies, held, seed):
+    monkeypatch.setattr(part, "HELD_KINDS", held)
+    vectors, centres, rows, given = drawn(spark, np.random.default_rng(seed), sizes, k, copies)
+    vectors = vectors.unionByName(spark.createDataFrame([(10_000, None, [1.0, 0.0, 0.0])], vectors.schema))
+    got = {r.vec_id: r.cluster for r in part.balanced_assignment(vectors, centres).collect()}
+    assert set(got) == {i for i, *_ in rows}
+    for label in range(len(sizes)):
+        x = np.array([v for _, l, v in rows if l == label])
+        sim = np.round(x @ np.array([c for l, _, c in given if l == label]).T, 9)
+        own = np.array([got[i] for i, l, _ in rows if l == label])
+        places = part.capacities(sim)
+        assert np.bincount(own, minlength=k).tolist() == places.tolist()
+        best = part.balance(sim, places)
+        at = np.arange(len(sim))
+        assert sim[at, own].sum() == pytest.approx(sim[at, best].sum(), abs=1e-9)
+
+
+def test_balanced_assignment_of_a_large_label(spark):
+    """50,000 vectors of one label, a third of them copies: sizes differ by one, and prices exist that no vector would leave its column for."""
+    vectors, centres, rows, given = drawn(spark, np.random.default_rng(7), [50_000], 4, 16_000)
+    got = part.balanced_assignment(vectors.repartition(8), centres).toPandas().set_index("vec_id")["cluster"]
+    own = got.loc[range(50_000)].to_numpy()
+    assert np.ptp(np.bincount(own, minlength=4)) <= 1
+    sim = np.round(np.array([v for _, _, v in rows]) @ np.array([c for _, _, c in given]).T, 9)
+    # no cycle of moves between columns gains: cheapest losses have no negative cycle
+    loss = np.array([[(sim[own == a, a] - sim[own == a, b]).min() if a != b else 0.0 for b in range(4)] for a in range(4)])
+    for m in range(4):
+        loss = np.minimum(loss, loss[:, m : m + 1] + loss[m : m + 1])
+    assert np.diag(loss).min() > -1e-8
+
+
+def test_numbered(spark):
+    from quillmere.tables import numbered
+
+    rng = np.random.default_rng(1)
+    rows = [(None if g == 3 else int(g), i) for i, g in enumerate(rng.choice(4, 400, p=[0.7, 0.1, 0.1, 0.1]))]
+    got = {(r.g, r.i): r.number for r in numbered(spark.createDataFrame(rows, "g int, i int").repartition(5), ["g"], ["i"]).collect()}
+    for g in (0, 1, 2, None):
+        assert [got[g, i] for h, i in rows if h == g] == list(range(sum(h == g for h, _ in rows)))
 
 
 def test_suppression(spark):
