@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from ..functions import tails
+from ..operators import embedding as em
 from ..operators import inference as inf
 from .geometry import _LOGITS, _SEED_SQL, soft_labels
 from .registry import UNIT_SQL, query, r, unit_vectors
@@ -234,3 +235,52 @@ def q_pooled_rank_corr(table):
 def q_kendall(table):
     """Kendall's tau over classes (M2)."""
     return inf.kendall(_nations(table), "k", "x", "y").select(r("tau").alias("tau"))
+
+
+@query("q_mixed_model_unequal")
+def q_mixed_model_unequal(table):
+    """Customers as random effects, order priorities as fixed ones, in groups of unequal size (M14); tested against a search with whole matrices."""
+    d = table("orders").select("o_custkey", "o_orderpriority", (F.col("o_totalprice") / 1000).alias("x"))
+    m = inf.mixed_model(d, "o_custkey", "x", "o_orderpriority")
+    return m.select(r("mean", 4).alias("mean"), r("se", 4).alias("se"), r("df", 1).alias("df"), r("var_between", 2).alias("var_between"), r("var_within", 2).alias("var_within"))
+
+
+_BISECT = """
+m(f, k, low, high) AS (SELECT fold, 0, CAST(-6 AS DOUBLE), CAST(6 AS DOUBLE) FROM (SELECT DISTINCT fold FROM o)
+  UNION ALL SELECT f, k + 1, CASE WHEN slope <= 0 THEN (low + high) / 2 ELSE low END, CASE WHEN slope <= 0 THEN high ELSE (low + high) / 2 END
+  FROM (SELECT f, k, low, high, sum(s[label + 1] - list_dot_product(s, list_transform(s, lambda v: exp(v))) / list_sum(list_transform(s, lambda v: exp(v)))) AS slope
+        FROM (SELECT f, k, low, high, label, list_transform(z, lambda v: v / exp((low + high) / 2)) AS s FROM m JOIN o ON o.fold <> m.f WHERE k < 45) GROUP BY ALL))"""
+
+
+@query(
+    "q_fitted_temperature",
+    f"""WITH RECURSIVE {_LOGITS}, o AS (SELECT vec_id, label, list_transform(p, lambda v: ln(v)) AS z, CAST((row_number() OVER (PARTITION BY label ORDER BY sha256('5' || chr(0) || CAST(vec_id AS VARCHAR))) - 1) % 5 AS INT) AS fold FROM f), {_BISECT},
+t AS (SELECT f, exp((low + high) / 2) AS t FROM m WHERE k = 45)
+SELECT CAST(f AS BIGINT) AS fold, round(t, 6) AS temperature, round(avg(ln(list_sum(list_transform(z, lambda v: exp(v / t)))) - z[label + 1] / t), 6) AS loss FROM t JOIN o ON o.fold = f GROUP BY f, t""",
+)
+def q_fitted_temperature(table):
+    """Each fold's temperature, minimised freely over the other folds."""
+    d = soft_labels(table).select("label", F.transform("p", lambda v: F.log(v)).alias("z"), op.hash_fold("label", 5, "vec_id", 5).alias("fold"))
+    return inf.fitted_temperature(d, "z", "label", "fold").select("fold", F.round("temperature", 6).alias("temperature"), F.round("loss", 6).alias("loss"))
+
+
+_APART = "round(sqrt(list_sum(list_transform(range(1, {n} + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))), 9)"
+
+
+@query(
+    "q_trustworthiness",
+    f"""WITH {UNIT_SQL}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, {_APART.format(n=64, a='a.unit', b='b.unit')} AS h, {_APART.format(n=2, a='a.unit', b='b.unit')} AS l FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+k AS (SELECT row_number() OVER (PARTITION BY i ORDER BY h, j) AS h, row_number() OVER (PARTITION BY i ORDER BY l, j) AS l FROM d), n AS (SELECT count(*) AS n FROM u)
+SELECT n, round(1 - 2 * (SELECT sum(greatest(h - 5, 0)) FROM k WHERE l <= 5) / (n * 5.0 * (2 * n - 16)), 6) AS trust FROM n""",
+)
+def q_trustworthiness(table):
+    """How well the first two dimensions picture the vectors (M27): exact ranks by counting nearer vectors."""
+    unit = unit_vectors(table).select("vec_id", F.col("unit").alias("x"), F.slice("unit", 1, 2).alias("y"))
+    return em.trustworthiness(unit, 5).select("n", F.round("trust", 6).alias("trust"))
+
+
+@query("q_principal_plane")
+def q_principal_plane(table):
+    """Scores on the first two components (M27); tested against a singular value decomposition."""
+    scores, _ = em.principal_components(unit_vectors(table).withColumnRenamed("unit", "x"), 2)
+    return scores.select("vec_id", *(r(F.col("scores")[k]).alias(f"pc{k + 1}") for k in range(2)))

@@ -101,3 +101,99 @@ def test_interpolate_ends(spark):
     d = spark.createDataFrame([(-1.0,), (0.0,), (5.0,), (10.0,), (99.0,)], "x double")
     got = [r["y"] for r in d.select(sl.interpolate(F.lit([0.0, 10.0]), F.lit([1.0, 3.0]), F.col("x")).alias("y")).collect()]
     assert got == pytest.approx([1.0, 1.0, 2.0, 3.0, 3.0])
+
+
+def plain_reml(groups, levels, y):
+    """Whole matrices: the likelihood searched by golden section over the ratio, Satterthwaite by differences of both variances."""
+    y, n, names = np.asarray(y), len(y), sorted(set(levels))
+    p = len(names)
+    code = np.hstack([np.ones((p, 1)), np.vstack([np.eye(p - 1), -np.ones((1, p - 1))])]) if p > 1 else np.ones((1, 1))
+    x = code[[names.index(v) for v in levels]]
+    same = np.equal.outer(groups, groups).astype(float)
+
+    def minus_two(between, within):
+        v = np.linalg.inv(within * np.eye(n) + between * same)
+        a = x.T @ v @ x
+        b = np.linalg.solve(a, x.T @ v @ y)
+        return -np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1] + (y - x @ b) @ v @ (y - x @ b), b, np.linalg.inv(a)[0, 0]
+
+    def profile(w):
+        v = np.linalg.inv(np.eye(n) + math.exp(w) * same)
+        a = x.T @ v @ x
+        b = np.linalg.solve(a, x.T @ v @ y)
+        s = (y - x @ b) @ v @ (y - x @ b) / (n - p)
+        return -np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1] + (n - p) * math.log(s), s
+
+    low, high = min(((w - 1, w + 1) for w in np.linspace(-10, 10, 41)), key=lambda b: profile(sum(b) / 2)[0])
+    for _ in range(120):
+        a, b = high - (high - low) * 0.618, low + (high - low) * 0.618
+        low, high = (low, b) if profile(a)[0] < profile(b)[0] else (a, high)
+    within = profile(low)[1]
+    at = np.array([math.exp(low) * within, within])
+    h = at * 1e-3
+    f = lambda i, j: minus_two(*(at + h * [i, j]))[0]
+    cross = (f(1, 1) - f(1, -1) - f(-1, 1) + f(-1, -1)) / (4 * h[0] * h[1])
+    hessian = np.array([[(f(1, 0) - 2 * f(0, 0) + f(-1, 0)) / h[0] ** 2, cross], [cross, (f(0, 1) - 2 * f(0, 0) + f(0, -1)) / h[1] ** 2]])
+    var = lambda i, j: minus_two(*(at + h * [i, j]))[2]
+    slope = np.array([(var(1, 0) - var(-1, 0)) / (2 * h[0]), (var(0, 1) - var(0, -1)) / (2 * h[1])])
+    _, b, v = minus_two(*at)
+    return b[0], math.sqrt(v), 2 * v**2 / (slope @ (2 * np.linalg.inv(hessian)) @ slope), at[0], at[1]
+
+
+@pytest.mark.parametrize(("fixed", "seed"), [(False, 0), (True, 1), (True, 2)])
+def test_mixed_model_of_unequal_groups(spark, fixed, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(g, f"s{j}", float(5_000 + e + 2.0 * j + rng.normal())) for g, e in enumerate(rng.normal(scale=2, size=9)) for j in range(3) for _ in range(rng.integers(0, 5) + (g == 0))]
+    df = spark.createDataFrame([*rows, (None, "s0", 1.0), (1, "s1", None)], "g int, s string, v double")
+    m = inf.mixed_model(df, "g", "v", "s" if fixed else None).first()
+    mean, se, degrees, between, within = plain_reml([r[0] for r in rows], [r[1] if fixed else "" for r in rows], [r[2] for r in rows])
+    assert m["mean"] == pytest.approx(mean, rel=1e-7) and m["se"] == pytest.approx(se, rel=1e-5) and m["df"] == pytest.approx(degrees, rel=2e-3)
+    assert m["var_between"] == pytest.approx(between, rel=1e-4) and m["var_within"] == pytest.approx(within, rel=1e-5)
+    assert m["p"] == pytest.approx(2 * (1 - _t_cdf(abs(m["t"]), m["df"])), abs=1e-3)
+
+
+def _t_cdf(t, df):
+    x = np.linspace(-400, t, 2_000_001)
+    y = (1 + x * x / df) ** (-(df + 1) / 2)
+    full = np.linspace(-400, 400, 4_000_001)
+    return np.trapezoid(y, x) / np.trapezoid((1 + full * full / df) ** (-(df + 1) / 2), full)
+
+
+def test_iterated_model_has_the_closed_form(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(e + rng.normal())) for g, e in enumerate(rng.normal(scale=3, size=6)) for _ in range(5)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    a, b = inf.mixed_model(df, "g", "v").first(), inf._reml(df, "g", "v", None).first()
+    for c in ("mean", "se", "t", "var_between", "var_within", "naive_t"):
+        assert a[c] == pytest.approx(b[c], rel=1e-5), c
+    assert b["df"] == pytest.approx(5, rel=1e-4) and a["p"] == pytest.approx(b["p"], rel=1e-3)
+
+
+def test_iterated_model_without_group_variance(spark):
+    rows = [(g, x) for g in range(4) for x in ([-1.0, 1.0, 0.5] if g else [-1.0, 1.0])]
+    m = inf.mixed_model(spark.createDataFrame(rows, "g int, v double"), "g", "v").first()
+    x = np.array([r[1] for r in rows])
+    assert m["var_between"] == 0 and m["df"] == len(x) - 1 and m["se"] == pytest.approx(x.std(ddof=1) / math.sqrt(len(x)))
+
+
+def test_fitted_temperature_is_the_least(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(300, 5)) * 4
+    target = [int(t) for t in np.where(rng.random(300) < 0.6, z.argmax(axis=1), rng.integers(0, 5, 300))]
+    rows = [(i % 4 * 10, t, [float(v) for v in row]) for i, (t, row) in enumerate(zip(target, z))]
+    got = inf.fitted_temperature(spark.createDataFrame(rows, "f int, t int, z array<double>"), "z", "t", "f").collect()
+    fold, target = np.array([r[0] for r in rows]), np.array(target)
+
+    def loss(x, some):
+        s = z[some] / math.exp(x)
+        top = s.max(axis=1)
+        return np.mean(np.log(np.exp(s - top[:, None]).sum(axis=1)) + top - s[np.arange(some.sum()), target[some]])
+
+    for r in got:
+        grid = np.linspace(-6, 6, 2_001)
+        for _ in range(3):
+            at = grid[np.argmin([loss(x, fold != r["fold"]) for x in grid])]
+            grid = np.linspace(at - (grid[1] - grid[0]), at + (grid[1] - grid[0]), 201)
+        assert math.log(r["temperature"]) == pytest.approx(at, abs=1e-6) and r["loss"] == pytest.approx(loss(at, fold == r["fold"]), abs=1e-6) and not r["at_bound"]
+    sure = spark.createDataFrame([(f, 0, [1.0, 0.0]) for f in (0, 1)], "f int, t int, z array<double>")
+    assert all(r["at_bound"] and r["temperature"] < 0.01 for r in inf.fitted_temperature(sure, "z", "t", "f").collect())
