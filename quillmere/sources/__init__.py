@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,11 +27,6 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("file", F.input_file_name())
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Strict: a bad line fails the read, blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
 def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)
 
@@ -135,23 +126,6 @@ def text_rows(lines: DataFrame, columns: list[str], numbers: int, text: str = "v
     return lines.where(F.trim(F.col(text)) != "").select(*(c.alias(n) for c, n in zip(typed, columns, strict=True)))
 
 
-def archive_entries(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """``archive, name, size_bytes, content`` of the files in zip archives; archives are read in tasks, one entry in memory at a time."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def entries(batches):
-        for batch in batches:
-            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for info in z.infolist():
-                        if info.is_dir() or suffixes and not info.filename.lower().endswith(suffixes):
-                            continue
-                        row = [pa.array([archive]), pa.array([info.filename]), pa.array([info.file_size], pa.int64()), pa.array([z.read(info)], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(row, names=["archive", "name", "size_bytes", "content"])
-
-    return files.mapInArrow(entries, "archive string, name string, size_bytes long, content binary")
-
-
 # ---- feature and soft-label stores ---------------------------------------------------------------
 
 
@@ -197,10 +171,15 @@ def batch_records(store: DataFrame, asked: DataFrame, per_epoch: int, batch_size
 
 
 def read_through(spark: SparkSession, path: str, make, schema: StructType | str) -> DataFrame:
-    """The table at ``path`` where it was written whole, else ``make()`` written there first."""
+    """The table at ``path`` where it was written whole, else ``make()`` written there first; a folder that was not written whole is set aside,
+    never deleted."""
+    from .files import set_aside
+
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        make().write.mode("overwrite").parquet(path)
+        rows = make()
+        set_aside(spark, path)
+        rows.write.mode("errorifexists").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere import sources as src
+from quillmere.sources import files
+from quillmere.sources import soft_labels as soft
 
 
 def rows(df, *columns):
@@ -42,9 +44,9 @@ def test_json_and_csv(spark, tmp_path):
     assert rows(docs.select(*src.run_keys(F.col("file"), r"nothing(\d)", ["arm"])), "arm") == [(None,), (None,)]
     (tmp_path / "good.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n{"a": oops\n')
-    assert rows(src.json_lines(spark, f"{tmp_path}/good.jsonl", "a int"), "a") == [(1,), (2,)]
-    with pytest.raises(Exception, match="MALFORMED|Malformed"):
-        src.json_lines(spark, f"{tmp_path}/bad.jsonl", "a int").collect()
+    assert rows(files.strict_json_lines(spark, f"{tmp_path}/good.jsonl", "a int"), "a", "line") == [(1, 1), (2, 3)]
+    with pytest.raises(Exception, match="bad.jsonl line 2"):
+        files.strict_json_lines(spark, f"{tmp_path}/bad.jsonl", "a int").collect()
     (tmp_path / "t.csv").write_text("name,gain\nx,1.5\ny,\n")
     assert rows(src.csv_rows(spark, f"{tmp_path}/t.csv", "name string, gain double"), "name", "gain") == [("x", 1.5), ("y", None)]
 
@@ -82,14 +84,117 @@ def test_text_rows(spark):
     assert sorted(tuple(r) for r in src.text_rows(lines, ["id", "a", "b", "rest"], 2).collect()) == [("7", 1.5, 2.0, "the rest of it"), ("8", 3.0, None, None), ("9", None, None, None)]
 
 
-def test_archives(spark, tmp_path):
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Two files cut into splits of a few lines; blank lines count, a bad line in the middle of one is named."""
+    for name, n in (("a", 4_000), ("b", 1_500)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join("" if k % 7 == 0 else json.dumps({"v": k, "pad": "x" * (k % 50)}) for k in range(1, n + 1)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = files.strict_json_lines(spark, str(tmp_path), "v long")
+        assert df.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = [(r.file.rsplit("/", 1)[1], r.line, r.v) for r in df.collect()]
+        assert sorted(got) == sorted((f"{name}.jsonl", k, k) for name, n in (("a", 4_000), ("b", 1_500)) for k in range(1, n + 1) if k % 7)
+        with (tmp_path / "b.jsonl").open("a") as f:
+            f.write('\n[1, 2]\n{"v": 1}')
+        with pytest.raises(Exception, match="b.jsonl line 1501"):
+            files.strict_json_lines(spark, str(tmp_path), "v long").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_archives_by_member(spark, tmp_path):
+    """One archive lies behind more than 2 GB (a hole, so that it takes no room) and is read by several tasks."""
+    with (tmp_path / "one.zip").open("wb") as f:
+        f.truncate((2 << 30) + 4096)
     for name in ("one", "two"):
-        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
-            z.writestr(f"{name}/a.jpg", b"abc")
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "a", zipfile.ZIP_DEFLATED) as z:
+            for k in range(12):
+                z.writestr(f"{name}/{k}.JPG", bytes([k]) * 5_000)
             z.writestr("readme.txt", "text")
-    found = src.archive_entries(spark, str(tmp_path), (".jpg",))
-    assert rows(found, "name", "size_bytes", "content") == [("one/a.jpg", 3, b"abc"), ("two/a.jpg", 3, b"abc")]
-    assert src.archive_entries(spark, str(tmp_path)).count() == 4
+    assert (tmp_path / "one.zip").stat().st_size > 2 << 30
+    found = files.archive_contents(spark, str(tmp_path), (".jpg",), bytes_a_task=100)
+    assert found.rdd.getNumPartitions() > 4
+    assert rows(found, "name", "size_bytes", "content") == sorted((f"{name}/{k}.JPG", 5_000, bytes([k]) * 5_000) for name in ("one", "two") for k in range(12))
+    assert found.select("archive", F.spark_partition_id().alias("p")).where("archive like '%one.zip'").distinct().count() > 3
+    assert files.archive_members(spark, str(tmp_path)).count() == 26
+
+
+def store_rows(spark, epochs=3, sizes=(8, 8, 5), add=0):
+    return spark.createDataFrame([(e, b, k, e * 100 + b * 10 + k + add, [0.25, 0.75]) for e in range(epochs) for b, n in enumerate(sizes) for k in range(n)], "epoch int, batch int, place int, image long, p array<double>")
+
+
+def test_soft_label_store(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    df = store_rows(spark)
+    soft.write_soft_labels(df, path)
+    back = soft.read_soft_labels(spark, path, batchesPerTask="2")
+    assert back.columns == df.columns and rows(back, *df.columns) == rows(df, *df.columns)
+    assert tuple(src.store_info(back).first()) == (3, True, 3, 8, 21)
+    # a lookup opens its own batch and no other: the others are spoilt
+    kept = json.loads((tmp_path / "store/epoch=1/_batches.json").read_text())["2"][0]
+    for f in (tmp_path / "store").glob("epoch=*/*.arrow"):
+        if not (f.parent.name == "epoch=1" and f.name == kept):
+            f.write_bytes(b"spoilt")
+    assert rows(soft.soft_label_batch(spark, path, 1, 16), "place", "image") == [(k, 120 + k) for k in range(5)]
+    assert soft.read_soft_labels(spark, path).where("epoch in (1) and batch >= 2 and image > 122").count() == 2
+    assert soft.soft_label_batch(spark, path, 1, 3).count() == 0 and soft.soft_label_batch(spark, path, 9, 0).count() == 0
+    with pytest.raises(Exception):
+        soft.read_soft_labels(spark, path).count()
+
+
+def test_soft_label_writes_are_whole_or_nothing(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    soft.write_soft_labels(store_rows(spark, 1), path)
+    before = {f: f.read_bytes() for f in (tmp_path / "store").rglob("*") if f.is_file()}
+    dies = store_rows(spark, 3).where("epoch > 0").withColumn("image", F.when(F.col("image") == 214, F.raise_error(F.lit("dies")).cast("long")).otherwise(F.col("image")))
+    with pytest.raises(Exception, match="dies"):
+        soft.write_soft_labels(dies, path)
+    with pytest.raises(Exception, match="already in the store"):
+        soft.write_soft_labels(store_rows(spark, 2), path)
+    assert {f: f.read_bytes() for f in (tmp_path / "store").rglob("*") if f.is_file()} == before
+    soft.register(spark)
+    split = store_rows(spark, 2).where("epoch = 1").repartition(3, "place")
+    with pytest.raises(Exception, match="two tasks"):
+        split.write.format("soft_labels").mode("append").save(path)
+    assert not [f for f in (tmp_path / "store").iterdir() if f.name.startswith("_writing")]
+    soft.write_soft_labels(store_rows(spark, 3).where("epoch > 0"), path)
+    assert soft.read_soft_labels(spark, path).count() == 63
+    soft.write_soft_labels(store_rows(spark, 1, (4,), 7), path, overwrite=True)
+    assert rows(soft.read_soft_labels(spark, path), "epoch", "image") == [(0, 7 + k) for k in range(4)]
+
+
+@pytest.mark.parametrize("how", ["copy", "hardlink", "symlink"])
+def test_selections_are_written(spark, tmp_path, how):
+    (tmp_path / "in").mkdir()
+    for k in range(6):
+        (tmp_path / f"in/{k}.jpg").write_text(f"image {k}")
+    chosen = [(f"{tmp_path}/in/{k}.jpg", f"class_{k % 2}/{k}.jpg") for k in range(4)]
+    out = tmp_path / "out"
+    write = lambda pairs: rows(files.write_selection(spark.createDataFrame(pairs, "source string, target string"), str(out), how), "target", "state")
+    tree = lambda: {str(f.relative_to(out)): f.read_text() for f in out.rglob("*") if f.is_file()}
+    assert write(chosen) == sorted((t, "new") for _, t in chosen)
+    want = {t: f"image {k}" for k, (_, t) in enumerate(chosen)}
+    assert tree() == want
+    first = out / chosen[0][1]
+    assert first.is_symlink() == (how == "symlink") and (first.stat().st_nlink > 1) == (how == "hardlink")
+    assert write(chosen) == sorted((t, "same") for _, t in chosen)  # again: nothing to do
+    (out / chosen[1][1]).unlink()  # one is lost: only it is written
+    assert dict(write(chosen))[chosen[1][1]] == "new" and tree() == want
+    files._place(chosen[0][0], str(first), how)  # a task that runs twice
+    assert tree() == want
+    for pairs, fault in (
+        ([*chosen, (chosen[0][0], chosen[1][1])], "two sources"),
+        (chosen[1:], "not selected"),
+        ([*chosen, (f"{tmp_path}/in/none.jpg", "class_0/9.jpg")], "no source"),
+        ([*chosen, (f"{tmp_path}/in/5.jpg", "../5.jpg")], "outside"),
+        ([*chosen[1:], (f"{tmp_path}/in/5.jpg", chosen[0][1])], "other"),
+    ):
+        with pytest.raises(ValueError, match=fault):
+            write([*pairs, (f"{tmp_path}/in/4.jpg", "class_0/4.jpg")])
+        assert tree() == want and not (tmp_path / "5.jpg").exists()
 
 
 def test_feature_chunks(spark):
@@ -123,6 +228,13 @@ def test_written_once_and_read_through(spark, tmp_path):
     for _ in range(2):
         assert rows(src.read_through(spark, f"{tmp_path}/cache", make, df.schema), "k", "v") == [(1, "a"), (2, "b")]
     assert len(made) == 1
+    # a folder that was not written whole is set aside, with what is in it
+    for n in range(2):
+        (tmp_path / "cache/_SUCCESS").unlink()
+        (tmp_path / "cache/mine.txt").write_text(f"keep {n}")
+        assert src.read_through(spark, f"{tmp_path}/cache", make, df.schema).count() == 2
+        assert (tmp_path / f"cache.invalid-{n}/mine.txt").read_text() == f"keep {n}" and not (tmp_path / "cache/mine.txt").exists()
+    assert files.set_aside(spark, f"{tmp_path}/none") is None
 
 
 def test_target_plan(spark):
