@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_ids, bounded_rows, read_table, text_chunks
+from .shared import bounded_ids, bounded_rows, materialize, read_table, text_chunks
 
 #: Labelled documents to learn from, at most, and lines of them that the fit uses: documents of more than a tenth of these
 #: lines are not learned from, and where the rest has more lines, fewer documents are. Scoring always reads every line.
@@ -251,5 +251,5 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").where("quality is not null").where(~held_out()).select("doc_id", "quality")
     # bounded before texts are looked up, so that none is shuffled
     taught = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(bounded_ids(labels, MAX_TRAIN_DOCS)), "doc_id")
-    found = quality_score(docs, train(taught))
+    found = quality_score(docs, train(materialize(taught, "quality-taught")))  # written once, as several passes read it
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")

@@ -57,7 +57,7 @@ def test_learns_and_keeps_rows(spark):
     ask = [(k, t, "x") for k, (t, _) in enumerate(rows)] + [(1000, None, None), (1001, "", "x"), (1002, "\n \n", "x"), (0, rows[0][0], "x"), (1003, rows[1][0] * 2000, "x")]
     got = quality_score(spark.createDataFrame(ask, "doc_id long, text string, score string"), trained).collect()
     assert len(got) == len(ask)
-    assert all(r.score == 0 and r.predicted == 0 for r in got if r.doc_id in (1000, 1001, 1002))
+    assert all(r.score == 1 / 2 and r.predicted == 1 for r in got if r.doc_id in (1000, 1001, 1002))  # as the one blank text labelled says
     assert all(r.predicted == rows[r.doc_id][1] for r in got if r.doc_id < 400)
     assert next(r for r in got if r.doc_id == 1003).predicted == 1
 
