@@ -249,13 +249,15 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     Of rows that repeat with id and text one stays, whatever their other columns; rows without words all stay."""
     found = ngram_join(docs, **how)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key())
-    left = keyed.join(gone, (F.col("_row_key") == F.col("g_key")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    # every column travels under another name, so that none clashes with those made here
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    keyed = docs.select(*(docs[c].alias(n) for c, n in own.items()), docs["doc_id"].alias("row_id")).withColumn("row_key", row_key(own["text"]))
+    left = keyed.join(gone, (F.col("row_key") == F.col("g_key")) & F.col("row_id").eqNullSafe(F.col("g_id")), "left_anti")
     repeated = found.where("kept and copies > 1").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"))
     if repeated.limit(1).count():
-        same = (F.col("_row_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_row_key"]))
-    return left.select(*docs.columns)
+        same = (F.col("row_key") == F.col("r_key")) & F.col("row_id").eqNullSafe(F.col("r_id"))
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["row_id", "row_key"]))
+    return left.select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -134,3 +134,14 @@ def test_recall_by_similarity():
         promised = 1 - (1 - similarity**size) ** bands
         assert abs(hits / 400 - promised) < 0.08, (similarity, hits / 400, promised)
         assert similarity < 0.8 or hits / 400 > 0.99
+
+
+def test_columns_of_any_name_travel(spark):
+    names = ["_row_key", "row_key", "row_id", "g_id", "g_key", "r_id", "r_key", "key", "own_0", "kept", "set_id", "class_id"]
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, t, *(100 * k + i for i in range(len(names)))) for k, t in enumerate([words, words, words + " end", "another text of six words here", None])]
+    rows += [rows[0], rows[3], rows[4]]  # repeated rows too
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    kept = keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[0], rows[3], rows[4], rows[4]])
