@@ -43,7 +43,7 @@ STRETCHES = range(3, 41)
 
 _EDGE = ".,;:?\"'`´’“”()[]{}<>«»¿¡…–—"
 _RUN_AT_END = re.compile(r"([!$*%&#@|+~^=_-])\1+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[\s.\-_*]{1,4}(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[\s.\-_*]+(?:[^\W_]|[@$!|+])){2,}(?![^\s.,;:!?])")
 _BETWEEN = re.compile(r"[\s.\-_*]+")
 _LONG_RUN = re.compile(r"([^\W\d_])\1\1")
 _HAS_SIGN = re.compile("[" + re.escape("".join(SIGNS)) + r"._*\-]")
@@ -196,8 +196,7 @@ class Deobfuscator:
 
     def restore_text(self, text: str) -> str:
         """The whole restored text (white space becomes one space)."""
-        pieces = lambda run: (run[k : k + 400] for k in range(0, len(run), 400))
-        low = _SPACED.sub(lambda m: "".join(self.model.restore(p)[0] for p in pieces(" ".join(_BETWEEN.sub("", m.group())))), text.lower())
+        low = _SPACED.sub(lambda m: self.model.restore(" ".join(_BETWEEN.sub("", m.group())))[0], text.lower())
         return " ".join((self._token(t) or ("",))[-1] for t in low.split())
 
 

@@ -101,4 +101,8 @@ def test_spaced_by_more_than_one_sign(trained):
     for text in ("you i  d  i  o  t there", "i . d . i . o . t", "i -- d -- i -- o -- t", "i\nd\ni\no\nt", "1  d  1  0  t"):
         assert "idiot" in reader.words(text), text
     assert "idiot" in reader.restore_text("you i  d  i  o  t there")
+    for n in (5, 10, 50, 1_000):
+        for sign in " .-_\n":
+            assert "idiot" in reader.words("you " + (sign * n).join("idiot") + " there"), (n, sign)
+    assert "i" * 5_000 not in reader.restore_text("x " * 3_000) and "idiot" in reader.restore_text("garden " + " ".join("idiot" * 300))
     assert not reader.words("a - b river") & {"idiot", "ab"}
