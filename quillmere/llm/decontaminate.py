@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import read_table, text_chunks
+from .shared import materialize, read_table, text_chunks
 
 #: Edits allowed, as a share of an item's words (rounded down).
 MAX_EDIT = 0.2
-#: Benchmark text that one pass over the documents compares with, at most; a larger benchmark takes several passes.
-PASS_BYTES = 8 << 20
+#: Benchmark text that one pass over the documents compares with, at most; a larger benchmark takes several passes. The tables of a pass
+#: travel with its tasks and take up to some 46 times its text.
+PASS_BYTES = 1 << 20
 CACHE_ENTRIES = 300_000
 #: Words of a piece, about; walks, keys of each walk, and coordinates of a key. At one edit in a piece of 8 words a key meets with a chance
 #: of 0.2 or more, so that 96 keys all miss with a chance below 1e-6; tests hold the recall by length and kind of edit.
@@ -280,7 +281,7 @@ class Finder:
 
 
 def slices(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Finder]:
-    """The benchmark (``item_id``, ``text``) in slices of bounded size. Null ids or texts are left out; the size is asked of Spark
+    """The benchmark (``item_id``, ``text``) in slices of bounded size, made one at a time. Null ids or texts are left out; the size is asked of Spark
     first, so what is collected at once is bounded for any benchmark (but for a single longer item)."""
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -294,11 +295,15 @@ def slices(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Finde
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``(doc_id, item_id, edits, item_words, first_word)``: each item that a text holds within ``MAX_EDIT`` of its words, once a text.
 
-    Null and empty texts hold nothing; repeated rows are reported each; rows with a null id under a null. No shuffle.
+    Null and empty texts hold nothing; repeated rows are reported each; rows with a null id under a null. No shuffle. The matches of a
+    pass are written before the next, so that one pass's tables are held at a time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
+    out, waiting = None, None
     for finder in slices(benchmark, pass_bytes):
+        if waiting is not None:
+            waiting = materialize(waiting, "benchmark-matches")
+            out = waiting if out is None else out.unionByName(waiting)
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches, 8 << 20):
@@ -313,14 +318,15 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = P
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "edits", "item_words", "first_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, item_words int, first_word int")
-        out = part if out is None else out.unionByName(part)
-    return out
+        waiting = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, item_words int, first_word int")
+    return waiting if out is None else out.unionByName(waiting)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns as they were. No shuffle."""
+    """``docs`` without the documents that hold an item; all columns as they were. No shuffle. What a pass leaves is written before the next."""
+    first = True
     for finder in slices(benchmark, pass_bytes):
+        docs, first = docs if first else materialize(docs, "benchmark-free"), False
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
             for batch in text_chunks(batches, 8 << 20):

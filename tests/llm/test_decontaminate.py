@@ -139,3 +139,27 @@ def test_equal_items_and_ties(spark):
     got = benchmark_matches(docs, bench).collect()
     assert sorted(r.item_id for r in got) == list(range(40)) and {(r.doc_id, r.edits, r.first_word) for r in got} == {(1, 0, 2)}
     assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [2]
+
+
+def test_a_pass_is_bounded_for_a_large_benchmark(spark):
+    """8 MB of benchmark: the tables of one pass stay below 50 MB, and the passes hold all of it."""
+    import pickle
+
+    from quillmere.llm.decontaminate import PASS_BYTES, slices
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
+    items = [(k, " ".join(rng.choices(words, k=60))) for k in range(20_000)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(len(t) for _, t in items) > 8_000_000
+    finder = next(slices(benchmark))
+    assert len(pickle.dumps(finder)) < 50_000_000 and 1_000 < len(finder.items) < 20_000 * PASS_BYTES / 8_000_000
+
+
+def test_passes_are_written_one_after_another(spark):
+    items = [(k, " ".join(f"q{k}w{j}" for j in range(12))) for k in range(40)]
+    docs = spark.createDataFrame([(k, f"before {items[k][1]} after") for k in range(0, 40, 3)] + [(100, "nothing of it here at all")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in benchmark_matches(docs, benchmark, pass_bytes=600).collect())
+    assert got == [(k, k) for k in range(0, 40, 3)]
+    assert [r.doc_id for r in decontaminate(docs, benchmark, pass_bytes=600).collect()] == [100]
