@@ -57,9 +57,10 @@ TEMPLATES = {
 }
 #: Least cosine of a notice that names a licence.
 THRESHOLD = 0.5
-#: A unit has at most so many terms. It belongs to a notice with at least two different pairs of the templates, if they are at least
-#: this share of its pairs; units of a run are at most ``GAP`` apart.
-UNIT, LEAST_PAIRS, LEAST_SHARE, GAP = 32, 2, 0.25, 2
+#: A line or sentence of more than ``UNIT`` terms is taken by its stretches: template pairs at most ``REACH`` terms apart. A unit belongs to a
+#: notice with at least two different pairs of the templates, if they are at least this share of its pairs; units of a run are at most
+#: ``GAP`` apart.
+UNIT, REACH, LEAST_PAIRS, LEAST_SHARE, GAP = 32, 4, 2, 0.25, 2
 _SPLIT, _UNITS = "[^a-z0-9]+", r"\n|[.;!?]\s"
 
 
@@ -91,11 +92,25 @@ def _pairs(terms: Column) -> Column:
     return _let(terms, joined)
 
 
-def units_of(text: Column) -> Column:
-    """The units of a text, each an array of terms: its lines and their sentences, longer ones in pieces of ``UNIT`` terms."""
+def units_of(text: Column, known: Column) -> Column:
+    """The units of a text, each an array of terms: its lines and their sentences. Of a longer one than ``UNIT`` terms each stretch is a unit, from
+    its first pair of ``known`` to its last, wherever it lies; one without any is an empty unit."""
+    empty = F.array(F.array().cast("array<string>"))
+
+    def stretches(terms: Column, pairs: Column, own: Column) -> Column:
+        places = F.filter(F.transform(pairs, lambda p, k: F.when(F.array_contains(own, p), k)), lambda k: k.isNotNull())
+
+        def between(at: Column) -> Column:
+            apart = lambda a, b: F.coalesce(F.get(at, b) - F.get(at, a) > REACH, F.lit(True))
+            first = F.filter(at, lambda x, n: apart(n - 1, n))
+            last = F.filter(at, lambda x, n: apart(n, n + 1))
+            return F.zip_with(first, last, lambda a, b: F.slice(terms, a + 1, b - a + 2))
+
+        return _let(places, between)
 
     def cut(terms: Column) -> Column:
-        return F.when(F.size(terms) <= UNIT, F.array(terms)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(terms) - 1) / UNIT).cast("int")), lambda k: F.slice(terms, k * UNIT + 1, F.lit(UNIT))))
+        long = _let(_pairs(terms), lambda pairs: _let(F.array_intersect(pairs, known), lambda own: F.when(F.size(own) > 0, stretches(terms, pairs, own)).otherwise(empty)))
+        return F.when(F.size(terms) <= UNIT, F.array(terms)).otherwise(long)
 
     return F.flatten(F.transform(F.split(text, _UNITS, -1), lambda line: _let(_terms(line), cut)))
 
@@ -106,7 +121,7 @@ def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES)
     known = F.array(*map(F.lit, template_pairs(templates)))
     shared = lambda terms: F.size(F.array_intersect(_pairs(terms), known))
     some = files.where(shared(_terms(F.col("text"))) >= LEAST_PAIRS)  # one look at the whole text spares most texts the rest
-    units = some.select("path", "key", F.posexplode_outer(units_of(F.col("text"))).alias("unit", "terms"))
+    units = some.select("path", "key", F.posexplode_outer(units_of(F.col("text"), known)).alias("unit", "terms"))
     told = units.where(shared(F.col("terms")) >= F.greatest(F.lit(LEAST_PAIRS), LEAST_SHARE * (F.size("terms") - 1))).dropDuplicates(["path", "key", "unit"])
     order = Window.partitionBy("path", "key").orderBy("unit")
     starts = (F.col("unit") - F.lag("unit").over(order) > GAP).cast("int")
@@ -206,7 +221,11 @@ def licence_sql(threshold: float = THRESHOLD) -> str:
                       concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'), lpad(CAST(doc_id AS VARCHAR), 20, '0')) AS path, coalesce(text, '') AS text FROM documents),
     l AS (SELECT rid, unnest(regexp_split_to_array(text, '{_UNITS}')) AS line, generate_subscripts(regexp_split_to_array(text, '{_UNITS}'), 1) AS i FROM d),
     t AS (SELECT rid, i, {terms('line')} AS ts FROM l),
-    u AS (SELECT rid, i, k, ts[k * {UNIT} + 1 : k * {UNIT} + {UNIT}] AS ts FROM (SELECT rid, i, ts, unnest(range(greatest(1, CAST(ceil(len(ts) / {UNIT}.0) AS BIGINT)))) AS k FROM t)),
+    h AS (SELECT rid, i, ts, j FROM (SELECT rid, i, ts, unnest(range(1, len(ts))) AS j FROM t WHERE len(ts) > {UNIT}) WHERE ts[j] || ' ' || ts[j + 1] IN ({pairs})),
+    g AS (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY rid, i ORDER BY j) > {REACH} THEN 1 ELSE 0 END AS apart FROM h),
+    e AS (SELECT *, sum(apart) OVER (PARTITION BY rid, i ORDER BY j ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    u AS (SELECT rid, i, 0 AS k, CASE WHEN len(ts) <= {UNIT} THEN ts ELSE [] END AS ts FROM t WHERE len(ts) <= {UNIT} OR (rid, i) NOT IN (SELECT (rid, i) FROM h)
+          UNION ALL SELECT rid, i, k, any_value(ts)[min(j) : max(j) + 1] FROM e GROUP BY rid, i, k),
     n AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY i, k) AS unit, ts, list_transform(range(1, len(ts)), lambda j: ts[j] || ' ' || ts[j + 1]) AS ps FROM u),
     c AS (SELECT rid, unit, ts FROM n WHERE len(ts) > 1 AND len(list_intersect(list_distinct(ps), [{pairs}])) >= greatest({LEAST_PAIRS}, {LEAST_SHARE} * (len(ts) - 1))),
     s AS (SELECT *, CASE WHEN unit - lag(unit) OVER (PARTITION BY rid ORDER BY unit) > {GAP} THEN 1 ELSE 0 END AS starts FROM c),

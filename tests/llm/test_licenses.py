@@ -74,3 +74,14 @@ def test_a_licence_in_most_files(spark):
     rows = [(k, f"s{k}/x", f"prose {k} words\nLicensed under CC BY-NC 4.0.\nmore", "") for k in range(60)] + [(100, "t/y", "Licensed under CC BY 4.0.", "")]
     got = {r.doc_id: r.licence for r in licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[k] == "CC-BY-NC-4.0" for k in range(60)) and got[100] == "CC-BY-4.0"
+
+
+def test_notices_inside_long_lines(spark):
+    words = " ".join(f"word{k}" for k in range(100))
+    texts = {
+        1: f"{words} Released under the MIT License {words}", 2: f"{words}. Released under the MIT License {words}", 3: f"Released under the MIT License {words} and {words}",
+        4: f"{words} and then the Software is of the people {words}", 5: f"{words} Licensed under the Apache License Version 2.0 {words} " * 3, 6: words * 3,
+    }
+    rows = [(k, f"d{k}/x", t, "") for k, t in texts.items()]
+    got = {r.doc_id: r.licence for r in licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: "Apache-2.0", 6: None}
