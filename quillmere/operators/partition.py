@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -326,6 +327,64 @@ def match_partners(rows: DataFrame, batch: str, identity: str, group: str, neigh
     return keyed.groupBy("b").applyInPandas(match, "batch long, id long, partner long, guided boolean")
 
 
+def _stable(items, key: str) -> list:
+    """The items in the order of the SHA-256 of the key, a zero byte and the item."""
+    return sorted(items, key=lambda x: (hashlib.sha256(f"{key}\0{x}".encode()).hexdigest(), x))
+
+
+def guided_batch(ids: list[int], groups: list[int], donors: list[int], neighbours: dict[int, list[int]], key: str) -> tuple[list[int], list[bool]]:
+    """A new permutation of one batch, and which rows were to be guided. ``donors`` is the one before, by id. Half of the rows (the smaller half), drawn in
+    hash order, look for a donor of a neighbouring group; the others keep theirs, and only donors that none of them keeps are free. Receivers
+    with the fewest free donors to choose from go first and may push others on (augmenting paths), so as many as can be are
+    served; who is left over takes what is left over, both in hash order."""
+    guided = set(_stable(ids, f"{key}\0guided")[: len(ids) // 2])
+    group, donor = dict(zip(ids, groups)), dict(zip(ids, donors))
+    free = set(ids) - {donor[r] for r in ids if r not in guided}
+    able = {r: _stable([d for d in free if group[d] in neighbours.get(group[r], ())], f"{key}\0{r}") for r in guided}
+    served: dict[int, int] = {}  # donor to receiver
+    for start in sorted(_stable(guided, f"{key}\0order"), key=lambda r: len(able[r])):
+        seen, path = set(), [(start, iter(able[start]))]
+        came: list[int] = []  # the donor that each step of the path asks for
+        while path:
+            step = next((d for d in path[-1][1] if d not in seen), None)
+            if step is None:
+                path.pop()
+                if came:
+                    came.pop()
+                continue
+            seen.add(step)
+            came.append(step)
+            if step not in served:
+                served.update({d: r for d, (r, _) in zip(came, path)})
+                break
+            path.append((served[step], iter(able[served[step]])))
+    for r in guided:
+        donor[r] = None
+    for d, r in served.items():
+        donor[r] = d
+    left = zip(_stable([r for r in guided if donor[r] is None], f"{key}\0receivers"), _stable(free - set(served), f"{key}\0donors"))
+    donor.update(dict(left))
+    return [donor[r] for r in ids], [r in guided for r in ids]
+
+
+def guided_partners(rows: DataFrame, batch: str, identity: str, group: str, partner: str, neighbours: dict[int, list[int]], key: str = "") -> DataFrame:
+    """``batch, id, partner, guided, hit``: ``guided_batch`` of every batch of a pairing that is there already (``partner``: the donor of each row, a
+    permutation within the batch, else ``ValueError``). ``hit``: the new donor's group is a neighbour. A batch is bounded by its maker."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, groups, donors = (pdf[c].astype(int).tolist() for c in ("id", "g", "p"))
+        name = int(pdf["b"].iloc[0])
+        if len(set(ids)) != len(ids) or sorted(donors) != ids:
+            raise ValueError(f"batch {name} is no permutation")
+        new, guided = guided_batch(ids, groups, donors, neighbours, f"{key}\0{name}")
+        of = dict(zip(ids, groups))
+        return pd.DataFrame({"batch": name, "id": ids, "partner": new, "guided": guided, "hit": [of[d] in neighbours.get(g, ()) for d, g in zip(new, groups)]})
+
+    keyed = rows.select(F.col(batch).cast("long").alias("b"), F.col(identity).cast("long").alias("id"), F.col(group).cast("int").alias("g"), F.col(partner).cast("long").alias("p"))
+    return keyed.groupBy("b").applyInPandas(match, "batch long, id long, partner long, guided boolean, hit boolean")
+
+
 def balanced_clusters(vectors: DataFrame, k: int, seed: int = 0, most: int = 20_000, rounds: int = 3) -> DataFrame:
     """``k`` clusters a label of equal size, give or take one: k-means centres, then ``rounds`` of balanced assignment, each from the centres that
     the one before has left. The driver holds the centres between rounds."""

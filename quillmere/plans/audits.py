@@ -155,12 +155,18 @@ def q_even_sample(table):
     return table("embeddings").withColumn("place", n).where(F.array_contains(at, F.col("place"))).select("label", "place", "vec_id")
 
 
-@query("q_learning_rates", "SELECT CAST(i AS INT) AS step, round(1e-5 + 0.5 * (0.01 - 1e-5) * (1 + cos(pi() * i / 2000)), 9) AS cosine, CASE WHEN i <= 1333 THEN 1e-2 WHEN i <= 1666 THEN 2e-3 ELSE 4e-4 END AS stepped FROM range(2001) AS t(i)")
+@query(
+    "q_learning_rates",
+    """WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT event_id, round(1e-5 + 0.5 * (0.01 - 1e-5) * (1 + cos(pi() * i / n)), 9) AS cosine, CASE WHEN i * 3 < n * 2 THEN 1e-2 WHEN i * 6 < n * 5 THEN 2e-3 ELSE 4e-4 END AS stepped FROM s""",
+)
 def q_learning_rates(table):
-    """Cosine and stepped schedules."""
-    i = F.col("step")
-    d = table("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(2000))).alias("step"))
-    return d.select("step", F.round(1e-5 + 0.5 * (0.01 - 1e-5) * (1 + F.cos(F.pi() * i / 2000)), 9).alias("cosine"), F.when(i <= 1333, 1e-2).when(i <= 1666, 2e-3).otherwise(4e-4).alias("stepped"))
+    """The cosine and the stepped learning rate of each update of each user's series."""
+    by = Window.partitionBy("user_id")
+    s = table("events").select("event_id", (F.row_number().over(by.orderBy("ts", "event_id")) - 1).alias("i"), F.count("*").over(by).alias("n"))
+    i, n = F.col("i"), F.col("n")
+    stepped = F.when(i * 3 < n * 2, 1e-2).when(i * 6 < n * 5, 2e-3).otherwise(4e-4)
+    return s.select("event_id", F.round(1e-5 + 0.5 * (0.01 - 1e-5) * (1 + F.cos(F.pi() * i / n)), 9).alias("cosine"), stepped.alias("stepped"))
 
 
 @query("q_signal_errors", "WITH e AS (SELECT label, embedding[1] AS a, embedding[2] AS b FROM embeddings) SELECT label, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(10 * log10(1 / avg((a - b) * (a - b))), 5) AS psnr FROM (SELECT label, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM e) GROUP BY label")

@@ -90,12 +90,24 @@ def q_hash_sample(table):
     return op.top_per_group(table("embeddings"), 5, "label", fn.sampling_key(F.lit(3), F.col("vec_id"))).select("label", "vec_id", "slot")
 
 
-@query("q_nested_prefix", "WITH k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('3' || chr(0) || CAST(vec_id AS VARCHAR))) AS n FROM embeddings), c AS (SELECT label, list(vec_id ORDER BY n) FILTER (n <= 3) AS a, list(vec_id ORDER BY n) FILTER (n <= 5) AS b FROM k GROUP BY label) SELECT label, a = b[1:3] AS nested FROM c")
+_DRAW_SQL = "{name} AS (SELECT label, list(vec_id ORDER BY n) AS {name} FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('3' || chr(0) || CAST(vec_id AS VARCHAR))) AS n FROM embeddings) WHERE n <= {k} GROUP BY label)"
+
+
+@query(
+    "q_nested_prefix",
+    f"WITH {', '.join(_DRAW_SQL.format(name=f'd{k}', k=k) for k in (3, 5, 10, 20))} SELECT label, d3 = d5[1:3] AS three_in_five, d5 = d10[1:5] AS five_in_ten, d10 = d20[1:10] AS ten_in_twenty FROM d3 JOIN d5 USING (label) JOIN d10 USING (label) JOIN d20 USING (label)",
+)
 def q_nested_prefix(table):
-    """A smaller draw is the start of a larger one."""
-    ranked = op.top_per_group(table("embeddings"), 5, "label", fn.sampling_key(F.lit(3), F.col("vec_id")))
-    lists = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") < k, F.struct("slot", "vec_id")))), lambda s: s["vec_id"])
-    return ranked.groupBy("label").agg(lists(3).alias("a"), lists(5).alias("b")).select("label", (F.col("a") == F.slice("b", 1, 3)).alias("nested"))
+    """Four draws of each label, each on its own: a smaller one is the start of the next larger."""
+
+    def draw(k: int):
+        chosen = op.top_per_group(table("embeddings").where("label is not null"), k, "label", fn.sampling_key(F.lit(3), F.col("vec_id")))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("slot", "vec_id"))), lambda s: s["vec_id"])
+        return chosen.groupBy("label").agg(listed.alias(f"d{k}"))
+
+    both = draw(3).join(draw(5), "label").join(draw(10), "label").join(draw(20), "label")
+    starts = lambda a, b, name: (F.col(f"d{a}") == F.slice(f"d{b}", 1, a)).alias(name)
+    return both.select("label", starts(3, 5, "three_in_five"), starts(5, 10, "five_in_ten"), starts(10, 20, "ten_in_twenty"))
 
 
 @query("q_stratified_folds", "SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY sha256('5' || chr(0) || CAST(vec_id AS VARCHAR))) - 1) % 5 AS INT) AS fold FROM embeddings")

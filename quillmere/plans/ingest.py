@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -172,7 +173,7 @@ def q_store_info(table):
     "q_batch_lookup",
     """
     WITH n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT e AS epoch, (vec_id + 7 * e) % n AS place, vec_id, label FROM embeddings, n, range(3) AS t(e)),
-    a AS (SELECT e AS epoch, k * 48 AS start FROM range(3) AS t(e), range(200) AS u(k), n WHERE k * 48 < n)
+    a AS (SELECT e AS epoch, k * 48 AS start FROM range(3) AS t(e), (SELECT unnest(range((SELECT count(*) FROM embeddings) // 48 + 1)) AS k) AS u, n WHERE k * 48 < n)
     SELECT CAST(s.epoch AS INT) AS epoch, CAST(a.start AS BIGINT) AS start, CAST(place // 16 AS INT) AS batch, place % 16 AS row_, vec_id, label
     FROM s JOIN a ON a.epoch = s.epoch AND place // 16 = a.start // 16""",
 )
@@ -180,7 +181,7 @@ def q_batch_lookup(table):
     """The batches that begin with the images a sampler names."""
     spark = table("nation").sparkSession
     n = table("embeddings").count()
-    asked = spark.range(200).select((F.col("id") * 48).alias("start"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("epoch"))
+    asked = spark.range(n // 48 + 1).select((F.col("id") * 48).alias("start"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("epoch"))
     asked = asked.unionByName(asked.withColumn("start", F.col("start") + 5))  # inside a batch: refused
     return src.batch_records(_store(table), asked, n, 16).select("epoch", "start", "batch", "row_", "vec_id", "label")
 
@@ -233,6 +234,25 @@ def q_labelled_matrix(table):
     return wide.select("r_name", zero("FURNITURE", "furniture"), zero("BUILDING", "building"))
 
 
+@query(
+    "q_model_pool",
+    """WITH e AS (SELECT event_type AS model, event_id % 5 = 0 AS held, avg(CASE WHEN value > 50 THEN 100.0 ELSE 0.0 END) AS acc, avg(value) AS loss FROM events GROUP BY ALL),
+    w AS (SELECT model, max(acc) FILTER (NOT held) AS a, max(loss) FILTER (NOT held) AS b, max(acc) FILTER (held) AS c, max(loss) FILTER (held) AS d FROM e GROUP BY model)
+    SELECT 0 AS line, 'Model Name,train_acc,train_loss,test_acc,test_loss' AS value
+    UNION ALL SELECT CAST(row_number() OVER (ORDER BY model) AS INT), model || ',' || printf('%.4f', a) || ',' || printf('%.4f', b) || ',' || printf('%.4f', c) || ',' || printf('%.4f', d) FROM w""",
+)
+def q_model_pool(table):
+    """One line of CSV for each model, with its accuracy and loss on both splits, below a header (K9)."""
+    hit = F.avg(F.when(F.col("value") > 50, 100.0).otherwise(0.0))
+    e = table("events").groupBy(F.col("event_type").alias("model"), F.when(F.col("event_id") % 5 == 0, "test").otherwise("train").alias("split")).agg(hit.alias("acc"), F.avg("value").alias("loss"))
+    w = e.groupBy("model").pivot("split", ["train", "test"]).agg(F.first("acc").alias("acc"), F.first("loss").alias("loss"))
+    shown = w.select("model", *(F.format_string("%.4f", c).alias(c) for c in ("train_acc", "train_loss", "test_acc", "test_loss")))
+    # one row a model, so ranking them whole is small
+    lines = shown.select(F.row_number().over(Window.orderBy("model")).alias("line"), F.to_csv(F.struct("model", "train_acc", "train_loss", "test_acc", "test_loss")).alias("value"))
+    head = lines.sparkSession.createDataFrame([(0, "Model Name,train_acc,train_loss,test_acc,test_loss")], "line int, value string")
+    return head.unionByName(lines)
+
+
 @query("q_running_mean", "SELECT event_type, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 5) AS mean, CAST(sum(event_id % 5 + 1) AS BIGINT) AS n FROM events GROUP BY event_type")
 def q_running_mean(table):
     """Means of batches merged by how many each stands for."""

@@ -85,19 +85,19 @@ def q_split_overlap(table):
 @query(
     "q_near_dup_hamming",
     """
-    WITH c AS (SELECT vec_id, label, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS code
+    WITH c AS (SELECT vec_id, label, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) + CASE WHEN embedding[64] > 0 THEN -9223372036854775808 ELSE 0 END AS code
                FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
     SELECT a.vec_id, min(a.vec_id) OVER (PARTITION BY a.label, a.code) AS class_id,
            (SELECT count(*) FROM c b WHERE b.label = a.label AND b.vec_id <> a.vec_id AND bit_count(xor(a.code, b.code)) <= 6) AS links FROM c a""",
 )
 def q_near_dup_hamming(table):
     """Each vector's class of equal sign codes and how many vectors of its label are within six bits, by bands that must agree."""
-    bits = [F.when(F.element_at("embedding", k + 1) > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(63)]
+    bits = [F.when(F.element_at("embedding", k + 1) > 0, F.lit(1 << k if k < 63 else -1 << 63)).otherwise(F.lit(0)).cast("long") for k in range(64)]
     code = bits[0]
     for b in bits[1:]:
         code = code.bitwiseOR(b)
     d = table("embeddings").where("embedding is not null and label is not null").select("vec_id", "label", code.alias("code"))
-    return op.hamming_links(d, "vec_id", "label", "code", 6, 63)
+    return op.hamming_links(d, "vec_id", "label", "code", 6, 64)
 
 
 @query("q_asof_events", "WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = 'view' GROUP BY user_id, ts) SELECT q.event_id, v.seen AS last_view FROM q ASOF LEFT JOIN v ON q.user_id = v.user_id AND q.ts >= v.ts")
@@ -121,10 +121,9 @@ def q_interval_overlap(table):
 
 @query("q_caliper_match", "WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, abs(a.s_acctbal - b.s_acctbal) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) SELECT t AS caliper, count(*) AS pairs, round(avg(d), 4) AS mean_gap FROM p, (VALUES (100), (500), (2000)) AS c(t) WHERE d <= t GROUP BY t")
 def q_caliper_match(table):
-    """Pairs of a stratum within several calipers."""
+    """Pairs of a stratum within several calipers (J26, J16), met in slices of the widest."""
     s = table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    o = s.select(F.col("s_suppkey").alias("k2"), F.col("s_nationkey").alias("n2"), F.col("s_acctbal").alias("v2"))
-    p = s.join(o, (F.col("s_nationkey") == F.col("n2")) & (F.col("s_suppkey") < F.col("k2"))).select(F.abs(F.col("s_acctbal") - F.col("v2")).alias("d"))
+    p = op.caliper_pairs(s, "s_nationkey", "s_acctbal", "s_suppkey", 2000).select(F.col("gap").alias("d"))
     t = p.select("d", F.explode(F.array(F.lit(100), F.lit(500), F.lit(2000))).alias("caliper")).where("d <= caliper")
     return t.groupBy("caliper").agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 4).alias("mean_gap"))
 
@@ -174,6 +173,18 @@ def q_log_curve(table):
     return table("events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"), r(F.avg("value"), 8).alias("mean"), F.round(100 - F.avg("value"), 8).alias("complement"))
 
 
+@query(
+    "q_json_defaults",
+    """SELECT event_id, coalesce(TRY_CAST(props ->> '$.k' AS INTEGER), -1) AS k, coalesce(props ->> '$.unit', 'none') AS unit, TRY_CAST(props ->> '$.at.best' AS DOUBLE) AS best,
+       CASE WHEN json_exists(props, '$.k') THEN 'there' ELSE 'absent' END AS state FROM events""",
+)
+def q_json_defaults(table):
+    """Fields of a JSON object with a default, or null, where they are absent or of another type."""
+    get = lambda path: F.get_json_object("props", path)
+    state = F.when(get("$.k").isNotNull(), "there").otherwise("absent")
+    return table("events").select("event_id", F.coalesce(get("$.k").try_cast("int"), F.lit(-1)).alias("k"), F.coalesce(get("$.unit"), F.lit("none")).alias("unit"), get("$.at.best").try_cast("double").alias("best"), state.alias("state"))
+
+
 @query("q_auc_trapezoid", "WITH s AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS x, value AS y, lead(epoch_us(ts) / 3.6e9) OVER w AS x2, lead(value) OVER w AS y2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(sum((x2 - x) * (y + y2) / 2), 2) + 0.0 AS area FROM s WHERE x2 IS NOT NULL GROUP BY user_id")
 def q_auc_trapezoid(table):
     """Area under each ordered series."""

@@ -224,3 +224,10 @@ def test_places_of_columns():
         assert np.bincount(got, minlength=3).tolist() == places.tolist()
         best = max(sum(sim[k, c] for k, c in enumerate(own)) for own in itertools.product(range(3), repeat=n) if np.bincount(own, minlength=3).tolist() == places.tolist())
         assert abs(sim[np.arange(n), got].sum() - best) < 1e-9
+
+
+def test_disorder_of_many_cycles(spark):
+    """Ninety-nine places in cycles of three: two ways each, found without trying them all."""
+    sigma = [k - k % 3 + (k + 1) % 3 for k in range(99)]
+    r = op.most_disorder(spark.createDataFrame([(1, sigma)], "id int, sigma array<int>"), "id", "sigma").first()
+    assert r.candidates == 2**33 and list(r.farthest) == [sigma[k] for k in sigma]

@@ -1,5 +1,6 @@
 """Balanced assignment, suppression and matching against all possibilities of small cases."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -109,3 +110,49 @@ def test_partners_are_the_most_possible(spark):
         assert all(group[x["partner"]] in near[group[x["id"]]] for x in mine if x["guided"])
         best = max(sum(group[q] in near[group[p]] for p, q in zip(ids, order)) for order in itertools.permutations(ids))
         assert sum(x["guided"] for x in mine) == best
+
+
+def plain_guided(ids, groups, donors, near, key):
+    """The same rules by recursion."""
+    order = lambda items, k: sorted(items, key=lambda x: hashlib.sha256(f"{k}\0{x}".encode()).hexdigest())
+    group, out = dict(zip(ids, groups)), dict(zip(ids, donors))
+    guided = order(ids, f"{key}\0guided")[: len(ids) // 2]
+    free = [i for i in ids if i not in {out[r] for r in ids if r not in guided}]
+    able = {r: order([d for d in free if group[d] in near.get(group[r], [])], f"{key}\0{r}") for r in guided}
+    served = {}
+
+    def visit(r, seen):
+        for d in able[r]:
+            if d not in seen:
+                seen.add(d)
+                if d not in served or visit(served[d], seen):
+                    served[d] = r
+                    return True
+        return False
+
+    for r in sorted(order(guided, f"{key}\0order"), key=lambda r: len(able[r])):
+        visit(r, set())
+    new = {r: d for d, r in served.items()}
+    rest = zip(order([r for r in guided if r not in new], f"{key}\0receivers"), order([d for d in free if d not in served], f"{key}\0donors"))
+    out.update(new | dict(rest))
+    return [out[i] for i in ids], [i in guided for i in ids]
+
+
+def test_guided_partners_like_the_plain_rule(spark):
+    rng = np.random.default_rng(9)
+    near, rows, want = {0: [1], 1: [0, 2], 2: [3], 3: [3]}, [], {}
+    for b in range(25):
+        ids = [b * 100 + i for i in range(rng.integers(1, 21))]
+        groups, donors = [int(g) for g in rng.integers(0, 5, len(ids))], [int(d) for d in rng.permutation(ids)]
+        rows += zip([b] * len(ids), ids, groups, donors)
+        partner, guided = plain_guided(ids, groups, donors, near, f"k\0{b}")
+        want |= {i: (b, p, g) for i, p, g in zip(ids, partner, guided)}
+        assert sorted(partner) == ids and sum(guided) == len(ids) // 2
+        assert all(p == d for p, d, g in zip(partner, donors, guided) if not g)
+    df = spark.createDataFrame(rows, "b int, id int, g int, p int")
+    got = part.guided_partners(df, "b", "id", "g", "p", near, "k").collect()
+    assert {r.id: (r.batch, r.partner, r.guided) for r in got} == want
+    group = {i: g for _, i, g, _ in rows}
+    assert all(r.hit == (group[r.partner] in near.get(group[r.id], [])) for r in got) and sum(r.hit for r in got if r.guided) > 30
+    with pytest.raises(Exception, match="no permutation"):
+        part.guided_partners(df.where("id % 100 <> 0"), "b", "id", "g", "p", near).collect()
