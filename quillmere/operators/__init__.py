@@ -76,9 +76,18 @@ def margins(unit: DataFrame, protos: DataFrame, identity: str = "vec_id", label:
     return sims.groupBy(identity, label).agg(own, rival).select(identity, label, *kept)
 
 
+#: Up to so many blocks every tile is looked at.
+FEW_BLOCKS = 16
+
+
 def blocked_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, block: int = 1024, within: str | None = None) -> DataFrame:
     """Exact ``k`` nearest by cosine, self excluded: blocks of queries meet blocks of rows (in the same group if ``within``), each
-    tile is one matrix product that leaves ``k`` rows a query, and a rank merges them. ``vectors``: vec_id, unit and ``within``."""
+    tile is one matrix product that leaves ``k`` rows a query, and a rank merges them. ``vectors``: vec_id, unit and ``within``. Of more than
+    ``FEW_BLOCKS`` blocks tiles that cannot hold a neighbour are left out (``neighbours.pruned``)."""
+    if vectors.count() > FEW_BLOCKS * block:
+        from .neighbours import pruned
+
+        return pruned(vectors, k, queries, block, within)
     queries = vectors if queries is None else queries
     group = F.col(within).cast("long") if within else F.lit(0).cast("long")
     # each group has as many blocks as its own rows and queries need
