@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..tables import written
 
 # ---- ranking and selection -----------------------------------------------------------------------
 
@@ -312,23 +313,100 @@ def _facility_gains(vectors: DataFrame, block: int):
     return sizes, gains
 
 
+def _facility_sums(vectors: DataFrame, held: dict[int, np.ndarray], asked: dict[int, list[tuple[int, np.ndarray]]]) -> dict[int, dict[int, float]]:
+    """For each label and candidate asked for the sum of the similarities to the nearest held or to itself: one pass, no tiles; a task leaves one sum a
+    candidate."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for label, rows in pdf[pdf["label"].isin(asked.keys())].groupby("label"):
+                x, c = np.vstack(rows["unit"]), np.stack([u for _, u in asked[label]])
+                near = (x @ held[label].T).max(axis=1)
+                total[label] = total.get(label, 0.0) + np.maximum(near[:, None], x @ c.T).sum(axis=0)
+        yield pd.DataFrame([(label, v, float(t)) for label, sums_ in total.items() for (v, _), t in zip(asked[label], sums_)], columns=["label", "vec_id", "gain"])
+
+    told = vectors.select("label", "unit").mapInPandas(sums, "label int, vec_id long, gain double").groupBy("label", "vec_id").agg(F.sum("gain").alias("gain"))
+    out: dict[int, dict[int, float]] = {}
+    for r in told.collect():
+        out.setdefault(r.label, {})[r.vec_id] = r.gain
+    return out
+
+
+#: Candidates of a label that are tried at first where their bounds are known, and at most before all are looked at again.
+TRIED, MOST_TRIED = 32, 4_096
+
+
 def greedy_facility(vectors: DataFrame, k: int, block: int = 2_048) -> DataFrame:
     """Per label ``k`` vectors that greedily raise the mean similarity of each vector to its nearest chosen one: ``label, slot, vec_id, utility``.
 
-    All vectors of a label are candidates and all count; the best candidate (smallest id of equals) takes each slot. Work is quadratic in
-    a label's vectors, memory is one tile; the driver holds the chosen vectors."""
-    vectors = vectors.where("label is not null").select("label", "vec_id", "unit")
+    All vectors of a label are candidates and all count; the best candidate (smallest id of equals) takes each slot. The first two slots look
+    at all pairs, in tiles. What a candidate adds can only fall from slot to slot, so from then on candidates are tried in order of what
+    they added last, until no other can do better: a pass over the vectors for each few candidates. The driver holds the chosen and those tried."""
+    vectors = written(vectors.where("label is not null").select("label", "vec_id", "unit"), "facility-vectors")
     sizes, gains = _facility_gains(vectors, block)
     chosen: dict[int, list] = {label: [] for label in sizes}
-    for slot in range(min(k, max(sizes.values(), default=0))):
+    bounds, fresh = None, {}
+
+    def whole(labels: list[int], slot: int) -> None:
+        """The slot's best of all candidates of the labels, and everybody's bound for the next."""
+        nonlocal bounds
         taken = [v for own in chosen.values() for _, v, _, _ in own]
         summed = gains({label: np.array([u for *_, u in own]) for label, own in chosen.items() if own})
-        summed = summed.where(~F.col("vec_id").isin(taken)) if taken else summed
+        summed = written(summed.where(F.col("label").isin(labels) & ~F.col("vec_id").isin(taken)), "facility-gains")
         mean = F.col("gain") / F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, n)))[F.col("label")]
         best = summed.groupBy("label").agg(F.min(F.struct(F.round(-mean, 12).alias("u"), "vec_id")).alias("b")).select("label", "b.vec_id", (-F.col("b.u")).alias("utility"))
+        before = {label: chosen[label][-1][2] * n if chosen[label] else -float(n) for label, n in sizes.items()}
+        now = summed.select("label", "vec_id", (F.col("gain") - F.create_map(*(F.lit(x) for label, f in before.items() for x in (label, f)))[F.col("label")]).alias("bound"))
+        bounds = now if bounds is None else bounds.where(~F.col("label").isin(labels)).unionByName(now)
+        for label in labels:
+            fresh[label] = {}
         for r in best.join(vectors, ["label", "vec_id"]).collect():
-            chosen[r.label].append((slot, r.vec_id, r.utility, r.unit))
-    rows = [(label, s, v, u) for label, own in chosen.items() for s, v, u, _ in own]
+            chosen[r.label].append((slot, r.vec_id, r.utility, np.array(r.unit)))
+
+    for slot in range(min(k, max(sizes.values(), default=0))):
+        open_ = [label for label, n in sizes.items() if n > slot]
+        if slot < 2:
+            whole(open_, slot)
+            continue
+        tries, known = dict.fromkeys(open_, TRIED), {label: {} for label in open_}
+        while tries:
+            deep = [label for label, t in tries.items() if t > MOST_TRIED]
+            if deep:
+                whole(deep, slot)
+                for label in deep:
+                    del tries[label]
+                continue
+            # the highest bounds of each label, with those that have been tried since at what they added then
+            wanted = {label: t + len(fresh[label]) + slot + 1 for label, t in tries.items()}
+            rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("bound"), "vec_id"))
+            most = F.create_map(*(F.lit(x) for label, n in wanted.items() for x in (label, n)))[F.col("label")]
+            top: dict[int, list] = {label: [] for label in tries}
+            for r in bounds.where(F.col("label").isin(list(tries))).withColumn("at", rank).where(F.col("at") <= most).join(vectors, ["label", "vec_id"]).collect():
+                top[r.label].append((fresh[r.label].get(r.vec_id, r.bound), r.vec_id, np.array(r.unit)))
+            asked, rest = {}, {}
+            for label, rows in top.items():
+                taken = {v for _, v, _, _ in chosen[label]}
+                rows = sorted((x for x in rows if x[1] not in taken), key=lambda x: (-x[0], x[1]))
+                first = rows[: tries[label]]
+                rest[label] = rows[tries[label]][0] if len(rows) > tries[label] else -np.inf
+                asked[label] = [(v, u) for _, v, u in first if v not in known[label]]
+            found = _facility_sums(vectors, {label: np.stack([u for *_, u in chosen[label]]) for label in asked}, {label: a for label, a in asked.items() if a})
+            for label in list(tries):
+                units = {v: u for _, v, u in top[label]}
+                before = chosen[label][-1][2] * sizes[label]
+                for v, total in found.get(label, {}).items():
+                    known[label][v] = (total, units[v])
+                    fresh[label][v] = total - before
+                best = min(((round(-total / sizes[label], 12), v) for v, (total, _) in known[label].items()), default=None)
+                if best and -best[0] > (before + rest[label]) / sizes[label] + 1e-9:
+                    chosen[label].append((slot, best[1], -best[0], known[label][best[1]][1]))
+                    del tries[label]
+                elif best is None and rest[label] == -np.inf:
+                    del tries[label]
+                else:
+                    tries[label] *= 4
+    rows = [(label, s, int(v), float(u)) for label, own in chosen.items() for s, v, u, _ in own]
     return vectors.sparkSession.createDataFrame(rows, "label int, slot int, vec_id long, utility double")
 
 

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillmere import operators as op
@@ -231,3 +232,30 @@ def test_disorder_of_many_cycles(spark):
     sigma = [k - k % 3 + (k + 1) % 3 for k in range(99)]
     r = op.most_disorder(spark.createDataFrame([(1, sigma)], "id int, sigma array<int>"), "id", "sigma").first()
     assert r.candidates == 2**33 and list(r.farthest) == [sigma[k] for k in sigma]
+
+
+@pytest.mark.parametrize("tried", [1, 4, 1_000])
+def test_facility_by_bounds_is_the_plain_choice(spark, monkeypatch, tried):
+    """Many slots, copies among the vectors, and bounds that leave most candidates untried."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for label, n in ((0, 120), (1, 7), (2, 1)):
+        x = rng.normal(size=(n, 4))
+        x[: n // 6] = x[0]
+        rows += [(label * 1000 + i, label, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())]
+    monkeypatch.setattr(op, "TRIED", tried)
+    tries = []
+    sums = op._facility_sums
+    monkeypatch.setattr(op, "_facility_sums", lambda v, h, a: tries.append(sum(map(len, a.values()))) or sums(v, h, a))
+    got = op.greedy_facility(spark.createDataFrame(rows, "vec_id long, label int, unit array<double>"), 9, 50).collect()
+    for label in range(3):
+        ids, x = zip(*((i, v) for i, l, v in rows if l == label))
+        sim, near, want = np.array(x) @ np.array(x).T, np.full(len(x), -1.0), []
+        for _ in range(min(9, len(x))):
+            total = np.maximum(near[:, None], sim).sum(axis=0)
+            best = min((round(-total[c] / len(x), 10), i, c) for c, i in enumerate(ids) if i not in want)
+            want.append(best[1])
+            near = np.maximum(near, sim[:, best[2]])
+        assert [r.vec_id for r in sorted((r for r in got if r.label == label), key=lambda r: r.slot)] == want
+    if tried < 10:
+        assert sum(tries) < 0.6 * 7 * 128
