@@ -154,10 +154,18 @@ def bijection_faults(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.where("n_left <> 1 or n_right <> 1")
 
 
+#: Rows of a key that one task sorts without harm.
+HOT_KEY = 1_000_000
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False, width: float | None = None) -> DataFrame:
     """For each left row the value of the last right row of its key at or before ``at`` (``forward``: the first one at or after it): one sort
     of the union, no range join. With ``width`` (microseconds for timestamps) the axis is cut into slices that are sorted apart, and what a
-    slice carries over from those before it is worked out from one value a slice, so that a frequent key is spread over many tasks."""
+    slice carries over from those before it is worked out from one value a slice, so that a frequent key is spread over many tasks; where no key has
+    more than ``HOT_KEY`` rows, which an aggregate of the keys alone tells, one sort does."""
+    if width:
+        rows = left.select(key).unionByName(right.select(key)).groupBy(key).count()
+        width = width if (rows.agg(F.max("count")).first()[0] or 0) > HOT_KEY else None
     both = left.select(key, at, F.lit(1).alias("asks"), F.struct(*left.columns).alias("row"), F.lit(None).alias("v")).unionByName(right.select(key, at, F.lit(0).alias("asks"), F.lit(None).alias("row"), F.col(value).alias("v")))
     kind = left.schema[at].dataType.simpleString()
     number = F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith("timestamp") else F.col(at)

@@ -163,7 +163,12 @@ def _store(table, epochs: int = 3, batch_size: int = 16):
     return e.join(n, "epoch").withColumn("place", place).select("epoch", F.floor(F.col("place") / batch_size).cast("int").alias("batch"), (F.col("place") % batch_size).alias("row_"), "vec_id", "label")
 
 
-@query("q_store_info", "SELECT CAST(3 AS BIGINT) AS epochs, true AS contiguous, CAST(ceil(count(*) / 16.0) AS BIGINT) AS batches, CAST(16 AS BIGINT) AS batch_size, count(*) AS images FROM embeddings")
+@query(
+    "q_store_info",
+    """WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT e AS epoch, ((vec_id + 7 * e) % n) // 16 AS batch, count(*) AS k FROM embeddings, n, range(3) AS t(e) GROUP BY ALL)
+    SELECT count(DISTINCT epoch) AS epochs, min(epoch) = 0 AND max(epoch) = count(DISTINCT epoch) - 1 AS contiguous, count(*) FILTER (epoch = 0) AS batches,
+           max(k) FILTER (epoch = 0 AND batch = 0) AS batch_size, CAST(sum(k) FILTER (epoch = 0) AS BIGINT) AS images FROM c""",
+)
 def q_store_info(table):
     """Epochs, batches and images of a soft-label store, worked out of its records."""
     return src.store_info(_store(table))

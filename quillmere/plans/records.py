@@ -146,7 +146,11 @@ def q_alternating_sources(table):
     return d.select("c_custkey", "epoch", ((F.col("first_") + F.col("epoch")) % 2).cast("int").alias("source"))
 
 
-@query("q_omit_one", "SELECT n_nationkey, CAST(o AS INT) AS omitted, CAST(s AS INT) AS slot, CAST((o + s + 1) % 5 AS INT) AS source, true AS balanced FROM nation, range(5) AS a(o), range(4) AS b(s)")
+@query(
+    "q_omit_one",
+    """WITH d AS (SELECT n_nationkey, CAST(o AS INT) AS omitted, CAST(s AS INT) AS slot, CAST((o + s + 1) % 5 AS INT) AS source FROM nation, range(5) AS a(o), range(4) AS b(s))
+    SELECT *, (SELECT bool_and(l = [0, 1, 2, 3]) FROM (SELECT list(slot ORDER BY slot) AS l FROM d e WHERE e.n_nationkey = d.n_nationkey GROUP BY source)) AS balanced FROM d""",
+)
 def q_omit_one(table):
     """Five arrangements of four slots, each without one source; every source is once in each slot, as an audit over the rows says."""
     d = table("nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("omitted"))
