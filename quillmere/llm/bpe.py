@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .shared import text_chunks
+from .shared import CHUNK_BYTES, giving_back, text_chunks
 
 #: Entries a worker keeps for pieces of text and for fragments; when full, it starts afresh, and after each task.
 CACHE_ENTRIES = 400_000
@@ -205,7 +205,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in text_chunks(batches, 8 << 20, "_text"):
+        for batch in text_chunks(batches, CHUNK_BYTES, "_text"):
             n, ids_hash, decoded_hash, ids, decoded = [], [], [], [], []
             for value in batch.column("_text").to_pylist():
                 joined, back, count = bpe.encode(value)
@@ -225,7 +225,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text",
     kept = docs.select(*keep)
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if with_ids else ())]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>, decoded string"] if with_ids else [])])
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(giving_back(run), schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

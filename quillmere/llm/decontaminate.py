@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, text_chunks
+from .shared import CHUNK_BYTES, giving_back, materialize, read_table, text_chunks
 
 #: Edits allowed, as a share of an item's words (rounded down).
 MAX_EDIT = 0.2
@@ -292,6 +292,12 @@ def slices(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[Finde
         yield Finder([(i, words_of(t)) for i, t in items])
 
 
+def searched(finder: Finder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int]]]]]:
+    """The batches in slices of bounded size, each with what its texts hold."""
+    for batch in text_chunks(batches, CHUNK_BYTES):
+        yield batch, finder.search(batch.column("text").to_pylist())
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``(doc_id, item_id, edits, item_words, first_word)``: each item that a text holds within ``MAX_EDIT`` of its words, once a text.
 
@@ -306,8 +312,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = P
             out = waiting if out is None else out.unionByName(waiting)
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches, 8 << 20):
-                found = finder.search(batch.column("text").to_pylist())
+            for batch, found in searched(finder, batches):
                 rows = [(d, *m) for d, of in zip(batch.column("doc_id").to_pylist(), found, strict=True) for m in of]
                 cols = [
                     pa.array([r[0] for r in rows], batch.schema.field("doc_id").type),
@@ -318,7 +323,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = P
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "edits", "item_words", "first_word"])
 
-        waiting = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, edits int, item_words int, first_word int")
+        waiting = docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, item_id long, edits int, item_words int, first_word int")
     return waiting if out is None else out.unionByName(waiting)
 
 
@@ -329,11 +334,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
         docs, first = docs if first else materialize(docs, "benchmark-free"), False
 
         def run(batches: Iterator[pa.RecordBatch], finder: Finder = finder) -> Iterator[pa.RecordBatch]:
-            for batch in text_chunks(batches, 8 << 20):
-                clean = [not m for m in finder.search(batch.column("text").to_pylist())]
-                yield batch.filter(pa.array(clean))
+            for batch, found in searched(finder, batches):
+                yield batch.filter(pa.array([not m for m in found]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(giving_back(run), docs.schema)
     return docs
 
 

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embedding_dups import forest
-from .shared import connected_components, discard, materialize, read_table, row_key, text_chunks
+from .shared import CHUNK_BYTES, connected_components, discard, give_back, giving_back, materialize, read_table, row_key, text_chunks
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Most hash functions of a signature.
 MAX_HASHES = 128
 #: A block of a bucket has about so many texts and n-grams at most (a longer text makes one of its own).
 BLOCK_TEXTS, BLOCK_NGRAMS = 1024, 1_000_000
+#: Words whose hashes a worker keeps; when full, it starts afresh, and after each task or tile.
 CACHE_ENTRIES = 400_000
 
 
@@ -52,6 +53,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget_words() -> None:
+    """Empty the worker's own cache; a task's function that named it would travel with a copy."""
+    _hashes.clear()
+
+
 def ngram_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-grams of the text's lower-cased words. A text of fewer words is one
     n-gram of them all; a text without words has none."""
@@ -93,7 +99,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     seeds = seeds_for(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, 8 << 20):
+        for batch in text_chunks(batches, CHUNK_BYTES):
             n, ids, hashes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = ngram_set(text, words)
@@ -101,8 +107,9 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 hashes.append(signature(s, seeds, bands).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "key", "n", "set_id", "bands"])
+        forget_words()
 
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, set_id binary, bands binary")
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(giving_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, set_id binary, bands binary")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -207,6 +214,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
         cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         hashes = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint64).reshape(len(cid), bands)
         sets = [ngram_set(text.as_py(), words) for text in table.column("text")]
+        forget_words()
         slots = table.column("slots").combine_chunks()
         row = np.repeat(np.arange(len(cid)), slots.value_lengths().to_numpy())
         of, band, mine = (slots.flatten().field(c).to_numpy() for c in ("of", "band", "mine"))
@@ -223,6 +231,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
         np.add.at(links, b, copies[a])
         low = cid[forest(len(cid), a, b)]
         linked = links > 0
+        give_back()
         return pa.table({"cid": cid[linked], "links": links[linked], "low": low[linked]})
 
     found = materialize(tiles.groupBy("pack", "i", "j").applyInArrow(tile, "cid long, links long, low long"), "ngram-links")

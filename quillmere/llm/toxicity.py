@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_ids, bounded_rows, materialize, read_table, text_chunks
+from .shared import CHUNK_BYTES, bounded_ids, bounded_rows, giving_back, materialize, read_table, text_chunks
 
 #: The letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -68,7 +68,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _class_table(), np.zeros(CLASSES**3, np.int64)
-        for batch in text_chunks(batches, 4 << 20, "_text"):
+        for batch in text_chunks(batches, CHUNK_BYTES, "_text"):
             joined = "\n\n".join(t for t in batch.column("_text").to_pylist() if t)
             codes = np.frombuffer(("\n\n" + joined + "\n\n").encode("utf-32-le", "replace"), np.uint32)
             classes = table[np.minimum(codes, 0x2FFF)].astype(np.int32)
@@ -77,7 +77,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["trigram", "n"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(count, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("_text")).mapInArrow(giving_back(count), "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 def _spelled(path: tuple | None) -> str:
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
             clean.clear()
             return out
 
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK_BYTES):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = toxic if label else clean
                 own.update(reader.words(text))
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
                     yield counted()
         yield counted()
 
-    counts = materialize(rows.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
+    counts = materialize(rows.mapInArrow(giving_back(count), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
     whole = counts.where(F.col("word") == "\0").first()
     n_toxic, n_clean = (whole.toxic, whole.clean) if whole else (0, 0)
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
@@ -248,12 +248,12 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Deobfuscator(model, map(len, listed))
-        for batch in text_chunks(batches, 4 << 20):
+        for batch in text_chunks(batches, CHUNK_BYTES):
             found = [[place[w] for w in place.keys() & reader.words(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["hits", "toxic"])
 
     # equal rows count together, so what is collected is small; at most max_docs rows of at most MAX_WORDS places
-    taught = rows.mapInArrow(hits, "hits array<int>, toxic int").groupBy(F.array_sort("hits").alias("hits"), "toxic").agg(F.count("*").alias("n")).collect()
+    taught = rows.mapInArrow(giving_back(hits), "hits array<int>, toxic int").groupBy(F.array_sort("hits").alias("hits"), "toxic").agg(F.count("*").alias("n")).collect()
     taught.sort(key=lambda r: (r.hits, r.toxic))
     x = np.zeros((len(taught), len(listed)), np.float32)
     for k, r in enumerate(taught):
@@ -288,7 +288,7 @@ def toxicity_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc
         weights, prior = trained["words"], trained["prior"]
         reader = Deobfuscator(trained["model"], map(len, weights))
         listed = weights.keys()
-        for batch in text_chunks(batches, 8 << 20, "_text"):
+        for batch in text_chunks(batches, CHUNK_BYTES, "_text"):
             scores = []
             for text in batch.column("_text").to_pylist():
                 odds = prior + sum(weights[w] for w in listed & reader.words(text)) if text else prior
@@ -297,7 +297,7 @@ def toxicity_score(docs: DataFrame, trained: dict, keep: tuple[str, ...] = ("doc
 
     kept = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double, predicted int"])
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(giving_back(run), schema)
 
 
 def learn_from_tables(spark, docs: DataFrame, sf_dir: str) -> dict:

@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from quillmere.llm.decontaminate import Finder, benchmark_matches, best_match, decontaminate, embed, words_of
+from quillmere.llm.decontaminate import Finder, benchmark_matches, best_match, decontaminate, embed, searched, words_of
 
 
 def distance(a, b):
@@ -163,3 +165,21 @@ def test_passes_are_written_one_after_another(spark):
     got = sorted((r.doc_id, r.item_id) for r in benchmark_matches(docs, benchmark, pass_bytes=600).collect())
     assert got == [(k, k) for k in range(0, 40, 3)]
     assert [r.doc_id for r in decontaminate(docs, benchmark, pass_bytes=600).collect()] == [100]
+
+
+def test_memory_of_a_large_batch():
+    """A batch of 8 MB is searched in slices: what is held at once stays far below the 65 MB that searching it whole takes, and every text is answered."""
+    rng = random.Random(3)
+    item = [rng.choice(WORDS) for _ in range(30)]
+    texts = [" ".join(rng.choices(WORDS, k=400)) for _ in range(2600)]
+    held = {0, 1300, 2599}
+    for k in held:
+        texts[k] += " " + " ".join(item)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    finder = Finder([(1, item)])
+    tracemalloc.start()
+    found = [m for _, of in searched(finder, [batch]) for m in of]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and {k for k, m in enumerate(found) if m} == held
+    assert most < 40 << 20

@@ -1,8 +1,11 @@
 """The exact bounded draws that models learn from, and the scratch folder."""
 
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.llm import shared
 from quillmere.llm.shared import bounded_ids, bounded_rows, hash_cut, scratch_folder
 
 
@@ -70,3 +73,22 @@ def test_discard_deletes_what_was_written(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     folder = os.path.dirname(path)
     assert sum(n.startswith("discard-test") for n in os.listdir(folder)) == 1
+
+
+def test_memory_is_given_back_when_nothing_is_held(monkeypatch):
+    """After a task's last row, and only once what the task remembered is gone."""
+
+    class Cache(dict):
+        pass
+
+    caches, gone = [], []
+
+    def run(batches):
+        cache = Cache()
+        caches.append(weakref.ref(cache))
+        for b in batches:
+            yield b
+
+    monkeypatch.setattr(shared, "give_back", lambda: gone.append(caches[0]() is None))
+    assert list(shared.giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert gone == [True]
